@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pii, toxicity
-from .shared import crc_mod, table_dir
+from . import language, licenses, mixing, pii, quality, tokens, toxicity
+from .shared import crc_mod, stored, table_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_dir(sf_dir, name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("n_windows")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = tokens.token_lengths(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=())
+    return tokens.suffix_sums(stored(tokens.length_histogram(lengths), "token-histogram"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod("doc_id", 3) == 1
@@ -23,6 +33,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    statistics = stored(quality.text_statistics(docs), "quality-statistics")
+    rules = quality.learn_rules(statistics, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    out = quality.judged(statistics, rules)
+    return out.select("doc_id", *quality.STATISTICS, "base_failed", "kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 5) == 0
@@ -38,9 +60,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_token_counts": op2_token_counts,
     "op3_language": op3_language,
+    "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle_sql(),
+}
