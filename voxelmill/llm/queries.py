@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, pii, quality, tokens, toxicity
-from .shared import crc_mod, stored, table_dir
+from . import language, licenses, mixing, pii, quality, tokens, toxicity, warc
+from .shared import crc_mod, new_path, stored, table_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect_pii(docs, pii.fit_pii_model())
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = new_path(spark, "archives")
+    warc.write_warc(pages, path)
+    return warc.page_digests(warc.read_warc(spark, path), dict(pages.dtypes)["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
