@@ -1,0 +1,41 @@
+"""Connected components of a link table by alternating star contraction.
+
+Every round links each vertex's larger neighbours, then its smaller ones, to the smallest vertex it
+knows of; rounds grow with the logarithm of the vertices.  Both steps are a grouped minimum (partial in each task)
+and a join, so a vertex of any degree is never one task's list.  The links of each round are a table
+in the shared folder; nothing is collected.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import stored
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """links: (u, v), u > v.  Large star: all larger neighbours of x go to the least of x and its neighbours;
+    small star: x and its smaller neighbours go to the least of them."""
+    if large:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
+        moved = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    else:
+        low = links.groupBy("u").agg(F.min("v").alias("low"))
+        moved = links.join(low, "u").select("v", "low").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
+        moved = moved.unionByName(low.select("u", F.col("low").alias("v")))
+    return moved.where(F.col("u") != F.col("v")).distinct()
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """For each vertex of the links but the smallest of its component: id and component (that smallest)."""
+    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
+    now = stored(now, "links")
+    key = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while key[0]:
+        now = stored(_star(_star(now, large=True), large=False), "links")
+        before, key = key, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before == key:
+            break
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

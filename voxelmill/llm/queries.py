@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licenses, mixing, pii, quality, tokens, toxicity, warc
+from . import decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
 from .shared import crc_mod, new_path, stored, table_dir
 
 
@@ -33,6 +33,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_language": op3_language,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
@@ -85,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
+    "op4_near_duplicates": neardup.oracle_sql(),
 }
