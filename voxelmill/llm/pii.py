@@ -335,3 +335,16 @@ def detect_pii(docs: DataFrame, model: PiiModel, *, text_col: str = "text", keep
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(clean, pa.string())] * redact, names)
 
     return kept.mapInArrow(run, schema)
+
+
+def redact_pii(docs: DataFrame, model: PiiModel, *, text_col: str = "text") -> DataFrame:
+    """The rows with the spans of their texts replaced; a null text stays null."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = [None if (text := x.as_py()) is None else redacted(text, find_spans(text, model)[1]) for x in b.column(text_col)]
+            at = b.schema.get_field_index(text_col)
+            yield b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -181,3 +181,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(scores, pa.float64())], [*cols, "score"])
 
     return kept.mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose score is below ``threshold``, with all their columns."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t) < threshold for t in texts(b.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
