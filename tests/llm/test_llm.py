@@ -10,12 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.llm import components, decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
+from voxelmill.llm import decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
 from voxelmill.llm import queries as q
 from voxelmill.llm.shared import new_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BIG = "0.01"
 
 
 @pytest.fixture(scope="module")
@@ -290,7 +289,3 @@ def test_contamination_against_containment(spark, odd, none, big):
     d = spark.createDataFrame([(1, "x y z " * 40 + " ".join(para) + " q r s" * 40)], "doc_id bigint, text string")
     assert [r["item_id"] for r in decontamination.find_contamination(d, table).collect()] == [0]
 
-
-def test_star_components(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
-    assert {r["id"]: r["component"] for r in components.connected_components(df).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}

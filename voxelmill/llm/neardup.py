@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.graph import connected_components
 from .shared import small_batches, stored
 
 POSITIONS = 96

@@ -1,14 +1,15 @@
-"""What the text operators share: the folder all executors see, and Arrow helpers."""
+"""What the text operators share: patterns of words, Arrow helpers, and the tables of the package."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import new_path, shared_dir, stored
+
 #: ASCII white space that separates words, and what is not.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -17,31 +18,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 ARROW_ROWS = "512"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a folder
-    below the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_voxelmill"
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/voxelmill-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: the lineage ends there, and the
-    files outlive any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small enough for a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -69,3 +45,6 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
 
 def table_dir(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
+
+
+__all__ = ["ARROW_ROWS", "SPACE", "WORD", "crc_mod", "lowest_per_group", "new_path", "shared_dir", "small_batches", "stored", "table_dir", "texts"]
