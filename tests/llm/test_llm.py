@@ -44,7 +44,8 @@ def rows_of(df, *cols):
 @pytest.mark.parametrize("name", list(q.ORACLE_SQL))
 def test_queries_against_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name_ in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     found = c.execute(q.ORACLE_SQL[name])
     cols = [d[0] for d in found.description]
     assert rows_of(q.QUERIES[name](spark, sf_dir), *cols) == sorted(found.fetchall(), key=str)

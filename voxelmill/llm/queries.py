@@ -92,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_near_duplicates": neardup.oracle_sql(),
+    "op9_warc": warc.ORACLE_SQL,
 }

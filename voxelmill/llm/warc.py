@@ -168,3 +168,11 @@ def page_digests(records: DataFrame, id_type: str) -> DataFrame:
     """One row per record, with page ids in their own type."""
     own = lambda c: F.expr(f"try_cast(nullif({c}, '') AS {id_type})")
     return records.select(own("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", own("refers_to")).alias("refers_to"))
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, 5 * CAST(i // 4 AS INTEGER) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS digest FROM s),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first_id FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
