@@ -36,7 +36,7 @@ POSITIONS = 96
 TREES = 10
 #: Classes of a node that are compared with one another.
 SMALL = 32
-MAX_LEVEL = 14
+MAX_LEVEL = 8
 CACHE = 400_000
 
 _MIX = tuple(np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -149,50 +149,51 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, perce
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similar_links(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``reps``: id, n_shingles, sig of classes with elements; ``docs``: id, text.  Confirmed links (a, b), a < b,
-    whose components are those of all pairs that are similar enough."""
+def similar_components(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``reps``: id, n_shingles, sig of classes with elements; ``docs``: id, text.  id and component of the graph of all
+    pairs that are similar enough, without the smallest ids themselves."""
     spark, j = reps.sparkSession, percent / 100
     roots = F.array(*[F.xxhash64(F.lit(f"tree {t}")) for t in range(TREES)])
     rows = reps.select("id", "sig", F.explode(roots).alias("node")).select("id", F.explode(_children(F.col("node"), j)).alias("node"))
     kind = dict(reps.dtypes)["id"]
     links = spark.createDataFrame([], f"a {kind}, b {kind}")
+    parts = spark.createDataFrame([], f"id {kind}, component {kind}")
+    leader = lambda n: F.max(F.struct(n.alias("links"), F.xxhash64("node", "id").alias("h"), F.col("id"))).alias("leader")
     for level in range(1, MAX_LEVEL + 1):
-        rows = stored(rows.distinct() if level > 1 else rows, f"dedup-level{level}")
-        if level == 1:
-            # nobody has links yet: a leader is any class, by a hash
-            ranked, best = rows, F.max(F.struct(F.lit(0).cast("bigint").alias("links"), F.xxhash64("node", "id").alias("h"), F.col("id"), F.col("id").alias("c")))
-            other = (F.count("*") > 1).alias("open")
+        if level == 1:  # nobody has links yet: a leader is any class, by a hash
+            ranked = stored(rows, "dedup-level1")
+            nodes = ranked.groupBy("node").agg(F.count("*").alias("n"), leader(F.lit(0).cast("bigint"))).where("n > 1")
         else:
             degrees = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-            parts = connected_components(links)
-            ranked = rows.join(degrees, "id", "left").join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("node", "id").alias("h"), F.col("id"), F.col("c")))
-            other = (F.min("c") != F.max("c")).alias("open")
-            ranked = stored(ranked, f"dedup-ranked{level}")
-        nodes = ranked.groupBy("node").agg(F.count("*").alias("n"), best.alias("leader"), other)
-        nodes = stored(nodes.where((F.col("n") > 1) & F.col("open")), f"dedup-nodes{level}")
-        held = ranked.join(nodes, "node") if level > 1 else rows.join(nodes, "node")
+            ranked = rows.distinct().join(degrees, "id", "left").join(parts, "id", "left")
+            ranked = stored(ranked.select("id", "node", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("c")), f"dedup-level{level}")
+            nodes = ranked.groupBy("node").agg(F.count("*").alias("n"), leader(F.col("links")), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1 AND lo != hi")
+        held = ranked.join(stored(nodes.select("node", "n", "leader"), f"dedup-nodes{level}"), "node")
         small = held.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
         within = small.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("b"))
         large = held.where(F.col("n") > SMALL)
         led = large.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).where("a != b")
         pairs = stored(within.unionByName(led).distinct(), f"dedup-pairs{level}")
-        links = stored(links.unionByName(_confirmed(pairs, reps, docs, k, percent)).distinct(), f"dedup-links{level}")
+        found = stored(_confirmed(pairs, reps, docs, k, percent), f"dedup-found{level}")
+        links = stored(links.unionByName(found).distinct(), f"dedup-links{level}")
+        # what is known already is a forest of stars, so a round or two add the new links
+        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
         open_rows = stored(large.select("id", "node"), f"dedup-open{level}")
         if open_rows.isEmpty():
-            return links
-        if level < MAX_LEVEL:
-            rows = open_rows.join(reps.select("id", "sig"), "id").select("id", F.explode(_children(F.col("node"), j)).alias("node"))
+            return parts
+        if level < MAX_LEVEL:  # two steps down at once: half as many rounds over the tables
+            down = open_rows.join(reps.select("id", "sig"), "id")
+            for _ in range(2):
+                down = down.select("id", "sig", F.explode(_children(F.col("node"), j)).alias("node"))
+            rows = down.select("id", "node")
     # what is still in large nodes: blocks of a node against blocks of it, between components only
-    parts = connected_components(links)
     rest = open_rows.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mixed = rest.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.mode("c").alias("main")).where("lo != hi")
     rest = rest.join(mixed.select("node", "main", F.ceil(F.col("n") / SMALL).alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     strays = rest.where("c != main").select("node", F.col("id").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     more = strays.join(rest.select("node", "block", "id", "c"), ["node", "block"]).where("c != cx")
     more = stored(more.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct(), "dedup-rest")
-    return stored(links.unionByName(_confirmed(more, reps, docs, k, percent)).distinct(), "dedup-links")
+    return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(more, reps, docs, k, percent)))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -207,8 +208,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one = stored(one, "dedup-one")
     classes = one.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("id", "sig")).alias("m"))
     reps = stored(classes.select("key1", "key2", "n_shingles", "m.id", "m.sig"), "dedup-classes")
-    links = similar_links(reps, own, shingle, percent)
-    parts = connected_components(links)
+    parts = similar_components(reps, own, shingle, percent)
     names = reps.join(parts, "id", "left").select("key1", "key2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     out = one.select("id", "n_shingles", "key1", "key2").join(stored(names, "dedup-names"), ["key1", "key2", "n_shingles"], "left")
     out = out.select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
