@@ -290,3 +290,43 @@ def test_contamination_against_containment(spark, odd, none, big):
     d = spark.createDataFrame([(1, "x y z " * 40 + " ".join(para) + " q r s" * 40)], "doc_id bigint, text string")
     assert [r["item_id"] for r in decontamination.find_contamination(d, table).collect()] == [0]
 
+
+
+def test_contamination_recall_on_paraphrases(spark, big):
+    """Items with 20 to 40 % of their words replaced, against alignment with every window of the text."""
+    r = np.random.default_rng(6)
+    table = q.table(spark, "/root/testdata/sf0.1", "benchmark")
+    items = {b["item_id"]: decontamination.words_of(b["text"]) for b in table.collect()}
+    hosts = [h for d in q.table(spark, big, "documents").orderBy("doc_id").limit(300).collect() if 60 < len(h := decontamination.words_of(d["text"] or "")) < 400]
+    planted, texts = [], []
+    for rate in (0.2, 0.3, 0.4):
+        for i, own in items.items():
+            host, words = hosts[int(r.integers(len(hosts)))], own[:]
+            for at in r.choice(len(own) - 4, min(int(rate * len(own)), len(own) - 4), replace=False):
+                words[at] = host[int(r.integers(len(host)))]
+            at = int(r.integers(len(host)))
+            planted.append((len(texts), i))
+            texts.append([*host[:at], *words, *host[at:]])
+
+    def accepted(item, text):
+        n = len(item)
+        slack = max(8, n // 4)
+        for a in range(len(text)):
+            region = text[a : a + n + 2 * slack]
+            share = decontamination.lcs_length(item, region) / n
+            if share >= 0.75 or share >= 0.6 and decontamination.holds(region, item[-4:]):
+                return True
+        return False
+
+    want = {(d, i) for d, i in planted if accepted(items[i], texts[d])}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    others = q.table(spark, "/root/testdata/sf0.1", "documents").select(-F.col("doc_id") - 1, "text")
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.find_contamination(df.union(others), table).where("doc_id >= 0").collect()}
+    assert all(decontamination.lcs_length(items[i], texts[d]) >= 0.6 * len(items[i]) for d, i in got)
+    recalls = {}
+    for k in range(3):
+        for short in (True, False):
+            own = {(d, i) for d, i in want if d // len(items) == k and (len(items[i]) < decontamination.LONG_FROM) == short}
+            assert len(own) > 40
+            recalls[k, short] = len(own & got) / len(own)
+    assert min(recalls.values()) >= 0.9, recalls
