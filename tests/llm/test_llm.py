@@ -330,3 +330,14 @@ def test_contamination_recall_on_paraphrases(spark, big):
             assert len(own) > 40
             recalls[k, short] = len(own & got) / len(own)
     assert min(recalls.values()) >= 0.9, recalls
+
+
+def test_long_secrets_are_redacted_whole():
+    r = np.random.default_rng(8)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda n, more="": "".join(r.choice([*letters, *more], n - 1)) + "a"
+    model = pii.fit_pii_model()
+    for n in (100, 129, 200, 400, 1000):
+        for value in (f"token = {key(n)}", f"secret={key(n, '._-')}", f"api_key: eyJ{key(n // 3)}.{key(n // 3)}.{key(n // 3, '-_')}", f"ghp_{key(n)}", f"sk-{key(n)}", f"sk-proj-{key(n // 2)}-{key(n // 2, '_')}"):
+            text = f"lead words {value} and more"
+            assert pii.redacted(text, pii.find_spans(text, model)[1]) == "lead words <SECRET> and more", (n, value)

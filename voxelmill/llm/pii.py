@@ -52,8 +52,8 @@ NUMBERS = (
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")),
 )
-ASSIGNED = re.compile(r"(?<!\w)(?:api[_-]?key|secret|token|passw(?:or)?d|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{8,128}", re.I)
-MARKED = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,64}|sk[-_][A-Za-z0-9_-]{16,64})(?!\w)")
+ASSIGNED = re.compile(r"(?<!\w)(?:api[_-]?key|secret|token|passw(?:or)?d|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{8,}", re.I)
+MARKED = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|gh[pousr]_[A-Za-z0-9_]{20,}|sk[-_][A-Za-z0-9_-]{16,})")
 
 
 def luhn(digits: str) -> bool:
