@@ -159,3 +159,38 @@ def test_density_of_a_stream(spark, tmp_path, sphere):
     q.awaitTermination(120)
     both = spark.table("grown").join(voxels.select("vid", F.col("density").alias("once")), "vid")
     assert both.count() == voxels.count() and both.where(F.abs(F.col("density") - 2 * F.col("once")) > 1e-5).isEmpty()
+
+
+def brute_edge_costs(vertices, faces):
+    """{(a, b): (cost, determinant)} from planes, one edge at a time."""
+    quadrics = {v: np.zeros((4, 4)) for v in vertices}
+    for face in faces:
+        a, b, c = (np.array(vertices[v]) for v in face)
+        n = np.cross(b - a, c - a)
+        n = n / np.linalg.norm(n) if np.linalg.norm(n) > 0 else np.array([0.0, 0.0, 1.0])
+        plane = np.append(n, -n @ a)
+        for v in face:
+            quadrics[v] += np.outer(plane, plane)
+    out = {}
+    for a, b in {(min(e), max(e)) for f in faces for e in zip(f, (*f[1:], f[0]), strict=True)}:
+        q, det = quadrics[a] + quadrics[b], np.linalg.det((quadrics[a] + quadrics[b])[:3, :3])
+        p = np.linalg.solve(q[:3, :3], -q[:3, 3]) if abs(det) >= 1e-12 else (np.array(vertices[a]) + vertices[b]) / 2
+        p = np.append(p, 1)
+        out[a, b] = p @ q @ p, det
+    return out
+
+
+def test_edge_costs_of_all_edges(spark, sphere, sf_dir):
+    from voxelmill.plans import registry
+
+    def compare(m, rows):
+        want = brute_edge_costs({r["vid"]: (r["x"], r["y"], r["z"]) for r in m.vertices.collect()}, [(r["a"], r["b"], r["c"]) for r in m.faces.collect()])
+        assert len(rows) == len(want) > 10 and {(r["a"], r["b"]) for r in rows} == want.keys()
+        clear = [r for r in rows if not 1e-13 < abs(want[r["a"], r["b"]][1]) < 1e-9]  # beside the bound rounding decides
+        assert len(clear) > 0.9 * len(rows) and max(abs(r["cost"] - want[r["a"], r["b"]][0]) for r in clear) < 1e-5
+
+    m = sphere[3]
+    compare(m, decimate.edge_costs(m, decimate.vertex_quadrics(m)).collect())
+    rows = registry.QUERIES["quadric_edge_costs"](spark, sf_dir).collect()
+    assert [r["cost"] for r in rows] == sorted(r["cost"] for r in rows)
+    compare(registry.surface_of(spark, sf_dir)[0], rows)

@@ -362,9 +362,9 @@ def vertex_quadrics(spark, d):
 
 @query()
 def quadric_edge_costs(spark, d):
-    """Ten cheapest edges."""
+    """Every edge, in the order of merges."""
     m = surface_of(spark, d)[0]
-    return decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b").limit(10)
+    return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b"))
 
 
 @query()
