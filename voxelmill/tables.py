@@ -1,10 +1,15 @@
-"""Intermediate tables in the folder that all executors see."""
+"""Intermediate tables in the folder that all executors see, and their removal."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+
+#: With this setting Spark removes the shuffle files of a query when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,9 +26,65 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voxelmill-{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of each write go when it has ended: what comes later reads its table.  The session's
+    own choice comes back afterwards."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    with without_leftovers(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: the plan ends there, and the files
     outlive any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write(df, new_path(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one computation: each can be dropped as soon as what follows is stored, all go at the end.
+
+    A result that outlives the scope must be stored outside of it (``stored``) before the scope ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = write(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def counted(self, df: DataFrame, name: str, **figures) -> tuple[DataFrame, dict]:
+        """The table, and aggregates of its rows that the same pass has taken."""
+        seen = Observation()
+        out = self.stored(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name)
+        return out, seen.get
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if id(t) in self.paths:
+                remove(self.spark, self.paths.pop(id(t))[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.drop(*[t for t, _ in self.paths.values()])
