@@ -8,6 +8,8 @@ are divided by HUB, so that Spark sends it to all tasks: no task gets the links
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ def _small_star(links: DataFrame, scratch: Scratch | None) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """id and component (its smallest id) of each vertex of the links, but for the smallest ones themselves."""
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """id and component (its smallest id) of each vertex of the links, but for the smallest ones themselves; ``store``
+    writes the result."""
     mark = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     spark = links.sparkSession
     with Scratch(spark) as scratch:
@@ -64,4 +67,4 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             now, before, seen = new, seen, after
             if before == after:
                 break
-        return stored(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "components")
+        return store(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "components")
