@@ -1,18 +1,24 @@
 """Near duplicates by a chosen-path set similarity join.
 
 A document is the set of its word shingles.  Equal sets are one class, joined through its smallest id.
-Each class has MinHash values at ``positions``; at each node of a tree the positions to branch by are
-chosen by a hash of the node, one always and a second with probability 1 / similarity - 1, so that
-two sets that are similar enough stay together in one child of each node on average.  A node with few
-classes is compared exhaustively.  A larger one compares all classes with a leader, then goes on branching
-unless its classes are connected already; leaders are the classes with most links so far, so that
-the centre of a group of near copies is found early and links the group without all its pairs.
-Independent trees repeat this: a pair at the threshold is lost by one tree with probability 1 -
-similarity at most where a node of the first level is small.  Nodes still large at the last level are
-compared exhaustively in blocks, but only classes of different components.
-
-Candidates whose MinHash values agree far too little to reach the threshold are left out (five standard
-deviations below it); all others are confirmed on full sets of shingle hashes (64 bit).
+Each class has MinHash values at POSITIONS positions.  A tree branches a class by the values at the
+positions that a node's hash chooses, one always and a second with probability 1 / similarity - 1, so
+that two sets that are similar enough meet in one child of each node on average.  TREES independent
+trees repeat this.
+
+* A node of up to NODE classes goes to one task, as MinHash values of one byte each.  The task compares
+  all pairs of the node and proposes a spanning forest of the pairs that agree best; those are confirmed
+  on full sets of shingle hashes (64 bit) and give the first components.
+* Where more pairs of a node agree, its classes are compared again, and every agreeing pair of two
+  components is confirmed, so that a proposal that failed loses no other link.  A node with very many such
+  pairs branches further within its task.
+* A node of more classes never goes to one task.  All its classes are compared with its center, the class nearest
+  to the most common values of a sample of the node; then the classes outside the center's component
+  are dealt to blocks of the node and compared with all of it, or the node branches if they are many.
+
+Recall: a pair at the threshold of 0.8 shares a first node with probability 1 - 0.16^8 (a loss of 4e-7); deeper
+levels, which only nodes over the limits reach, lose more, 0.02 % at three levels.  Pairs of which fewer than LOW of
+the values agree are not confirmed: a pair at the threshold falls below with probability 2e-6.
 
 Defined results: null and empty texts have empty sets and no links; with fewer words than a shingle
 the whole sequence is the only element; a document with a null id is kept and linked with nothing;
@@ -26,17 +32,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .shared import small_batches, stored
+from ..tables import Scratch
+from .shared import lowest_per_group, small_batches, stored
 
 POSITIONS = 96
-TREES = 10
-#: Classes of a node that are compared with one another.
-SMALL = 32
-MAX_LEVEL = 8
+TREES = 8
+#: Classes of a node that one task compares; others of a larger node that are compared with all of it.
+NODE, OUTSIDE = 4096, 1024
+#: Agreeing pairs per class of a node up to which all are confirmed, and levels below which all are anyway.
+DENSE, DEPTH = 48, 8
+#: Classes of a node that its most common values are taken from.
+SAMPLE = 256
+#: Copies of a center's set that its members are dealt to.
+SALT = 64
+#: Nodes of one Arrow batch: a node holds up to NODE classes.
+NODE_ROWS = "64"
 CACHE = 400_000
 
 _MIX = tuple(np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -79,22 +93,46 @@ def minhash(values: np.ndarray, params: tuple[np.ndarray, np.ndarray]) -> np.nda
     return out
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``docs``: id, text.  Per row: id, n_shingles, set_key (two hashes of the set), sig (MinHash values)."""
-    schema = f"id {dict(docs.dtypes)['id']}, n_shingles bigint, key1 bigint, key2 bigint, sig array<int>"
+def tree_positions(similarity: float) -> list[tuple[int, int]]:
+    """(tree, position) of the first branches: one position of each tree, of some trees two; none twice."""
+    r = np.random.default_rng(41)
+    order = iter(r.permutation(POSITIONS).tolist())
+    return [(t, next(order)) for t in range(TREES) for _ in range(1 + (t < round(TREES * (1 / similarity - 1))))]
+
+
+def least_agreement(percent: int) -> int:
+    """Of POSITIONS values so many agree at least, but for five standard deviations, at the threshold."""
+    j = percent / 100
+    return int(POSITIONS * j - 5 * (POSITIONS * j * (1 - j)) ** 0.5)
+
+
+def signatures(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``docs``: id, text.  Per row: id, n_shingles, key1 and key2 (two hashes of the set), brief (a byte of each
+    MinHash value) and nodes (of the trees' first level); the last two are null for an empty set."""
+    schema = f"id {dict(docs.dtypes)['id']}, n_shingles bigint, key1 bigint, key2 bigint, brief binary, nodes array<bigint>"
+    branches = tree_positions(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, params = WordHashes(), minhash_params(POSITIONS)
+        trees, places = (np.array(x, np.uint64) for x in zip(*branches, strict=True))
         for b in batches:
-            n, key1, key2, sig = [], [], [], []
+            n, key1, key2, brief, nodes = [], [], [], [], []
             for x in b.column("text").cast(pa.binary()):
                 s = shingle_set(x.as_py() or b"", words, k)
                 raw = s.tobytes()
                 n.append(len(s))
                 key1.append(xxhash.xxh3_64_intdigest(raw, 1) - 2**63)
                 key2.append(xxhash.xxh3_64_intdigest(raw, 2) - 2**63)
-                sig.append(minhash(s, params).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["id", "n_shingles", "key1", "key2", "sig"])
+                if len(s):
+                    sig = minhash(s, params)
+                    brief.append(sig.astype(np.uint8).tobytes())
+                    h = (sig[places].astype(np.uint64) ^ (trees << np.uint64(40)) ^ (places << np.uint64(50))) * _MIX[0]
+                    nodes.append((h ^ (h >> np.uint64(31))).view(np.int64).tolist())
+                else:
+                    brief.append(None)
+                    nodes.append(None)
+            arrays = [b.column("id"), pa.array(n, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(brief, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "key1", "key2", "brief", "nodes"])
 
     return docs.mapInArrow(run, schema)
 
@@ -112,109 +150,320 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key1 bigint, items binary")
 
 
-def _children(node: Column, similarity: float) -> Column:
-    """Child nodes of a class: of the positions that the node's hash chooses, the class's values."""
-    at = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(POSITIONS)).cast("int")
-    two = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(POSITIONS)).cast("int")
-    often = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(10_000)) < int(10_000 * (1 / similarity - 1))
-    child = lambda p: F.xxhash64(node, p, F.get("sig", p))
-    return F.when(often & (at != two), F.array(child(at), child(two))).otherwise(F.array(child(at)))
+def agreements(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many values agree, for each row of ``sig`` and each of ``other``."""
+    if len(sig) * len(other) < 2048:
+        return (sig[:, None, :] == other[None, :, :]).sum(axis=2, dtype=np.uint8)
+    out = np.zeros((len(sig), len(other)), np.uint8)
+    columns = np.ascontiguousarray(other.T)
+    for at in range(0, len(sig), 256):  # a block stays in the processor's cache
+        part = np.ascontiguousarray(sig[at : at + 256].T)
+        for p in range(POSITIONS):
+            out[at : at + 256] += part[p][:, None] == columns[p][None, :]
+    return out
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those with 100 * common >= percent * union, by full sets."""
-    own = reps.select("id", "n_shingles", "sig")
-    side = lambda c: own.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b")
-    j = percent / 100
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    low = int(POSITIONS * j - 5 * (POSITIONS * j * (1 - j)) ** 0.5)
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    likely = stored(likely.where(fits & (agree >= low)).select("a", "b"), "dedup-likely")
-    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    sets = full_sets(docs.join(ids, "id", "left_semi"), k).join(reps.select("id", "key1"), ["id", "key1"], "left_semi")
-    sets = stored(sets.dropDuplicates(["id"]), "dedup-sets")
-    both = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+class Node:
+    """Classes of one node: sig (a row of bytes each), size (of their sets), tie (a hash of their ids)."""
+
+    def __init__(self, sig: np.ndarray, size: np.ndarray, tie: np.ndarray, low: int, percent: int):
+        self.sig, self.size, self.tie, self.low, self.percent = sig, size, tie, low, percent
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Agreement of pairs that may reach the threshold, 0 of others."""
+        out = agreements(self.sig[a], self.sig[b])
+        x, y = self.size[a][:, None], self.size[b][None, :]
+        out[(out < self.low) | (100 * np.minimum(x, y) < self.percent * np.maximum(x, y))] = 0
+        return out
+
+    def forest(self) -> tuple[list[tuple[int, int]], bool]:
+        """A spanning forest of the likely pairs, the best agreeing first; and whether there are more pairs."""
+        n = len(self.sig)
+        every = np.arange(n)
+        agree = self.likely(every, every)
+        np.fill_diagonal(agree, 0)
+        total = np.count_nonzero(agree) // 2
+        if not total:
+            return [], False
+        linked = np.flatnonzero(agree.any(axis=1))
+        if len(linked) < n:
+            agree = agree[np.ix_(linked, linked)]
+        tie, n, edges = self.tie[linked], len(linked), []
+        # Prim's algorithm; equal agreements by a hash of the pair, so that nodes choose alike
+        best, source, outside = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.ones(n, bool)
+        at = 0
+        for _ in range(n):
+            outside[at] = False
+            weight = (agree[at].astype(np.uint64) << np.uint64(32)) | (((tie + tie[at]) * _MIX[1]) >> np.uint64(32))
+            better = outside & (agree[at] > 0) & (weight > best)
+            best[better], source[better] = weight[better], at
+            at = int(np.argmax(np.where(outside, best, 0)))
+            if not outside[at] or not best[at]:
+                rest = np.flatnonzero(outside)
+                if not len(rest):
+                    break
+                at = int(rest[0])
+            else:
+                edges.append((int(linked[source[at]]), int(linked[at])))
+        return edges, total > len(edges)
+
+    def across(self, part: np.ndarray, rows: np.ndarray | None = None, depth: int = 0) -> set[tuple[int, int]]:
+        """Likely pairs of different parts; a node with very many of them branches, until it is deep."""
+        rows = np.arange(len(self.sig)) if rows is None else rows
+        if (part[rows] == part[rows[0]]).all():
+            return set()
+        agree = self.likely(rows, rows)
+        agree[part[rows][:, None] == part[rows][None, :]] = 0
+        a, b = np.nonzero(np.triu(agree, 1))
+        if len(a) <= DENSE * len(rows) or depth == DEPTH:
+            return set(zip(rows[a].tolist(), rows[b].tolist(), strict=True))
+        out: set[tuple[int, int]] = set()
+        r = np.random.default_rng([depth, int(self.sig[rows[0]].astype(np.int64).sum()), len(rows)])
+        for p in r.choice(POSITIONS, 1 + (r.random() < 100 / self.percent - 1), replace=False):
+            values = self.sig[rows, p]
+            for v in np.flatnonzero(np.bincount(values, minlength=256) > 1):
+                out |= self.across(part, rows[values == v], depth + 1)
+        return out
+
+
+def _in_nodes(members: DataFrame, percent: int, again: bool) -> DataFrame:
+    """``members``: node, id, n_shingles, brief, and with ``again`` part (a hash of the component).  Likely pairs of
+    each node, a and b (null where a node only has to tell), and more: whether the node has others."""
+    kind = dict(members.dtypes)["id"]
+    low = least_agreement(percent)
+    cols = ["id", "n_shingles", "tie", "brief", *["part"] * again]
+    grouped = members.withColumn("tie", F.xxhash64("id")).groupBy("node").agg(F.collect_list(F.struct(*cols)).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column("m")
+            flat, ends = m.flatten(), np.append(0, np.cumsum(m.value_lengths().to_numpy()))
+            if not len(flat):
+                continue
+            ids, sig = flat.field("id"), np.frombuffer(b"".join(flat.field("brief").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            size, tie = flat.field("n_shingles").to_numpy(), flat.field("tie").to_numpy().view(np.uint64)
+            part = flat.field("part").to_numpy() if again else None
+            first, second, nodes, more = [], [], [], []
+            starts, sizes = ends[:-1], np.diff(ends)
+            plain = sizes > 1
+            pairs = np.flatnonzero(sizes == 2)  # most nodes: all at once
+            if len(pairs):
+                x, y = starts[pairs], starts[pairs] + 1
+                fit = ((sig[x] == sig[y]).sum(axis=1) >= low) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+                if again:
+                    fit &= part[x] != part[y]
+                first, second, nodes = x[fit].tolist(), y[fit].tolist(), pairs[fit].tolist()
+                more = [False] * len(nodes)
+                plain[pairs] = False
+            for k in np.flatnonzero(plain):
+                s = slice(ends[k], ends[k + 1])
+                node = Node(sig[s], size[s], tie[s], low, percent)
+                found, rest = (node.across(part[s]), False) if again else node.forest()
+                for i, j in found:
+                    first.append(ends[k] + i)
+                    second.append(ends[k] + j)
+                    nodes.append(k)
+                    more.append(rest)
+            take = lambda x: ids.take(pa.array(np.array(x, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(np.array(nodes, np.int64))), take(first), take(second), pa.array(more, pa.bool_())], ["node", "a", "b", "more"])
+
+    return grouped.mapInArrow(run, f"node bigint, a {kind}, b {kind}, more boolean")
+
+
+def _agreeing(pairs: DataFrame, percent: int) -> DataFrame:
+    """Adds agree to pairs with the columns brief and other (bytes of two classes)."""
+    fields = [f"`{c}` {t}" for c, t in pairs.dtypes if c not in ("brief", "other")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = dict(pairs.dtypes)["a"]
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def similar_components(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``reps``: id, n_shingles, sig of classes with elements; ``docs``: id, text.  id and component of the graph of all
-    pairs that are similar enough, without the smallest ids themselves."""
-    spark, j = reps.sparkSession, percent / 100
-    roots = F.array(*[F.xxhash64(F.lit(f"tree {t}")) for t in range(TREES)])
-    rows = reps.select("id", "sig", F.explode(roots).alias("node")).select("id", F.explode(_children(F.col("node"), j)).alias("node"))
-    kind = dict(reps.dtypes)["id"]
-    links = spark.createDataFrame([], f"a {kind}, b {kind}")
-    parts = spark.createDataFrame([], f"id {kind}, component {kind}")
-    leader = lambda n: F.max(F.struct(n.alias("links"), F.xxhash64("node", "id").alias("h"), F.col("id"))).alias("leader")
-    for level in range(1, MAX_LEVEL + 1):
-        if level == 1:  # nobody has links yet: a leader is any class, by a hash
-            ranked = stored(rows, "dedup-level1")
-            nodes = ranked.groupBy("node").agg(F.count("*").alias("n"), leader(F.lit(0).cast("bigint"))).where("n > 1")
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("brief", "other"))
+            kept = b.drop_columns(["brief", "other"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array((x == y).sum(axis=1).astype(np.int32))], [*kept.schema.names, "agree"])
+
+    return pairs.mapInArrow(run, ", ".join([*fields, "agree int"]))
+
+
+class Search:
+    """One search for links: ``reps`` are the classes (id, n_shingles, key1, brief, nodes), ``docs`` has the texts."""
+
+    def __init__(self, reps: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch):
+        self.reps, self.docs, self.k, self.percent, self.scratch = reps, docs, k, percent, scratch
+        self.spark, self.kind = reps.sparkSession, dict(reps.dtypes)["id"]
+        self.low = least_agreement(percent)
+        self.sets: list[DataFrame] = []
+        self.parts = self.spark.createDataFrame([], f"id {self.kind}, component {self.kind}")
+
+    def fit(self, x: str, y: str):
+        return 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
+
+    def briefs(self, name: str, brief: str, size: str) -> DataFrame:
+        return self.reps.select(F.col("id").alias(name), F.col("brief").alias(brief), F.col("n_shingles").alias(size))
+
+    def sets_of(self, pairs: DataFrame) -> DataFrame:
+        """The full sets of all ids of the pairs; a text is read and cut once in the search."""
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        for known in self.sets:
+            ids = ids.join(known.select("id"), "id", "left_anti")
+        ids = self.scratch.stored(ids, "dedup-ids")
+        if not ids.isEmpty():
+            sets = full_sets(self.docs.join(ids, "id", "left_semi"), self.k).join(self.reps.select("id", "key1"), ["id", "key1"], "left_semi")
+            self.sets.append(self.scratch.stored(sets.dropDuplicates(["id"]).drop("key1"), "dedup-sets"))
+        self.scratch.drop(ids)
+        out = self.sets[0] if self.sets else self.spark.createDataFrame([], f"id {self.kind}, items binary")
+        for more in self.sets[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def confirm(self, pairs: DataFrame, star: bool = False) -> None:
+        """Adds the pairs (a, b) with 100 * common >= percent * union to the components.  ``star``: b may have very many
+        pairs, so its set is copied and the pairs are dealt to the copies."""
+        pairs = self.scratch.stored(pairs, "dedup-pairs")
+        if pairs.isEmpty():
+            return
+        sets = self.sets_of(pairs)
+        first, second = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+        if star:
+            second = second.join(pairs.select("b").distinct(), "b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+            both = pairs.join(first, "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")).join(second, ["b", "salt"]).select("a", "b", "x", "y")
         else:
-            degrees = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-            ranked = rows.distinct().join(degrees, "id", "left").join(parts, "id", "left")
-            ranked = stored(ranked.select("id", "node", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("c")), f"dedup-level{level}")
-            nodes = ranked.groupBy("node").agg(F.count("*").alias("n"), leader(F.col("links")), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1 AND lo != hi")
-        held = ranked.join(stored(nodes.select("node", "n", "leader"), f"dedup-nodes{level}"), "node")
-        small = held.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        within = small.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("b"))
-        large = held.where(F.col("n") > SMALL)
-        led = large.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).where("a != b")
-        pairs = stored(within.unionByName(led).distinct(), f"dedup-pairs{level}")
-        found = stored(_confirmed(pairs, reps, docs, k, percent), f"dedup-found{level}")
-        links = stored(links.unionByName(found).distinct(), f"dedup-links{level}")
+            both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = np.concatenate([p, q])
+                    both.sort(kind="stable")  # two sorted runs: a merge
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(100 * common >= percent * (len(p) + len(q) - common))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        found = self.scratch.stored(both.mapInArrow(run, f"a {self.kind}, b {self.kind}"), "dedup-found")
+        self.scratch.drop(pairs)
         # what is known already is a forest of stars, so a round or two add the new links
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
-        open_rows = stored(large.select("id", "node"), f"dedup-open{level}")
-        if open_rows.isEmpty():
-            return parts
-        if level < MAX_LEVEL:  # two steps down at once: half as many rounds over the tables
-            down = open_rows.join(reps.select("id", "sig"), "id")
-            for _ in range(2):
-                down = down.select("id", "sig", F.explode(_children(F.col("node"), j)).alias("node"))
-            rows = down.select("id", "node")
-    # what is still in large nodes: blocks of a node against blocks of it, between components only
-    rest = open_rows.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    mixed = rest.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.mode("c").alias("main")).where("lo != hi")
-    rest = rest.join(mixed.select("node", "main", F.ceil(F.col("n") / SMALL).alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    strays = rest.where("c != main").select("node", F.col("id").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    more = strays.join(rest.select("node", "block", "id", "c"), ["node", "block"]).where("c != cx")
-    more = stored(more.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct(), "dedup-rest")
-    return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(more, reps, docs, k, percent)))
+        before = self.parts
+        self.parts = connected_components(before.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), store=self.scratch.stored)
+        self.scratch.drop(found, before)
+
+    def counted(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` (node, id) with n, the classes of the node, where these are more than one."""
+        rows = rows.distinct()
+        counts = self.scratch.stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-counts")
+        out = self.scratch.stored(rows.join(counts, "node"), name)
+        self.scratch.drop(counts)
+        return out
+
+    def with_parts(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    def again(self, small: DataFrame) -> DataFrame:
+        """Likely pairs of different components within nodes of up to NODE classes."""
+        rows = self.scratch.stored(self.with_parts(small.select("node", "id")).withColumn("part", F.xxhash64("c")).drop("c"), "dedup-again")
+        mixed = rows.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("node")
+        rows = self.scratch.stored(rows.join(mixed, "node"), "dedup-mixed")
+        pairs = _in_nodes(rows.join(self.reps.select("id", "n_shingles", "brief"), "id"), self.percent, again=True)
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def centers(self, big: DataFrame) -> DataFrame:
+        """Per node: center, the class that agrees best with the most common values of a sample of the node."""
+        sample = lowest_per_group(big.select("node", "id", F.xxhash64("id", "node").alias("h")), "node", ["h", "id"], SAMPLE)
+        sample = sample.join(self.reps.select("id", "brief"), "id").groupBy("node").agg(F.collect_list("brief").alias("m"))
+
+        def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for m in b.column("m").to_pylist():
+                    sig = np.frombuffer(b"".join(m), np.uint8).reshape(-1, POSITIONS)
+                    out.append(bytes(int(np.bincount(c, minlength=256).argmax()) for c in sig.T))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], ["node", "other"])
+
+        wanted = self.scratch.stored(sample.mapInArrow(common, "node bigint, other binary"), "dedup-common")
+        near = _agreeing(big.select("node", "id").join(self.reps.select("id", "brief"), "id").join(wanted, "node"), self.percent)
+        best = near.groupBy("node").agg(F.max(F.struct("agree", F.xxhash64("id").alias("h"), "id")).alias("m"))
+        out = self.scratch.stored(best.select("node", F.col("m.id").alias("center")), "dedup-centers")
+        self.scratch.drop(wanted)
+        return out
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that agree enough."""
+        both = pairs.join(self.briefs("a", "brief", "na"), "a").join(self.briefs("b", "other", "nb"), "b").where(self.fit("na", "nb"))
+        return _agreeing(both.select("a", "b", "brief", "other"), self.percent).where(F.col("agree") >= self.low).select("a", "b")
+
+    def outside(self, rows: DataFrame) -> DataFrame:
+        """``rows``: node, id, n, c, main.  Likely pairs of those with c != main and all others of the node: the few
+        are sent to each block of the many."""
+        blocks = rows.withColumn("blocks", F.ceil(F.col("n") / (2 * OUTSIDE)))
+        few = blocks.where("c != main").select("node", F.col("id").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        many = blocks.select("node", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.col("id").alias("b"), F.col("c").alias("cb"))
+        few = few.join(self.briefs("a", "brief", "na"), "a")
+        many = many.join(self.briefs("b", "other", "nb"), "b")
+        met = few.join(many, ["node", "block"]).where((F.col("ca") != F.col("cb")) & self.fit("na", "nb"))
+        near = _agreeing(met.select("a", "b", "brief", "other"), self.percent).where(F.col("agree") >= self.low)
+        return near.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
+
+    def branched(self, rows: DataFrame) -> DataFrame:
+        """``rows``: node, id.  Their child nodes."""
+        at = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(POSITIONS)).cast("int")
+        often = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(10_000)) < int(10_000 * (100 / self.percent - 1))) & (at(1) != at(2))
+        child = lambda p: F.xxhash64("node", p, F.substring(F.col("brief"), p + 1, F.lit(1)))
+        children = F.when(often, F.array(child(at(1)), child(at(2)))).otherwise(F.array(child(at(1))))
+        return rows.select("node", "id").join(self.reps.select("id", "brief"), "id").select("id", F.explode(children).alias("node"))
+
+    def large(self, big: DataFrame) -> None:
+        """Nodes of more than NODE classes: node, id, n."""
+        for depth in range(DEPTH):
+            if big.isEmpty():
+                return
+            centers = self.centers(big)
+            star = big.join(centers, "node").where("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+            self.confirm(self.likely(star), star=True)
+            main = self.with_parts(centers.withColumnRenamed("center", "id")).select("node", F.col("c").alias("main"))
+            rows = self.scratch.stored(self.with_parts(big).join(main, "node"), "dedup-big")
+            out = rows.groupBy("node").agg(F.sum((F.col("c") != F.col("main")).cast("int")).alias("others")).where("others > 0")
+            out = self.scratch.stored(out, "dedup-others")
+            few = F.lit(depth == DEPTH - 1) | (F.col("others") <= OUTSIDE)
+            self.confirm(self.outside(rows.join(out.where(few).select("node"), "node")), star=True)
+            below = self.counted(self.branched(rows.join(out.where(~few).select("node"), "node", "left_semi")), "dedup-below")
+            self.confirm(self.again(below.where(F.col("n") <= NODE)))
+            big = self.scratch.stored(below.where(F.col("n") > NODE), "dedup-large")
+            self.scratch.drop(rows, out, below, centers)
+
+    def components(self) -> DataFrame:
+        """id and component of the classes that are linked, without the smallest ids themselves."""
+        held = self.counted(self.reps.select("id", F.explode("nodes").alias("node")), "dedup-nodes")
+        small = held.where(F.col("n") <= NODE)
+        found = _in_nodes(small.select("node", "id").join(self.reps.select("id", "n_shingles", "brief"), "id"), self.percent, again=False)
+        found = self.scratch.stored(found, "dedup-forest")
+        self.confirm(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        self.confirm(self.again(small.join(found.where("more").select("node").distinct(), "node", "left_semi")))
+        self.large(self.scratch.stored(held.where(F.col("n") > NODE), "dedup-large"))
+        return self.parts
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: its id, n_shingles, class_id (smallest id with the same set), component_id (smallest id
     reachable by links of ``percent`` similarity) and kept (it is that smallest id)."""
     spark = docs.sparkSession
-    small_batches(spark)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = stored(signatures(own, shingle), "dedup-signatures")
-    known = signed.where(F.col("id").isNotNull())
-    one = known.groupBy("id").agg(F.max(F.struct("n_shingles", "key1", "key2", "sig")).alias("m")).select("id", "m.*")
-    one = stored(one, "dedup-one")
-    classes = one.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("id", "sig")).alias("m"))
-    reps = stored(classes.select("key1", "key2", "n_shingles", "m.id", "m.sig"), "dedup-classes")
-    parts = similar_components(reps, own, shingle, percent)
-    names = reps.join(parts, "id", "left").select("key1", "key2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    out = one.select("id", "n_shingles", "key1", "key2").join(stored(names, "dedup-names"), ["key1", "key2", "n_shingles"], "left")
-    out = out.select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
-    unknown = signed.where(F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
-    out = out.unionByName(unknown)
-    return out.select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    small_batches(spark)
+    with Scratch(spark) as scratch:
+        signed = scratch.stored(signatures(own, shingle, percent / 100), "dedup-signatures")
+        known = signed.where(F.col("id").isNotNull())
+        one = known.groupBy("id").agg(F.max(F.struct("n_shingles", "key1", "key2", "brief", "nodes")).alias("m")).select("id", "m.*")
+        one = scratch.stored(one, "dedup-one")
+        classes = one.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("id", "brief", "nodes")).alias("m"))
+        reps = scratch.stored(classes.select("key1", "key2", "n_shingles", "m.id", "m.brief", "m.nodes"), "dedup-classes")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NODE_ROWS)
+        parts = Search(reps, own, shingle, percent, scratch).components()
+        small_batches(spark)
+        names = reps.join(parts, "id", "left").select("key1", "key2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+        out = one.select("id", "n_shingles", "key1", "key2").join(names, ["key1", "key2", "n_shingles"], "left")
+        out = out.select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+        unknown = signed.where(F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+        out = out.unionByName(unknown)
+        return stored(out.select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "dedup-result")
 
 
 def oracle_sql(shingle: int = 4, percent: int = 80, id_col: str = "doc_id", table: str = "documents") -> str:
