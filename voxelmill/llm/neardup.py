@@ -9,12 +9,13 @@ trees repeat this.
 * A node of up to NODE classes goes to one task, as MinHash values of one byte each.  The task compares
   all pairs of the node and proposes a spanning forest of the pairs that agree best; those are confirmed
   on full sets of shingle hashes (64 bit) and give the first components.
-* Where more pairs of a node agree, its classes are compared again, and every agreeing pair of two
-  components is confirmed, so that a proposal that failed loses no other link.  A node with very many such
-  pairs branches further within its task.
+* Where more pairs of a node agree, its classes meet again, now with their full sets, and all agreeing pairs of
+  two components are held against the threshold in the task, so that a proposal that failed loses no other
+  link; only a spanning forest of the links found leaves the task.  Nodes of very long texts, whose sets are too
+  large for one task, give their agreeing pairs instead, which are confirmed as pairs.
 * A node of more classes never goes to one task.  All its classes are compared with its center, the class nearest
   to the most common values of a sample of the node; then the classes outside the center's component
-  are dealt to blocks of the node and compared with all of it, or the node branches if they are many.
+  are copied to each block of the node and compared with it, or the node branches if they are many.
 
 Recall: a pair at the threshold of 0.8 shares a first node with probability 1 - 0.16^8 (a loss of 4e-7); deeper
 levels, which only nodes over the limits reach, lose more, 0.02 % at three levels.  Pairs of which fewer than LOW of
@@ -43,14 +44,14 @@ POSITIONS = 96
 TREES = 8
 #: Classes of a node that one task compares; others of a larger node that are compared with all of it.
 NODE, OUTSIDE = 4096, 1024
-#: Agreeing pairs per class of a node up to which all are confirmed, and levels below which all are anyway.
-DENSE, DEPTH = 48, 8
+#: Shingles of the sets that a task holds of one node; levels of branching.
+SHINGLES, DEPTH = 4_000_000, 8
+#: Pairs per class from which intersections are counted by matrix products, and cells of one such matrix.
+DENSE, CELLS = 8, 8_000_000
 #: Classes of a node that its most common values are taken from.
 SAMPLE = 256
 #: Copies of a center's set that its members are dealt to.
 SALT = 64
-#: Nodes of one Arrow batch: a node holds up to NODE classes.
-NODE_ROWS = "64"
 CACHE = 400_000
 
 _MIX = tuple(np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -207,31 +208,86 @@ class Node:
                 edges.append((int(linked[source[at]]), int(linked[at])))
         return edges, total > len(edges)
 
-    def across(self, part: np.ndarray, rows: np.ndarray | None = None, depth: int = 0) -> set[tuple[int, int]]:
-        """Likely pairs of different parts; a node with very many of them branches, until it is deep."""
-        rows = np.arange(len(self.sig)) if rows is None else rows
-        if (part[rows] == part[rows[0]]).all():
-            return set()
-        agree = self.likely(rows, rows)
-        agree[part[rows][:, None] == part[rows][None, :]] = 0
+    def across(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Likely pairs of different parts, the best agreeing first, and their agreement."""
+        every = np.arange(len(self.sig))
+        agree = self.likely(every, every)
+        agree[part[:, None] == part[None, :]] = 0
         a, b = np.nonzero(np.triu(agree, 1))
-        if len(a) <= DENSE * len(rows) or depth == DEPTH:
-            return set(zip(rows[a].tolist(), rows[b].tolist(), strict=True))
-        out: set[tuple[int, int]] = set()
-        r = np.random.default_rng([depth, int(self.sig[rows[0]].astype(np.int64).sum()), len(rows)])
-        for p in r.choice(POSITIONS, 1 + (r.random() < 100 / self.percent - 1), replace=False):
-            values = self.sig[rows, p]
-            for v in np.flatnonzero(np.bincount(values, minlength=256) > 1):
-                out |= self.across(part, rows[values == v], depth + 1)
+        near = agree[a, b]
+        order = np.argsort(-near.astype(np.int16), kind="stable")
+        return a[order], b[order], near[order]
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 * common >= percent * union, for sorted sets."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")  # two sorted runs: a merge
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def commons(sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with the sets ``others``, by matrix products."""
+    columns = np.unique(np.concatenate([sets[i] for i in rows]))
+    out = np.zeros((len(rows), len(others)), np.float32)
+
+    def places(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate([sets[i] for i in which]), np.repeat(np.arange(len(which)), [len(sets[i]) for i in which])
+        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        own = columns[at] == flat
+        return row[own], at[own]
+
+    left, right = places(rows), places(others)
+    step = max(64, CELLS // max(len(rows), len(others)))
+    for c in range(0, len(columns), step):
+        parts = []
+        for (row, at), n in ((left, len(rows)), (right, len(others))):
+            own = (at >= c) & (at < c + step)
+            x = np.zeros((n, min(step, len(columns) - c)), np.float32)
+            x[row[own], at[own] - c] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def links_across(sets: list[np.ndarray], part: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (a, b) those that are similar and join parts that no pair before has joined."""
+    name = np.unique(part, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        out.append((i, j))
+        name[name == name[j]] = name[i]
+
+    if len(a) <= DENSE * len(part):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if name[i] != name[j] and similar(sets[i], sets[j], percent):
+                join(i, j)
         return out
+    size = np.array([len(s) for s in sets], np.float32)
+    wanted = np.zeros((len(part), len(part)), bool)
+    wanted[a, b] = wanted[b, a] = True
+    rows = np.flatnonzero(wanted.any(axis=1))
+    for at in range(0, len(rows), 256):
+        block = rows[at : at + 256]
+        others = rows[at:]
+        common = commons(sets, block, others)
+        linked = wanted[np.ix_(block, others)] & (100 * common >= percent * (size[block][:, None] + size[others][None, :] - common))
+        for i, own in zip(block.tolist(), linked, strict=True):
+            while len(more := others[own & (name[others] != name[i])]):
+                join(i, int(more[0]))
+    return out
 
 
-def _in_nodes(members: DataFrame, percent: int, again: bool) -> DataFrame:
-    """``members``: node, id, n_shingles, brief, and with ``again`` part (a hash of the component).  Likely pairs of
-    each node, a and b (null where a node only has to tell), and more: whether the node has others."""
+def _in_nodes(members: DataFrame, percent: int) -> DataFrame:
+    """``members``: node, id, n_shingles, brief; with part (a hash of the component) pairs of different parts only; with
+    items (the full sets) confirmed ones.  Pairs (a, b) of each node, and more: whether the node has likely
+    pairs besides these."""
     kind = dict(members.dtypes)["id"]
     low = least_agreement(percent)
-    cols = ["id", "n_shingles", "tie", "brief", *["part"] * again]
+    again, exact = "part" in members.columns, "items" in members.columns
+    cols = ["id", "n_shingles", "tie", "brief", *["part"] * again, *["items"] * exact]
     grouped = members.withColumn("tie", F.xxhash64("id")).groupBy("node").agg(F.collect_list(F.struct(*cols)).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +303,7 @@ def _in_nodes(members: DataFrame, percent: int, again: bool) -> DataFrame:
             starts, sizes = ends[:-1], np.diff(ends)
             plain = sizes > 1
             pairs = np.flatnonzero(sizes == 2)  # most nodes: all at once
-            if len(pairs):
+            if len(pairs) and not exact:
                 x, y = starts[pairs], starts[pairs] + 1
                 fit = ((sig[x] == sig[y]).sum(axis=1) >= low) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
                 if again:
@@ -256,9 +312,17 @@ def _in_nodes(members: DataFrame, percent: int, again: bool) -> DataFrame:
                 more = [False] * len(nodes)
                 plain[pairs] = False
             for k in np.flatnonzero(plain):
-                s = slice(ends[k], ends[k + 1])
+                s, rest = slice(ends[k], ends[k + 1]), False
                 node = Node(sig[s], size[s], tie[s], low, percent)
-                found, rest = (node.across(part[s]), False) if again else node.forest()
+                if again:
+                    i, j, _ = node.across(part[s])
+                    if exact and len(i):
+                        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in flat.field("items")[s]]
+                        found = links_across(sets, part[s], i, j, percent)
+                    else:
+                        found = zip(i.tolist(), j.tolist(), strict=True)
+                else:
+                    found, rest = node.forest()
                 for i, j in found:
                     first.append(ends[k] + i)
                     second.append(ends[k] + j)
@@ -299,9 +363,8 @@ class Search:
     def briefs(self, name: str, brief: str, size: str) -> DataFrame:
         return self.reps.select(F.col("id").alias(name), F.col("brief").alias(brief), F.col("n_shingles").alias(size))
 
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """The full sets of all ids of the pairs; a text is read and cut once in the search."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """The full sets of all ids at least; a text is read and cut once in the search."""
         for known in self.sets:
             ids = ids.join(known.select("id"), "id", "left_anti")
         ids = self.scratch.stored(ids, "dedup-ids")
@@ -320,7 +383,7 @@ class Search:
         pairs = self.scratch.stored(pairs, "dedup-pairs")
         if pairs.isEmpty():
             return
-        sets = self.sets_of(pairs)
+        sets = self.sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         first, second = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         if star:
             second = second.join(pairs.select("b").distinct(), "b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -331,19 +394,16 @@ class Search:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = np.concatenate([p, q])
-                    both.sort(kind="stable")  # two sorted runs: a merge
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    keep.append(100 * common >= percent * (len(p) + len(q) - common))
+                keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        found = self.scratch.stored(both.mapInArrow(run, f"a {self.kind}, b {self.kind}"), "dedup-found")
+        self.join(self.scratch.stored(both.mapInArrow(run, f"a {self.kind}, b {self.kind}"), "dedup-found"))
         self.scratch.drop(pairs)
-        # what is known already is a forest of stars, so a round or two add the new links
+
+    def join(self, found: DataFrame) -> None:
+        """Adds links (a, b), a table of the search, to the components."""
         before = self.parts
+        # what is known already is a forest of stars, so a round or two add the new links
         self.parts = connected_components(before.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), store=self.scratch.stored)
         self.scratch.drop(found, before)
 
@@ -358,13 +418,21 @@ class Search:
     def with_parts(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
-    def again(self, small: DataFrame) -> DataFrame:
-        """Likely pairs of different components within nodes of up to NODE classes."""
-        rows = self.scratch.stored(self.with_parts(small.select("node", "id")).withColumn("part", F.xxhash64("c")).drop("c"), "dedup-again")
-        mixed = rows.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("node")
-        rows = self.scratch.stored(rows.join(mixed, "node"), "dedup-mixed")
-        pairs = _in_nodes(rows.join(self.reps.select("id", "n_shingles", "brief"), "id"), self.percent, again=True)
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def again(self, small: DataFrame) -> None:
+        """Adds the links between different components within nodes of up to NODE classes: node, id."""
+        rows = self.with_parts(small.select("node", "id")).withColumn("part", F.xxhash64("c")).drop("c")
+        rows = self.scratch.stored(rows.join(self.reps.select("id", "n_shingles"), "id"), "dedup-again")
+        mixed = rows.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n_shingles").alias("total")).where("lo != hi")
+        mixed = self.scratch.stored(mixed.select("node", (F.col("total") <= SHINGLES).alias("light")), "dedup-mixed")
+        held = self.scratch.stored(rows.join(mixed, "node").join(self.reps.select("id", "brief"), "id"), "dedup-held")
+        self.scratch.drop(rows, mixed)
+        if not held.isEmpty():
+            light, heavy = held.where("light").drop("light"), held.where("NOT light").drop("light")
+            sets = self.sets_of(light.select("id").distinct())
+            found = _in_nodes(light.join(sets, "id"), self.percent).select("a", "b")
+            self.join(self.scratch.stored(found, "dedup-across"))
+            self.confirm(_in_nodes(heavy, self.percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        self.scratch.drop(held)
 
     def centers(self, big: DataFrame) -> DataFrame:
         """Per node: center, the class that agrees best with the most common values of a sample of the node."""
@@ -392,16 +460,15 @@ class Search:
         return _agreeing(both.select("a", "b", "brief", "other"), self.percent).where(F.col("agree") >= self.low).select("a", "b")
 
     def outside(self, rows: DataFrame) -> DataFrame:
-        """``rows``: node, id, n, c, main.  Likely pairs of those with c != main and all others of the node: the few
-        are sent to each block of the many."""
-        blocks = rows.withColumn("blocks", F.ceil(F.col("n") / (2 * OUTSIDE)))
-        few = blocks.where("c != main").select("node", F.col("id").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-        many = blocks.select("node", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.col("id").alias("b"), F.col("c").alias("cb"))
-        few = few.join(self.briefs("a", "brief", "na"), "a")
-        many = many.join(self.briefs("b", "other", "nb"), "b")
-        met = few.join(many, ["node", "block"]).where((F.col("ca") != F.col("cb")) & self.fit("na", "nb"))
-        near = _agreeing(met.select("a", "b", "brief", "other"), self.percent).where(F.col("agree") >= self.low)
-        return near.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
+        """``rows``: node, id, n, c, main, others (how many have c != main).  Nodes of NODE classes at most that hold each
+        pair of one of the others and one of all: groups of the others are copied to blocks of the node."""
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        dealt = lambda n: F.pmod(F.xxhash64("id"), n)
+        rows = rows.withColumn("blocks", F.ceil(F.col("n") / (NODE - 2 * OUTSIDE))).withColumn("groups", F.ceil(F.col("others") / OUTSIDE))
+        few = rows.where("c != main").withColumn("group", dealt(F.col("groups"))).withColumn("block", every(F.col("blocks")))
+        many = rows.withColumn("block", dealt(F.col("blocks"))).withColumn("group", every(F.col("groups")))
+        cols = [F.xxhash64("node", "block", "group").alias("node"), "id"]
+        return few.select(*cols).unionByName(many.select(*cols)).distinct()
 
     def branched(self, rows: DataFrame) -> DataFrame:
         """``rows``: node, id.  Their child nodes."""
@@ -424,9 +491,9 @@ class Search:
             out = rows.groupBy("node").agg(F.sum((F.col("c") != F.col("main")).cast("int")).alias("others")).where("others > 0")
             out = self.scratch.stored(out, "dedup-others")
             few = F.lit(depth == DEPTH - 1) | (F.col("others") <= OUTSIDE)
-            self.confirm(self.outside(rows.join(out.where(few).select("node"), "node")), star=True)
+            self.again(self.outside(rows.join(out.where(few), "node")))
             below = self.counted(self.branched(rows.join(out.where(~few).select("node"), "node", "left_semi")), "dedup-below")
-            self.confirm(self.again(below.where(F.col("n") <= NODE)))
+            self.again(below.where(F.col("n") <= NODE))
             big = self.scratch.stored(below.where(F.col("n") > NODE), "dedup-large")
             self.scratch.drop(rows, out, below, centers)
 
@@ -434,10 +501,11 @@ class Search:
         """id and component of the classes that are linked, without the smallest ids themselves."""
         held = self.counted(self.reps.select("id", F.explode("nodes").alias("node")), "dedup-nodes")
         small = held.where(F.col("n") <= NODE)
-        found = _in_nodes(small.select("node", "id").join(self.reps.select("id", "n_shingles", "brief"), "id"), self.percent, again=False)
+        found = _in_nodes(small.select("node", "id").join(self.reps.select("id", "n_shingles", "brief"), "id"), self.percent)
         found = self.scratch.stored(found, "dedup-forest")
         self.confirm(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        self.confirm(self.again(small.join(found.where("more").select("node").distinct(), "node", "left_semi")))
+        # only classes of the forest have likely pairs
+        self.again(found.where("more").select("node", F.explode(F.array("a", "b")).alias("id")).distinct())
         self.large(self.scratch.stored(held.where(F.col("n") > NODE), "dedup-large"))
         return self.parts
 
@@ -455,9 +523,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         one = scratch.stored(one, "dedup-one")
         classes = one.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("id", "brief", "nodes")).alias("m"))
         reps = scratch.stored(classes.select("key1", "key2", "n_shingles", "m.id", "m.brief", "m.nodes"), "dedup-classes")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NODE_ROWS)
         parts = Search(reps, own, shingle, percent, scratch).components()
-        small_batches(spark)
         names = reps.join(parts, "id", "left").select("key1", "key2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
         out = one.select("id", "n_shingles", "key1", "key2").join(names, ["key1", "key2", "n_shingles"], "left")
         out = out.select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))

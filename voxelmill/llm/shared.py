@@ -8,19 +8,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import new_path, shared_dir, stored
+from ..tables import Scratch, new_path, shared_dir, stored
 
 #: ASCII white space that separates words, and what is not.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: Rows of an Arrow batch: texts can be long, so a batch holds few.
-ARROW_ROWS = "512"
+#: Rows and bytes of an Arrow batch at most: texts can be long, so a batch holds few.
+ARROW_ROWS, ARROW_BYTES = "512", "16m"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small enough for a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def crc_mod(column: str, m: int) -> Column:
@@ -47,4 +48,4 @@ def table_dir(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 
 
-__all__ = ["ARROW_ROWS", "SPACE", "WORD", "crc_mod", "lowest_per_group", "new_path", "shared_dir", "small_batches", "stored", "table_dir", "texts"]
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "SPACE", "WORD", "Scratch", "crc_mod", "lowest_per_group", "new_path", "shared_dir", "small_batches", "stored", "table_dir", "texts"]
