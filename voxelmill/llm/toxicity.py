@@ -1,8 +1,10 @@
 """Toxicity with a counterfactually regularised linear classifier.
 
-Features are the presence of words and of word beginnings.  Where a sentence of the training texts
+Features are the presence of words and of word beginnings.  Where a sentence of the labelled texts
 names a group of people, the name is swapped for those of other groups, and the squared change of the
-score is part of the loss: the classifier can't lean on the mention of a group.
+score is part of the loss: the classifier can't lean on the mention of a group.  Corpora may name groups
+rarely, so every second labelled text also serves with a name placed at a hashed word of it, under
+its own label; these mentions are swapped like any others.
 
 Defined results: null and empty texts hold no feature and get the score of the intercept; without
 labelled rows (or with a single class) every score is the class prior (0 without rows).  Repeated
@@ -17,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored, texts
+from .shared import Scratch, small_batches, texts
 
 # Names of groups of people, by kind; a name is swapped for others of its row.
 IDENTITY_TERMS = (
@@ -54,6 +57,14 @@ def named(words: set[str], starts: set[str]) -> list[str]:
     return [*words, *("^" + s for s in starts)]
 
 
+def with_mention(text: str) -> str:
+    """The text with a name of a group at one of its words, both by a hash of the text."""
+    h = xxhash.xxh3_64_intdigest(text.encode())
+    gaps = [m.start() for m in re.finditer(" ", text)] or [len(text)]
+    at, names = gaps[h % len(gaps)], sorted(_swaps)
+    return f"{text[:at]} {names[(h >> 32) % len(names)]}{text[at:]}"
+
+
 def counterfactuals(text: str) -> list[tuple[list[str], list[str]]]:
     """For each sentence that names a group and each other name of its kind: the features that a swap
     adds and removes."""
@@ -63,7 +74,7 @@ def counterfactuals(text: str) -> list[tuple[list[str], list[str]]]:
     out = []
     for sentence in SENTENCE_END.split(low):
         words = set(LETTER_RUN.findall(sentence))
-        for term in words & _swaps.keys():
+        for term in sorted(words & _swaps.keys()):
             before = set(named(*features(sentence)))
             for other in _swaps[term]:
                 after = set(named(*features(re.sub(rf"(?<![^\W\d_]){term}(?![^\W\d_])", other, sentence))))
@@ -76,6 +87,8 @@ class ToxicityModel:
     bias: float
     words: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
+    #: Kinds of swaps that its loss held.
+    n_swaps: int = 0
 
     def score(self, text: str) -> float:
         words, starts = features(text)
@@ -87,7 +100,8 @@ class ToxicityModel:
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: np.ndarray, *, l2: float, swap_penalty: float, steps: int) -> np.ndarray:
-    """Accelerated gradient descent on logistic loss + l2 + swap penalty; the last weight is the intercept."""
+    """Accelerated gradient descent on logistic loss + l2 + swap penalty; the last weight is the intercept.  ``pairs``:
+    a row of feature changes for each swap, scaled by the root of its share of all swaps."""
     n, d = x.shape
     x1 = np.hstack([x, np.ones((n, 1), np.float32)])
     w = v = np.zeros(d + 1, np.float32)
@@ -99,14 +113,14 @@ def fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: np.ndar
         z = x1.T @ (weight * (x1 @ z))
     top = 0.25 * np.linalg.norm(z) + l2
     if len(pairs):
-        top += 2 * swap_penalty * np.linalg.norm(pairs, ord=2) ** 2 / len(pairs)
+        top += 2 * swap_penalty * np.linalg.norm(pairs, ord=2) ** 2
     keep = np.append(np.full(d, l2), 0).astype(np.float32)
     rate = np.float32(1 / top)
     for t in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ v, -40, 40)))
         g = x1.T @ (weight * (p - y)) + keep * v
         if len(pairs):
-            g[:d] += 2 * swap_penalty * (pairs.T @ (pairs @ v[:d])) / len(pairs)
+            g[:d] += 2 * swap_penalty * (pairs.T @ (pairs @ v[:d]))
         new = v - rate * g
         v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
@@ -132,43 +146,48 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("added", pa.list_(pa.string())), ("removed", pa.list_(pa.string()))]))
         for b in batches:
-            items = list(texts(b.column("text")))
-            found = [sorted(named(*features(t))) for t in items]
-            swaps = [[{"added": a, "removed": r} for a, r in counterfactuals(t)] for t in items]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(found, pa.list_(pa.string())), pa.array(swaps, kind)], ["y", "found", "swaps"])
-
-    sample = stored(sample.mapInArrow(extract, "y int, found array<string>, swaps array<struct<added:array<string>,removed:array<string>>>"), "toxicity-sample")
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return ToxicityModel(40.0 if n.get(1) else -40.0)
-    counts = sample.select("y", F.explode("found").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") + F.col("q") >= min_docs)
-    a, b = F.col("p") / n[1], F.col("q") / n[0]
-    pooled = (F.col("p") + F.col("q")) / (n[0] + n[1])
-    strength = F.abs(a - b) / F.sqrt(pooled * (1 - pooled) + 1e-4)
-    vocab = [r["f"] for r in counts.orderBy(strength.desc(), "f").limit(max_features).collect()]
-    at = {f: i for i, f in enumerate(vocab)}
-    chosen = F.array(*[F.lit(f) for f in vocab]) if vocab else F.array().cast("array<string>")
-    rows = sample.select("y", F.array_intersect("found", chosen).alias("found"), "swaps").collect()
-    rows.sort(key=lambda r: (r["y"], r["found"]))
+            labels, found, placed, swaps = [], [], [], []
+            for y, text in zip(b.column("y").to_pylist(), texts(b.column("text")), strict=True):
+                second = xxhash.xxh3_64_intdigest(text.encode(), 3) % 2 == 0
+                for version in [text, with_mention(text)] if second else [text]:
+                    labels.append(y)
+                    found.append(sorted(named(*features(version))))
+                    placed.append(version is not text)
+                    swaps.append([{"added": a, "removed": r} for a, r in counterfactuals(version)] if version is not text or not second else [])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(placed, pa.bool_()), pa.array(swaps, kind)], ["y", "found", "placed", "swaps"])
+
+    with Scratch(spark) as scratch:
+        sample = scratch.stored(sample.mapInArrow(extract, "y int, found array<string>, placed boolean, swaps array<struct<added:array<string>,removed:array<string>>>"), "toxicity-sample")
+        plain = sample.where("NOT placed")
+        n = {r["y"]: r["n"] for r in plain.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        if len(n) < 2:
+            return ToxicityModel(40.0 if n.get(1) else -40.0)
+        counts = plain.select("y", F.explode("found").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") + F.col("q") >= min_docs)
+        a, b = F.col("p") / n[1], F.col("q") / n[0]
+        pooled = (F.col("p") + F.col("q")) / (n[0] + n[1])
+        strength = F.abs(a - b) / F.sqrt(pooled * (1 - pooled) + 1e-4)
+        names = sorted({f for term in _swaps for f in named(*features(term))})  # the names and their beginnings, always
+        vocab = [r["f"] for r in counts.where(~F.col("f").isin(names)).orderBy(strength.desc(), "f").limit(max_features).collect()] + names
+        at = {f: i for i, f in enumerate(vocab)}
+        chosen = F.array(*[F.lit(f) for f in vocab])
+        rows = sample.select("y", "placed", F.array_intersect("found", chosen).alias("found")).collect()  # at most 4 * per_class
+        # swaps that change the same features are one row
+        change = sample.select(F.explode("swaps").alias("s")).select(*[F.array_sort(F.array_intersect(f"s.{c}", chosen)).alias(c) for c in ("added", "removed")])
+        changes = change.groupBy("added", "removed").agg(F.count("*").alias("n")).orderBy("added", "removed").collect()
+    rows.sort(key=lambda r: (r["y"], r["placed"], r["found"]))
     x = np.zeros((len(rows), len(vocab)), np.float32)
-    deltas = []
     for i, r in enumerate(rows):
-        for f in r["found"]:
-            x[i, at[f]] = 1
-        for s in r["swaps"]:
-            delta = np.zeros(len(vocab), np.float32)
-            for f in s["added"]:
-                if f in at:
-                    delta[at[f]] += 1
-            for f in s["removed"]:
-                if f in at:
-                    delta[at[f]] -= 1
-            if delta.any():
-                deltas.append(delta)
+        x[i, [at[f] for f in r["found"]]] = 1
+    pairs = np.zeros((len(changes), len(vocab)), np.float32)
+    total = sum(r["n"] for r in changes)
+    for i, r in enumerate(changes):
+        pairs[i, [at[f] for f in r["added"]]] = (r["n"] / total) ** 0.5
+        pairs[i, [at[f] for f in r["removed"]]] = -((r["n"] / total) ** 0.5)
     y = np.array([r["y"] for r in rows], np.float64)
-    weight = np.where(y == 1, totals[1] / n[1], totals[0] / n[0])
-    w = fit_weights(x, y, weight, np.array(deltas, np.float32).reshape(-1, len(vocab)), l2=l2, swap_penalty=swap_penalty, steps=steps)
-    return ToxicityModel(float(w[-1]), {f: float(w[i]) for f, i in at.items() if f[0] != "^"}, {f[1:]: float(w[i]) for f, i in at.items() if f[0] == "^"})
+    weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
+    w = fit_weights(x, y, weight, pairs, l2=l2, swap_penalty=swap_penalty, steps=steps)
+    weights = {f: float(w[i]) for f, i in at.items()}
+    return ToxicityModel(float(w[-1]), {f: v for f, v in weights.items() if f[0] != "^"}, {f[1:]: v for f, v in weights.items() if f[0] == "^"}, len(changes))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
