@@ -15,11 +15,13 @@ then the earlier, then the longer stays.  Repeated rows give equal results, extr
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +41,21 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 LONG_NUMBER = re.compile(r"[0-9][\x20-]?(?:[0-9][\x20-]?){12}[0-9]")
 
 AT = re.compile(r" ?[\[({<][aA][tT][\])}>] ?| [aA][tT] ")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<]dot[\])}>] ?| dot )[A-Za-z0-9-]{1,63}){1,4}", re.I)
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[\[({<]dot[\])}>] ?| dot )[A-Za-z0-9-]+)+", re.I)
 DIGIT = re.compile("[0-9]")
+#: A call prefix of two digits, and a number.
+PHONE_DIGITS = 17
 SECRET_WORDS = ("token", "secret", "passw", "key")
 SECRET_MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_")
 
 #: Generators of further candidates that hold a digit: kind and pattern.
 NUMBERS = (
     ("phone", re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,5}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w.+-])00[0-9][0-9 ()./-]{8,18}[0-9](?!\w)")),
+    ("phone", re.compile(r"(?<![\w.+-])00[0-9][0-9 ()./-]+[0-9](?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")),
 )
-ASSIGNED = re.compile(r"(?<!\w)(?:api[_-]?key|secret|token|passw(?:or)?d|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{8,}", re.I)
+ASSIGNED = re.compile(r"(?<!\w)(?:api[_-]?key|secret|token|passw(?:or)?d|access[_-]?key)[\"']?[ \t]*[:=]\s*[\"']?[A-Za-z0-9_/+.=-]{8,}", re.I)
 MARKED = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|gh[pousr]_[A-Za-z0-9_]{20,}|sk[-_][A-Za-z0-9_-]{16,})")
 
 
@@ -99,10 +102,13 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals of the generators."""
     out = []
     for m in AT.finditer(text):
-        if (name := LOCAL_END.search(text[max(0, m.start() - 64) : m.start()])) and (domain := SPELLED_DOMAIN.match(text, m.end())):
-            out.append(("email", m.start() - len(name[0]), domain.end()))
+        start = m.start()
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start() and (domain := SPELLED_DOMAIN.match(text, m.end())):
+            out.append(("email", start, domain.end()))
     if DIGIT.search(text):
-        out += [(kind, m.start(), m.end()) for kind, pattern in NUMBERS for m in pattern.finditer(text)]
+        out += [(kind, m.start(), m.end()) for kind, pattern in NUMBERS for m in pattern.finditer(text) if kind != "phone" or len(digits_of(m[0])) <= PHONE_DIGITS]
     low = text.lower()
     if any(w in low for w in SECRET_WORDS):
         out += [("secret", m.start(), m.end()) for m in ASSIGNED.finditer(text)]
@@ -259,9 +265,10 @@ class PiiModel:
     thresholds: dict[str, float]
 
 
+@lru_cache(maxsize=4)
 def fit_pii_model(*, cases: int = 1600, precision: float = 0.98, seed: int = 7) -> PiiModel:
     """Trees from one set of simulated cases; for each kind the least threshold that keeps ``precision``
-    on another set."""
+    on another set.  A process fits each model once."""
     train, held = simulated(cases, seed), simulated(cases, seed + 1)
     matrix = lambda rows: np.array([span_features(*r[:4]) for r in rows])
     trees = boost(matrix(train), np.array([r[4] for r in train], np.float64))
@@ -277,19 +284,41 @@ def fit_pii_model(*, cases: int = 1600, precision: float = 0.98, seed: int = 7)
     return PiiModel(trees, thresholds)
 
 
+class Intervals:
+    """Intervals that don't overlap, in order; those that it starts with are merged where they do."""
+
+    def __init__(self, first: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(first):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Takes the interval if it overlaps none."""
+        at = bisect.bisect_right(self.ends, a)  # the first that ends after a
+        if at < len(self.starts) and self.starts[at] < b:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 def find_spans(text: str, model: PiiModel) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and base and added spans together, each by start and then kind."""
     base = base_spans(text)
     found = candidates(text)
     if not found:
         return base, base
-    taken = [(a, b) for _, a, b in base]
+    taken = Intervals([(a, b) for _, a, b in base])
     scores = model.trees.score(np.array([span_features(text, *c) for c in found]))
     picked = sorted((-round(float(s), 9), a, -b, k) for s, (k, a, b) in zip(scores, found, strict=True) if s >= model.thresholds[k])
     added: list[tuple[str, int, int]] = []
     for _, a, nb, kind in picked:
-        if all(-nb <= x or a >= y for x, y in taken):
-            taken.append((a, -nb))
+        if taken.add(a, -nb):
             added.append((kind, a, -nb))
     return base, sorted([*base, *added], key=lambda s: (s[1], ORDER[s[0]]))
 
