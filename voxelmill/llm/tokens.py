@@ -6,13 +6,14 @@ quantiles and truncated totals for every context limit at once.
 
 Defined results: null and empty texts have length 0; an empty table gives an empty histogram.
 Repeated rows count each time, extra columns are ignored; text that spells a special token is
-ordinary text.
+ordinary text; runs of white space, letters or marks of any length count as the tokenizer's pattern cuts them.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,11 @@ from .shared import small_batches, texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before byte pairs are merged.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: white space as the tokenizer's pattern means it.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts with a run of one kind of so many characters are cut to pieces here: the tokenizer's own matcher fails on very
+#: long ones.
+LONG_RUN = 20_000
 #: Lengths of one block of the two-step suffix sums.
 BLOCK = 512
 
@@ -40,6 +46,25 @@ def encoding(path: str):
     return _encodings[path]
 
 
+@lru_cache(maxsize=1)
+def _patterns() -> tuple:
+    import regex
+
+    kinds = (rf"[{WHITE}]", r"\p{L}", r"\p{N}", rf"[^{WHITE}\p{{L}}\p{{N}}]")
+    own = PATTERN.replace(r"[^\s\p", rf"[^{WHITE}\p").replace(r"(?!\S)", rf"(?![^{WHITE}])").replace(r"\s+", rf"[{WHITE}]+")
+    return regex.compile("|".join(f"{k}{{{LONG_RUN},}}+" for k in kinds)), regex.compile(own)
+
+
+def token_count(text: str, vocabulary: str) -> int:
+    """Tokens of a text of any kind: one with very long runs is cut to the same pieces here, and each is encoded."""
+    own = encoding(vocabulary)
+    if len(text) >= LONG_RUN:
+        long_run, piece = _patterns()
+        if long_run.search(text):
+            return sum(len(own._encode_single_piece(m[0])) for m in piece.finditer(text))
+    return len(own.encode_ordinary(text))
+
+
 def token_lengths(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row: the ``keep`` columns and ``n_tokens``."""
     small_batches(docs.sparkSession)
@@ -48,9 +73,8 @@ def token_lengths(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, .
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.drop("_text").dtypes] + ["n_tokens bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
         for b in batches:
-            n = [len(encode(t)) for t in texts(b.column("_text"))]
+            n = [token_count(t, vocabulary) for t in texts(b.column("_text"))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(n, pa.int64())], [*cols, "n_tokens"])
 
     return kept.mapInArrow(run, schema)
