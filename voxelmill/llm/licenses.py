@@ -63,13 +63,11 @@ def template_frame(spark: SparkSession, templates: tuple[tuple[str, str], ...])
     return spark.createDataFrame(rows, T.StructType([T.StructField("template", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))]))
 
 
-def shingle_rows(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row per shingle of ``words``: the ``keep`` columns, pos (from 0) and shingle (a hash)."""
-    n = F.size("words") - (SHINGLE - 1)
-    cut = [F.slice("words", k + 1, n).alias(f"w{k}") for k in range(SHINGLE)]
-    df = df.where(F.size("words") >= SHINGLE).select(*keep, *[c for c in ("words",) if c not in keep], *cut)
-    long = df.select(*keep, F.posexplode(F.arrays_zip(*[f"w{k}" for k in range(SHINGLE)])).alias("pos", "z"))
-    return long.select(*keep, "pos", F.xxhash64(*[F.col(f"z.w{k}") for k in range(SHINGLE)]).alias("shingle"))
+def shingles_of(words: str) -> F.Column:
+    """Hashes of the shingles of an array of words, in order."""
+    n = F.size(words) - (SHINGLE - 1)
+    hashed = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+    return F.when(n > 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def bands(shingles: str) -> F.Column:
@@ -83,7 +81,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     template), and n_windows (windows that met it)."""
     spark = docs.sparkSession
     known = template_frame(spark, templates)
-    parts = shingle_rows(known, ("template", "license")).select("template", "license", "pos", "shingle")
+    parts = known.select("template", "license", F.posexplode(shingles_of("words")).alias("pos", "shingle"))
     vocabulary = [r[0] for r in parts.select("shingle").distinct().collect()]  # as many as the templates have words
 
     # windows of templates: every word starts one, so a text window inside a copied template equals one of them
@@ -92,16 +90,19 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     template_bands = template_bands.select("template", F.explode(bands("s")).alias("b")).select("template", "b.band", "b.low").distinct()
 
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), 0)
-    hits = shingle_rows(docs.select(F.col(id_col).alias("id"), words.alias("words")), ("id", "words")).where(F.col("shingle").isin(vocabulary))
-    # each hit lies in the windows that start at multiples of STRIDE up to WINDOW - SHINGLE before it
-    first = F.ceil(F.greatest(F.col("pos") - (WINDOW - SHINGLE), F.lit(0)) / STRIDE).cast("int")
-    last = F.floor(F.col("pos") / STRIDE).cast("int")
-    starts = F.transform(F.sequence(first, F.greatest(first, last)), lambda k: k * STRIDE)
-    hits = hits.select("id", "shingle", F.explode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, WINDOW).alias("words")))).alias("w"))
-    windows = hits.groupBy("id", "w.start").agg(F.first("w.words").alias("words"), F.collect_set("shingle").alias("found"))
-    n = F.size("words") - (SHINGLE - 1)
-    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(*[F.get("words", i + k - 1) for k in range(SHINGLE)])))
-    windows = windows.select("id", "start", "found", own.alias("own"))
+    # an array of one, exploded: filters and projections above aren't moved below it, so each step runs once per text
+    once = lambda c: F.explode(F.array(c))
+    cut = docs.select(F.col(id_col).alias("id"), once(words).alias("words"))
+    # places of template shingles; each lies in the windows that start at multiples of STRIDE up to WINDOW - SHINGLE before
+    cut = cut.select("id", once(shingles_of("words")).alias("shingles"))
+    hits = F.filter(F.transform("shingles", lambda x, i: F.when(x.isin(vocabulary), i)), lambda i: i.isNotNull())
+    cut = cut.select("id", "shingles", once(hits).alias("hits")).where(F.size("hits") > 0)
+    first = lambda i: F.ceil(F.greatest(i - (WINDOW - SHINGLE), F.lit(0)) / STRIDE).cast("int")
+    last = lambda i: F.floor(i / STRIDE).cast("int")
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(first(i), F.greatest(first(i), last(i))))))
+    # a window takes its own shingles along, not the text
+    windows = cut.select("id", F.explode(F.transform(starts, lambda k: F.struct((k * STRIDE).alias("start"), F.array_distinct(F.slice("shingles", k * STRIDE + 1, WINDOW - SHINGLE + 1)).alias("own")))).alias("w"))
+    windows = windows.select("id", "w.start", "w.own", F.filter("w.own", lambda x: x.isin(vocabulary)).alias("found"))
     met = windows.select("id", "start", F.explode(bands("own")).alias("b")).select("id", "start", "b.band", "b.low")
     met = met.join(F.broadcast(template_bands), ["band", "low"]).groupBy("id", "template").agg(F.count_distinct("start").alias("n_windows"))
 
