@@ -112,6 +112,43 @@ def test_small_meshes(spark):
     assert holes.fill_holes(tetra, 2)[1] == 0
 
 
+def test_hole_loops_of_a_punctured_plane(spark):
+    """Quads left out of a plane: alone, side by side, touching at corners; and the plane's own rim."""
+    out = {(2, 2), (5, 5), (6, 6), (8, 2), (9, 2), (2, 8), (3, 9), (4, 8)}
+    corner = lambda x, y: y * 13 + x
+    quads = [(x, y) for y in range(12) for x in range(12) if (x, y) not in out]
+    faces = [f for x, y in quads for f in ((corner(x, y), corner(x + 1, y), corner(x + 1, y + 1)), (corner(x, y), corner(x + 1, y + 1), corner(x, y + 1)))]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(faces)], "fid bigint, a bigint, b bigint, c bigint")
+    loops: dict = {}
+    for r in holes.hole_loops(df, 64).collect():
+        loops.setdefault((r["loop"], r["second"]), []).append((r["pos"], r["vid"]))
+    found = [[v for _, v in sorted(loop)] for loop in loops.values()]
+    sides = {(f[i], f[(i + 1) % 3]) for f in faces for i in range(3)}
+    rim = {(u, v) for u, v in sides if (v, u) not in sides}
+    assert sorted(map(len, found)) == [4, 4, 4, 4, 4, 4, 6, 48] and set(rim) == {(p[i], p[(i + 1) % len(p)]) for p in found for i in range(len(p))}
+    walked = [(p[i], p[(i + 1) % len(p)]) for p in found for i in range(len(p))]
+    assert set(walked) <= rim and len(walked) == len(set(walked)) and all(p[0] == min(p) or p[0] in {corner(6, 6), corner(3, 9), corner(4, 9)} for p in found)
+    assert {r["loop"] for r in holes.hole_loops(df, 4).collect()} == {p[0] for p in found if len(p) == 4}
+    assert holes.hole_loops(df.where("false"), 8).isEmpty()
+
+
+def test_star_of_many_leaves(spark):
+    """Links of a hub are joined by all tasks: it is a table of its own."""
+    star = spark.range(1, 200_001).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    got = graph.connected_components(star)
+    assert got.count() == 200_000 and got.where("component != 0").isEmpty()
+
+
+def test_ranks_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(bounds, "BRACKET", 50)
+    r = np.random.default_rng(8)
+    v = np.concatenate([r.normal(size=9000), np.full(4000, 0.25), r.integers(0, 5, 3000)])
+    df = spark.createDataFrame([(float(x), float(-x)) for x in v], "v double, w double")
+    ranks = [0, 1, 160, 8000, 12_000, 15_998, 15_999]
+    got = bounds.ranked_values(df, {"v": ranks, "w": ranks[:2]}, len(v))
+    assert got == {"v": np.sort(v)[ranks].tolist(), "w": np.sort(-v)[ranks[:2]].tolist()}
+
+
 def test_decimation_is_repeatable_and_smaller(sphere):
     m = sphere[3]
     n = m.vertices.count()
@@ -148,6 +185,7 @@ def test_session_on_the_sample(spark):
 def test_params():
     assert with_preset("detailed").resolution == 160 and suggest(600_000, 0).resolution == 64 and suggest(0, 300 * 2**20).slab_mode
     assert [format_bytes(n) for n in (10, 2048, 20 * 2**20, -1)] == ["10 B", "2.0 KiB", "20 MiB", "—"]
+    assert [format_bytes(n) for n in (0, 1023, 1024, 3 * 2**40)] == ["0 B", "1023 B", "1.0 KiB", "3072 GiB"]
 
 
 def test_density_of_a_stream(spark, tmp_path, sphere):

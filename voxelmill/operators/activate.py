@@ -77,15 +77,15 @@ def warnings(report: dict, scales: DataFrame, source_format: str) -> list[str]:
 
         median = ranked_values(flat, {"s": [min(3 * n - 1, (3 * n) // 2)]}, 3 * n)["s"][0] if n else 1.0
         if flat.where(F.col("s") > 100 * median).count() > max(4, 0.01 * n):
-            out.append("Some scales are extreme outliers; automatic bounds may be broad.")
+            out.append("More than 1% of the scales exceed 100 times their median: set a crop box or a smaller quantile window if the grid comes out coarse.")
     else:
-        out.append(f"{source_format.upper()} is packed or quantized; geometry may differ slightly from the training output.")
+        out.append(f"{source_format.upper()} stores rounded values: expect small deviations, and prefer the original PLY where precision counts.")
         ratio = F.greatest("s0", "s1", "s2") / F.greatest(F.lit(1e-6), F.least("s0", "s1", "s2"))
         if scales.where(ratio > 100).count() > max(4, 0.01 * n):
-            out.append("Some scales are extremely anisotropic; bounds or thin surfaces may be unstable.")
-    for key, text in (("rejected_opacity", "are below the opacity threshold"), ("rejected_crop", "are outside the crop box")):
+            out.append("More than 1% of the Gaussians are over 100 times longer than thick: check thin parts of the surface, or raise the resolution.")
+    for key, text in (("rejected_opacity", "the opacity threshold; lower it if parts are missing"), ("rejected_crop", "the crop box; widen it if parts are missing")):
         if report.get(key, 0) > 0.5 * report["input_count"]:
-            out.append(f"{int(100 * report[key] / report['input_count'] + 0.5)}% of Gaussians {text}.")
+            out.append(f"Left out: {report[key] / report['input_count']:.0%} of the input, by {text}.")
     return out
 
 

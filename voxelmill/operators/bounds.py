@@ -13,6 +13,8 @@ from ..params import MAX_AXIS, MAX_GRID_BYTES, format_bytes
 
 EPSILON = 1e-6
 TILE = 8
+#: Rows of a rank's bracket that the driver looks at.
+BRACKET = 20_000
 
 
 def nearest_rank(n: int, q: float) -> int:
@@ -23,21 +25,38 @@ def nearest_rank(n: int, q: float) -> int:
 def ranked_values(df: DataFrame, ranks: dict[str, list[int]], n: int) -> dict[str, list[float]]:
     """Exact values at 0-based ranks of columns without nulls.
 
-    One pass brackets each rank by approximate quantiles; a second counts what lies below the bracket
-    and takes the few values within it, so nothing is sorted as a whole."""
-    columns = [(c, k) for c, ks in ranks.items() for k in ks]
-    slack = max(2, math.ceil(n / 2000))
-    share = lambda k: min(1.0, max(0.0, k / max(1, n - 1)))
-    brackets = df.agg(*[F.percentile_approx(c, F.array(F.lit(share(k - slack)), F.lit(share(k + slack))), 10_000).alias(f"b{i}") for i, (c, k) in enumerate(columns)]).first()
-    # the ends of the order are their own bracket: an approximate end may lie inside
-    lows = [float("-inf") if k - slack <= 0 else brackets[f"b{i}"][0] for i, (c, k) in enumerate(columns)]
-    highs = [float("inf") if k + slack >= n - 1 else brackets[f"b{i}"][1] for i, (c, k) in enumerate(columns)]
-    below = df.agg(*[F.count_if(F.col(c) < lows[i]).alias(f"n{i}") for i, (c, _) in enumerate(columns)]).first()
+    Each rank has a bracket of values, at first all.  While one holds more than BRACKET rows, approximate quantiles of
+    its rows narrow it about a thousandfold, and what lies below is counted; the values of all brackets
+    then come in one job, with their counts.  Nothing is sorted as a whole."""
+    names = [(c, k) for c, ks in ranks.items() for k in ks]
+    places = range(len(names))
+    low, high, below, inside = ([v] * len(names) for v in (float("-inf"), float("inf"), 0, n))
+    within = lambda i: F.col(names[i][0]).between(low[i], high[i])
+    wide = [i for i in places if inside[i] > BRACKET]
+    while wide:
+        slack = {i: max(2, math.ceil(inside[i] / 2000)) for i in wide}
+        at = {i: names[i][1] - below[i] for i in wide}  # its rank within the bracket
+        share = lambda i, k: F.lit(min(1.0, max(0.0, k / max(1, inside[i] - 1))))
+        near = df.agg(*[F.percentile_approx(F.when(within(i), F.col(names[i][0])), F.array(share(i, at[i] - slack[i]), share(i, at[i] + slack[i])), 10_000).alias(f"b{i}") for i in wide]).first()
+        before = list(zip(low, high, strict=True))
+        for i in wide:  # an end of the bracket stays: an approximate one may lie inside
+            if at[i] - slack[i] > 0:
+                low[i] = near[f"b{i}"][0]
+            if at[i] + slack[i] < inside[i] - 1:
+                high[i] = near[f"b{i}"][1]
+        counts = df.agg(*[f.alias(f"{name}{i}") for i in wide for name, f in (("n", F.count_if(F.col(names[i][0]) < low[i])), ("m", F.count_if(within(i))))]).first()
+        for i in wide:
+            below[i], inside[i] = counts[f"n{i}"], counts[f"m{i}"]
+        # equal values can't be parted further, and are one row below
+        wide = [i for i in wide if inside[i] > BRACKET and (low[i], high[i]) != before[i] and low[i] < high[i]]
+    held = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(within(i), F.col(names[i][0]).cast("double")).alias("v")) for i in places])).alias("r")).select("r.*")
+    found: dict[int, list] = {i: [] for i in places}
+    for r in held.where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n")).collect():  # at most BRACKET values a rank
+        found[r["i"]].append((r["v"], r["n"]))
     out: dict[str, list[float]] = {c: [] for c in ranks}
-    for i, (c, k) in enumerate(columns):
-        own = df.where(F.col(c).between(lows[i], highs[i])).groupBy(c).agg(F.count("*").alias("n"))
-        at = below[f"n{i}"]
-        for value, count in sorted((r[0], r[1]) for r in own.collect()):  # one bracket: about n / 1000 values
+    for i, (c, k) in enumerate(names):
+        at = below[i]
+        for value, count in sorted(found[i]):
             at += count
             if at > k:
                 out[c].append(value)

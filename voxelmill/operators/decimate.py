@@ -7,7 +7,6 @@ edges: quadrics and costs are aggregates, and only the list of merges is sequent
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,23 +32,31 @@ def _rebuilt(vertices: DataFrame, faces: DataFrame) -> Mesh:
     return Mesh(stored(renormaled(out.vertices, out.faces), "decimated-normals"), out.faces)
 
 
-def cluster_decimate(mesh: Mesh, ratio: float) -> Mesh:
-    """Vertices of a cell become their mean; cells are a grid over the mesh's box."""
-    n = mesh.vertices.count()
-    target = target_vertices(n, ratio)
-    if target >= n or mesh.faces.count() < 2:
-        return mesh
-    cells = max(2, math.ceil(round((target * 2) ** (1 / 3), 9)))
-    box = mesh.vertices.agg(*[f(c).alias(f"{name}{c}") for c in "xyz" for name, f in (("lo", F.min), ("hi", F.max))]).first()
+def _cells(mesh: Mesh, ratio: float) -> DataFrame:
+    """The vertices with their cells qx, qy, qz of a grid over the mesh's box."""
+    box = mesh.vertices.agg(F.count("*").alias("n"), *[f(c).alias(f"{name}{c}") for c in "xyz" for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    cells = max(2, math.ceil(round((target_vertices(box["n"], ratio) * 2) ** (1 / 3), 9)))
     own = mesh.vertices
     for c in "xyz":
         lo, extent = box[f"lo{c}"], max(box[f"hi{c}"] - box[f"lo{c}"], 1e-6)
         own = own.withColumn(f"q{c}", F.least(F.lit(cells - 1), F.floor((F.col(c) - lo) / extent * cells)))
-    keys = ["qx", "qy", "qz"]
-    clusters = own.groupBy(*keys).agg(F.min("vid").alias("to"), *[F.avg(c).alias(c) for c in ("x", "y", "z", "cr", "cg", "cb")])
-    clusters = stored(clusters, "clusters")
-    new = own.select("vid", *keys).join(clusters.select(*keys, "to"), keys).select("vid", "to")
-    return _rebuilt(clusters.drop(*keys).withColumnRenamed("to", "vid"), remapped(mesh.faces, stored(new, "cells")))
+    return own
+
+
+def cluster_targets(mesh: Mesh, ratio: float) -> DataFrame:
+    """vid and to, the first vertex of its cell."""
+    own, keys = _cells(mesh, ratio), ["qx", "qy", "qz"]
+    return own.select("vid", *keys).join(own.groupBy(*keys).agg(F.min("vid").alias("to")), keys).select("vid", "to")
+
+
+def cluster_decimate(mesh: Mesh, ratio: float) -> Mesh:
+    """Vertices of a cell become their mean; cells are a grid over the mesh's box."""
+    n = mesh.vertices.count()
+    if target_vertices(n, ratio) >= n or mesh.faces.count() < 2:
+        return mesh
+    new = stored(cluster_targets(mesh, ratio), "cells")
+    clusters = mesh.vertices.join(new, "vid").groupBy("to").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", "cr", "cg", "cb")])
+    return _rebuilt(clusters.withColumnRenamed("to", "vid"), remapped(mesh.faces, new))
 
 
 def vertex_quadrics(mesh: Mesh) -> DataFrame:
@@ -88,18 +95,32 @@ def quadric_error(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return sum((1 if i == j else 2) * q[:, k] * h[:, i] * h[:, j] for k, (i, j) in enumerate(ENTRIES))
 
 
+def _cost_sql() -> tuple[list[tuple[str, str]], str]:
+    """SQL over q0 to q9 (sums of both ends) and their middle mx, my, mz: steps with their names, and the cost at the
+    point of Cramer's rule, or at the middle where there is no single point."""
+    m = [[f"q{ENTRIES.index((min(i, j), max(i, j)))}" for j in range(4)] for i in range(3)]
+
+    def det(columns: list[list[str]]) -> str:
+        (a, d, g), (b, e, h), (c, f, i) = columns
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    columns = [[m[i][j] for i in range(3)] for j in range(3)]
+    right = [f"(-{m[i][3]})" for i in range(3)]
+    steps = [("det", det(columns))]
+    steps += [(f"p{c}", f"CASE WHEN abs(det) >= 1e-12 THEN {det([right if j == k else columns[j] for j in range(3)])} / det ELSE m{c} END") for k, c in enumerate("xyz")]
+    point = ["px", "py", "pz", "1"]
+    return steps, " + ".join(f"{1 if i == j else 2} * q{k} * {point[i]} * {point[j]}" for k, (i, j) in enumerate(ENTRIES))
+
+
 def edge_costs(mesh: Mesh, quadrics: DataFrame) -> DataFrame:
     """a < b and cost: the error of the best point for both ends."""
     side = lambda p: quadrics.join(mesh.vertices.select("vid", "x", "y", "z"), "vid").select(F.col("vid").alias(p), *[F.col(c).alias(p + c) for c in (*(f"q{k}" for k in range(10)), "x", "y", "z")])
     both = undirected_edges(mesh.faces).select(F.col("lo").alias("a"), F.col("hi").alias("b")).join(side("a"), "a").join(side("b"), "b")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            q = sum(f[[f"{p}q{k}" for k in range(10)]].to_numpy() for p in "ab")
-            ends = [f[[f"{p}x", f"{p}y", f"{p}z"]].to_numpy() for p in "ab"]
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "cost": quadric_error(q, best_points(q, *ends))})
-
-    return both.mapInPandas(run, "a bigint, b bigint, cost double")
+    both = both.select("a", "b", *[(F.col(f"aq{k}") + F.col(f"bq{k}")).alias(f"q{k}") for k in range(10)], *[((F.col(f"a{c}") + F.col(f"b{c}")) / 2).alias(f"m{c}") for c in "xyz"])
+    steps, cost = _cost_sql()
+    for name, sql in steps:
+        both = both.withColumn(name, F.expr(sql))
+    return both.select("a", "b", F.expr(cost).alias("cost"))
 
 
 def merges(edges: np.ndarray, n: int, target: int) -> list[tuple[int, int]]:

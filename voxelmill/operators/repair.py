@@ -45,8 +45,8 @@ def denoise(occupied: DataFrame, grid: Grid) -> tuple[DataFrame, int]:
 def enclosed_points(occupied: DataFrame, grid: Grid) -> DataFrame:
     """i, j, k of empty points that no path of empty points joins to the grid's border.
 
-    Nodes are runs of empty points along x; runs of neighbouring rows that overlap are linked, and so are all runs
-    that touch the border, through one node.  Components of runs, not of points, are sought."""
+    Nodes are runs of empty points along x; runs of neighbouring rows that overlap are linked.  Components of runs, not
+    of points, are sought, and those that touch the border are left out."""
     nx, ny, nz = grid.dims
     spark = occupied.sparkSession
     own = Window.partitionBy("j", "k").orderBy("i")
@@ -61,9 +61,11 @@ def enclosed_points(occupied: DataFrame, grid: Grid) -> DataFrame:
     step = F.array(F.struct((F.col("j") + 1).alias("j"), F.col("k").alias("k")), F.struct(F.col("j").alias("j"), (F.col("k") + 1).alias("k")))
     ahead = runs.select(F.col("id").alias("u"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.explode(step).alias("s")).select("u", "ua", "ub", "s.j", "s.k")
     links = ahead.join(runs, ["j", "k"]).where("ua <= b AND a <= ub").select(F.col("u").alias("a"), F.col("id").alias("b"))
-    outer = runs.where(f"a = 0 OR b = {nx - 1} OR j = 0 OR j = {ny - 1} OR k = 0 OR k = {nz - 1}").select(F.col("id").alias("a"), F.lit(-1).cast("bigint").alias("b"))
-    parts = connected_components(links.unionByName(outer))
-    inside = runs.join(parts.where("component = -1").select("id"), "id", "left_anti")
+    # components with a run at the border are open; no node stands for the border, as all its runs would meet there
+    parts = connected_components(links)
+    rows = runs.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    border = rows.where(f"a = 0 OR b = {nx - 1} OR j = 0 OR j = {ny - 1} OR k = 0 OR k = {nz - 1}").select("part").distinct()
+    inside = rows.join(border, "part", "left_anti")
     return inside.select(F.explode(F.sequence("a", "b")).alias("i"), "j", "k")
 
 

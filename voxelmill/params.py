@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass, replace
 
 # Resolution, opacity threshold and support radius of the presets.
@@ -52,13 +54,9 @@ def suggest(n_gaussians: int, n_bytes: int, params: Params = Params()) -> Params
 
 
 def format_bytes(n: float) -> str:
-    """B below a KiB, then KiB, MiB or GiB with one digit below 10."""
-    if not 0 <= n < float("inf"):
+    """Whole bytes below a KiB; above, the largest fitting unit up to GiB, with one digit below 10."""
+    if math.isnan(n) or math.isinf(n) or n < 0:
         return "—"
-    if n < 1024:
-        return f"{int(n + 0.5)} B"
-    for unit in ("KiB", "MiB", "GiB"):
-        n /= 1024
-        if n < 1024 or unit == "GiB":
-            return f"{n:.0f} {unit}" if n >= 10 else f"{n:.1f} {unit}"
-    return ""
+    power = min(3, int(math.log2(n) // 10)) if n >= 1 else 0
+    size = n / 1024**power
+    return f"{size:.{1 if power and size < 10 else 0}f} {('B', 'KiB', 'MiB', 'GiB')[power]}"

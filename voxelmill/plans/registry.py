@@ -107,7 +107,7 @@ def crop_filter(spark, d):
     return rounded(activate.select_gaussians(s.every, THRESHOLD, activate.crop_box(s.every, (0.3,) * 3, (0.7,) * 3)).select("gid", "x", "y", "z", "opacity"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (isfinite(CAST(embedding[1] AS DOUBLE))) AS finite FROM embeddings")
+@query("SELECT count(*) AS n, count(*) FILTER (" + " AND ".join(f"isfinite(CAST(embedding[{k}] AS DOUBLE))" for k in range(1, 12)) + ") AS finite FROM embeddings")
 def finite_report(spark, d):
     raw = scene(spark, d).raw
     return raw.agg(F.count("*").alias("n"), F.count_if(activate.finite(*activate.REQUIRED)).alias("finite"))
@@ -343,13 +343,12 @@ def cluster_decimated(spark, d):
 
 @query(o.sql(*_COARSE, _CLUSTER, select="SELECT fid, a, b, c FROM single"))
 def face_dedup(spark, d):
+    return _clustered(spark, d)[1]
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[surface.Mesh, DataFrame]:
     m = surface_of(spark, d)[0]
-    box = m.vertices.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    cells = max(2, -int(-(round((decimate.target_vertices(box["n"], 0.3) * 2) ** (1 / 3), 9)) // 1))
-    keys = [F.least(F.lit(cells - 1), F.floor((F.col(c) - box[f"lo{c}"]) / max(box[f"hi{c}"] - box[f"lo{c}"], 1e-6) * cells)).alias(f"q{c}") for c in "xyz"]
-    own = m.vertices.select("vid", *keys)
-    new = own.join(own.groupBy("qx", "qy", "qz").agg(F.min("vid").alias("to")), ["qx", "qy", "qz"]).select("vid", "to")
-    return mesh.remapped(m.faces, new)
+    return m, mesh.remapped(m.faces, decimate.cluster_targets(m, 0.3))
 
 
 _NORMAL = "plane AS (SELECT a, b, c, fx / l AS p0, fy / l AS p1, fz / l AS p2, -(fx / l * px + fy / l * py + fz / l * pz) AS p3 FROM (SELECT *, sqrt(fx * fx + fy * fy + fz * fz) AS l FROM shaped) WHERE l > 0 UNION ALL SELECT a, b, c, 0, 0, 1, -pz FROM shaped WHERE fx = 0 AND fy = 0 AND fz = 0), corners3 AS (SELECT a AS vid, p0, p1, p2, p3 FROM plane UNION ALL SELECT b, p0, p1, p2, p3 FROM plane UNION ALL SELECT c, p0, p1, p2, p3 FROM plane)"
@@ -360,11 +359,15 @@ def vertex_quadrics(spark, d):
     return rounded(decimate.vertex_quadrics(surface_of(spark, d)[0]), digits=3)
 
 
-@query()
+_STEPS, _COST = decimate._cost_sql()
+_SUMS = "quads AS MATERIALIZED (SELECT vid, " + ", ".join(f"sum(p{i} * p{j}) AS q{k}" for k, (i, j) in enumerate(decimate.ENTRIES)) + " FROM corners3 GROUP BY vid), pairs AS (SELECT lo AS a, hi AS b, " + ", ".join(f"p.q{k} + r.q{k} AS q{k}" for k in range(10)) + ", " + ", ".join(f"(v.{c} + w.{c}) / 2 AS m{c}" for c in "xyz") + " FROM links JOIN quads p ON p.vid = lo JOIN quads r ON r.vid = hi JOIN vertices v ON v.vid = lo JOIN vertices w ON w.vid = hi), solved AS (SELECT *, " + f"{_STEPS[0][1]} AS det FROM pairs), best AS (SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in _STEPS[1:]) + " FROM solved)"
+
+
+@query(o.sql(*_COARSE, _NORMAL, _SUMS, select=f"SELECT a, b, round({_COST}, 4) AS cost FROM best"))
 def quadric_edge_costs(spark, d):
-    """Every edge, in the order of merges."""
+    """Every edge and its cost, in the order of merges."""
     m = surface_of(spark, d)[0]
-    return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b"))
+    return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b"), digits=4)
 
 
 @query()
@@ -373,33 +376,41 @@ def quadric_decimated(spark, d):
     return mesh.topology(m).crossJoin(m.faces.agg(F.count("*").alias("faces"))).crossJoin(m.vertices.agg(F.count("*").alias("vertices")))
 
 
-def _open(faces: DataFrame) -> DataFrame:
-    """The surface without every 40th face: its holes are triangles, or touch."""
-    return stored(faces.where("fid % 40 != 7"), "open")
+def _loose(spark: SparkSession, d: str) -> tuple[surface.Mesh, DataFrame]:
+    """The surface, and its faces after clustering: these leave edges with one face."""
+    m, faces = _clustered(spark, d)
+    return m, stored(faces, "loose")
 
 
-@query(o.sql(*_COARSE, "open_ AS (SELECT * FROM sides WHERE fid % 40 <> 7)", select="SELECT u, v FROM open_ QUALIFY count(*) OVER (PARTITION BY least(u, v), greatest(u, v)) = 1"))
+_LOOSE = "loose AS (SELECT a AS u, b AS v FROM single UNION ALL SELECT b, c FROM single UNION ALL SELECT c, a FROM single), rim AS MATERIALIZED (SELECT u, v FROM loose QUALIFY count(*) OVER (PARTITION BY least(u, v), greatest(u, v)) = 1)"
+_LOOPS = " ways AS (SELECT u, count(*) AS w FROM rim GROUP BY u), walk(loop, second, pos, vid, low) AS (SELECT u, v, 1, v, least(u, v) FROM rim UNION ALL SELECT loop, second, pos + 1, rim.v, least(low, rim.v) FROM walk JOIN rim ON rim.u = walk.vid JOIN ways ON ways.u = walk.vid AND w = 1 WHERE walk.vid <> loop AND pos < 64), closed AS (SELECT loop, second FROM walk JOIN ways ON ways.u = loop WHERE vid = loop AND pos >= 3 AND (w > 1 OR low = loop))"
+
+
+@query(o.sql(*_COARSE, _CLUSTER, _LOOSE, select="SELECT u, v FROM rim"))
 def boundary_edges(spark, d):
-    return holes.boundary_edges(_open(surface_of(spark, d)[0].faces))
+    return holes.boundary_edges(_loose(spark, d)[1])
 
 
-@query()
+@query(o.sql(*_COARSE, _CLUSTER, _LOOSE, recursive=_LOOPS, select="SELECT loop, second, CAST(0 AS BIGINT) AS pos, loop AS vid FROM closed UNION ALL SELECT loop, second, CAST(pos AS BIGINT), vid FROM walk JOIN closed USING (loop, second) WHERE vid <> loop"))
 def hole_loops(spark, d):
-    return holes.hole_loops(_open(surface_of(spark, d)[0].faces), 8)
+    return holes.hole_loops(_loose(spark, d)[1], 64)
 
 
-@query()
+@query(o.sql(*_COARSE, _CLUSTER, _LOOSE, recursive=_LOOPS + ", fan AS (SELECT loop, second, vid, coalesce(lead(vid) OVER (PARTITION BY loop, second ORDER BY pos), loop) AS ahead FROM (SELECT loop, second, 0 AS pos, loop AS vid FROM closed UNION ALL SELECT loop, second, pos, vid FROM walk JOIN closed USING (loop, second) WHERE vid <> loop)), filled AS (SELECT u, v FROM (SELECT least(u, v) AS u, greatest(u, v) AS v FROM loose UNION ALL SELECT least(vid, ahead), greatest(vid, ahead) FROM fan))",
+             select="SELECT (SELECT count(*) FROM closed) AS filled, (SELECT count(*) FROM single) + (SELECT count(*) FROM fan) AS faces, (SELECT count(*) FROM (SELECT 1 FROM filled GROUP BY u, v HAVING count(*) = 1)) AS boundary_edges"))
 def holes_filled(spark, d):
-    m = surface_of(spark, d)[0]
-    capped, n = holes.fill_holes(surface.Mesh(m.vertices, _open(m.faces)), 8)
-    return mesh.topology(capped).withColumn("filled", F.lit(n))
+    m, faces = _loose(spark, d)
+    capped, n = holes.fill_holes(surface.Mesh(m.vertices, faces), 64)
+    rim = holes.boundary_edges(capped.faces).agg(F.count("*").alias("boundary_edges"))
+    return capped.faces.agg(F.count("*").alias("faces")).crossJoin(rim).select(F.lit(n).cast("bigint").alias("filled"), "faces", "boundary_edges")  # one row each
 
 
 @query(o.sql(*_COARSE, select="SELECT count(*) AS vertices FROM (SELECT DISTINCT floor(x / greatest(0.0000001, sp * 0.00001) + 0.5), floor(y / greatest(0.0000001, sp * 0.00001) + 0.5), floor(z / greatest(0.0000001, sp * 0.00001) + 0.5) FROM vertices, grid)"))
 def welded(spark, d):
     m, grid = surface_of(spark, d)
-    tolerance = max(1e-7, grid.spacing * 1e-5)
-    return m.vertices.select(*[F.floor(F.col(c) / tolerance + 0.5).alias(c) for c in "xyz"]).distinct().agg(F.count("*").alias("vertices"))
+    twice = m.vertices.select(F.explode(F.array(F.col("vid") * 2, F.col("vid") * 2 + 1)).alias("vid"), *[c for c in m.vertices.columns if c != "vid"])
+    apart = surface.Mesh(twice, m.faces.select("fid", *[(F.col(p) * 2 + F.col("fid") % 2).alias(p) for p in "abc"]))  # faces in turn, as from two slabs
+    return mesh.weld(apart, grid.spacing).vertices.agg(F.count("*").alias("vertices"))
 
 
 @query(o.sql(*_COARSE, recursive=" reach(fid, low) AS (SELECT fid, fid FROM faces UNION SELECT t.b, r.low FROM reach r JOIN (SELECT DISTINCT p.fid AS a, q.fid AS b FROM sides p JOIN sides q ON least(p.u, p.v) = least(q.u, q.v) AND greatest(p.u, p.v) = greatest(q.u, q.v) AND p.fid <> q.fid) t ON t.a = r.fid WHERE t.b > r.low), comp AS (SELECT fid, min(low) AS component FROM reach GROUP BY 1), mult AS (SELECT count(*) AS m FROM sides GROUP BY least(u, v), greatest(u, v))",
