@@ -363,11 +363,11 @@ _STEPS, _COST = decimate._cost_sql()
 _SUMS = "quads AS MATERIALIZED (SELECT vid, " + ", ".join(f"sum(p{i} * p{j}) AS q{k}" for k, (i, j) in enumerate(decimate.ENTRIES)) + " FROM corners3 GROUP BY vid), pairs AS (SELECT lo AS a, hi AS b, " + ", ".join(f"p.q{k} + r.q{k} AS q{k}" for k in range(10)) + ", " + ", ".join(f"(v.{c} + w.{c}) / 2 AS m{c}" for c in "xyz") + " FROM links JOIN quads p ON p.vid = lo JOIN quads r ON r.vid = hi JOIN vertices v ON v.vid = lo JOIN vertices w ON w.vid = hi), solved AS (SELECT *, " + f"{_STEPS[0][1]} AS det FROM pairs), best AS (SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in _STEPS[1:]) + " FROM solved)"
 
 
-@query(o.sql(*_COARSE, _NORMAL, _SUMS, select=f"SELECT a, b, round({_COST}, 4) AS cost FROM best"))
+@query(o.sql(*_COARSE, _NORMAL, _SUMS, select=f"SELECT a, b, round({_COST}, 5) AS cost FROM best"))
 def quadric_edge_costs(spark, d):
     """Every edge and its cost, in the order of merges."""
     m = surface_of(spark, d)[0]
-    return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b"), digits=4)
+    return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b"), digits=5)
 
 
 @query()
