@@ -33,12 +33,13 @@ FEATURES = {
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "mark_share": "n_marks / greatest(word_chars, 1)",
+    "stutter_share": "n_stutter / greatest(n_words, 1)",
 }
 
 
 def text_statistics(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: the ``keep`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines,
-    n_upper, n_marks that rules may use."""
+    n_upper, n_marks, n_stutter (words equal to the next one) that rules may use."""
     cols = [F.col(c) for c in keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(*cols, text.alias("_t"))
@@ -50,11 +51,12 @@ def text_statistics(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
         F.length(F.regexp_replace("_t", "[^A-ZÀ-ÖØ-Þ]+", "")).cast("bigint").alias("n_upper"),
         F.length(F.regexp_replace("_t", "[^!?:;]+", "")).cast("bigint").alias("n_marks"),
     )
-    names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_marks"]
+    names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_marks", "n_stutter"]
     out = out.select(
         *cols, "n_symbols", "n_upper", "n_marks",
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
+        F.aggregate(F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: (a == b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x, F.lit(0).cast("bigint"))).alias("n_stutter"),
         F.size("_l").cast("bigint").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.size("_w") > WINDOW, F.transform("_w", lambda w: F.xxhash64(w))).alias("_h"),
@@ -158,7 +160,7 @@ def cover(cells: list[Cell], n_bins: list[int], *, max_rules: int, max_condition
     return rules
 
 
-def learn_rules(statistics: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 8000, bins: int = 24, max_rules: int = 10, max_conditions: int = 4, precision: float = 0.9, least: int = 3) -> list[Rule]:
+def learn_rules(statistics: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 8000, bins: int = 24, max_rules: int = 10, max_conditions: int = 4, precision: float = 0.9, least: int = 2) -> list[Rule]:
     """Learn which statistics mark label 0 from at most ``max_rows`` labelled rows (the bound), those with the
     least hash of their id; rows that fail the base rule need no further rule and are left out."""
     ids = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropDuplicates(["_id"])
@@ -166,11 +168,13 @@ def learn_rules(statistics: DataFrame, labels: DataFrame, *, id_col: str = "doc_
     own = statistics.where(~base_failed()).select(F.col(id_col).alias("_id"), *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
     rows = own.join(F.broadcast(ids), "_id").dropDuplicates(["_id"])  # at most max_rows ids
     names = list(FEATURES)
-    shares = [i / bins for i in range(1, bins)]
-    cuts = rows.agg(*[F.percentile(F.col(n), F.array(*map(F.lit, shares))).alias(n) for n in names]).first()
-    if cuts is None or cuts[names[0]] is None:
+    # cuts lie between neighbours among the quantiles of both classes, so that the tail of a small class has its own
+    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    cuts = rows.groupBy("_y").agg(*[F.percentile(F.col(n), shares).alias(n) for n in names]).collect()
+    if len(cuts) < 2:
         return []
-    edges = {n: sorted(set(cuts[n])) for n in names}
+    values = {n: sorted({v for r in cuts for v in r[n]}) for n in names}
+    edges = {n: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for n, v in values.items()}
     bin_of = [sum((F.col(n) > e).cast("int") for e in edges[n]) + F.lit(0) for n in names]
     part = F.pmod("_o", F.lit(3)) == 0
     counts = [F.count_if(F.col("_y").eqNullSafe(y) & p) for p in (~part, part) for y in (0, 1)]
