@@ -46,6 +46,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     # who revisits whom, without the payloads; a digest of any number of pages is one partial minimum a task
     compact = stored(rows.where(F.col("bytes") >= min_bytes).select("id", "digest", "bytes"), "warc-digests")
     first = compact.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    first = stored(first, "warc-first")  # a table, so that the pages of one common payload can be dealt to many tasks
     revisits = compact.join(first, ["digest", "bytes"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
     revisits = stored(revisits.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first"), "warc-revisits")
     # its size is known from its files: Spark broadcasts it only if it is small
@@ -154,11 +155,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def _joined(pieces: DataFrame, rows: DataFrame, records: DataFrame) -> DataFrame:
     """Records that were cut by a magic in their payload, from their pieces."""
-    marks = rows.select("file", "split", "row", "off").join(records.select("file", "off", F.col("next").alias("till"), "whole"), ["file", "off"], "left")
+    marks = rows.select("file", "split", "row", "off", "size").join(records.select("file", "off", F.col("next").alias("till"), "whole"), ["file", "off"], "left")
     order = Window.partitionBy("file").orderBy("off")
     record = F.last(F.when(F.col("till").isNotNull(), F.struct("off", "till", "whole")), ignorenulls=True).over(order)
-    marks = marks.withColumn("r", record).where(~F.col("r.whole") & (F.col("off") < F.col("r.till"))).select("file", "split", "row", "off", F.col("r.off").alias("record"))
+    marks = marks.withColumn("r", record).where(~F.col("r.whole") & (F.col("off") < F.col("r.till"))).select("file", "split", "row", "off", "size", F.col("r.off").alias("record"))
+    # a second scan must cut the files alike; sizes tell, and another cut is an error
     parts = pieces.join(stored(marks, "warc-cut"), ["file", "split", "row"])
+    alike = F.octet_length("value") == F.col("size")
+    parts = parts.withColumn("value", F.when(alike, F.col("value")).otherwise(F.raise_error(F.lit("the archives were split in another way on the second scan"))))
     whole = parts.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("v"))
     value = F.array_join(F.transform("v", lambda x: x["value"]), MAGIC)
     return _parsed(whole.select("file", F.col("record").alias("off"), value.alias("value")))
