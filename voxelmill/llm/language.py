@@ -109,7 +109,7 @@ def fit_language_model(docs: DataFrame, trainable: Column, *, id_col: str = "doc
     small_batches(spark)
     own = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    ids = lowest_per_group(ids, "lang", ["h", "id"], per_language).select("id").distinct().limit(per_language * max_languages)
+    ids = lowest_per_group(ids, "lang", ["h", "id"], per_language).select("id", "h").distinct().orderBy("h", "id").limit(per_language * max_languages).select("id")
     # the ids are at most per_language for each language: a proven bound for the broadcast
     picked = own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id", "left_semi")
 
