@@ -34,7 +34,8 @@ def test_stages(spark, sf_dir, stages):
     model, before = pii.fit_pii_model(), {r["doc_id"]: r["text"] for r in own.collect()}
     for r in hidden.collect():
         assert r["text"] == pii.redacted(before[r["doc_id"]], pii.find_spans(before[r["doc_id"]], model)[1]) and r["n_chars"] == len(r["text"])
-    want = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(hidden).collect() if r["taken"]}
+    keyed = hidden.select(cp.row_key().alias("key"), "text", "source")
+    want = {r["key"]["i"]: r["taken"] for r in mixing.mix_sources(keyed, id_col="key").collect() if r["taken"]}
     assert {r["doc_id"]: r["taken"] for r in mixed.collect()} == want and all(r["copies"] * r["size"] == r["taken"] for r in mixed.collect())
 
 
