@@ -232,3 +232,42 @@ def test_edge_costs_of_all_edges(spark, sphere, sf_dir):
     rows = registry.QUERIES["quadric_edge_costs"](spark, sf_dir).collect()
     assert [r["cost"] for r in rows] == sorted(r["cost"] for r in rows)
     compare(registry.surface_of(spark, sf_dir)[0], rows)
+
+
+def test_session_by_slabs_with_progress(spark):
+    """Slab mode gives the whole's mesh, stages come in order, and dispose leaves nothing to convert."""
+    from voxelmill.sources.adapter import raw_from_embeddings
+
+    raw, told, counts = raw_from_embeddings(spark, "/root/testdata/sf0.001/embeddings.parquet"), [], []
+    for slab_mode in (False, True):
+        s = SplatSession(spark, lambda stage, share, whole: told.append((stage, whole)))
+        s.load_raw(raw)
+        out = s.start(Params(resolution=20, min_component_faces=1, smoothing=0, slab_mode=slab_mode, slab_depth=8))
+        counts.append((out.mesh.vertices.count(), out.mesh.faces.count(), *out.quality.first(), round(out.iso, 6)))
+        s.dispose()
+        with pytest.raises(RuntimeError):
+            s.start(Params())
+    assert counts[0] == counts[1] and counts[0][0] > 10
+    assert [x for x, _ in told[: len(told) // 2]] == ["parsing", "activating", "indexing", "voxelizing", "extracting", "cleaning", "ready"]
+    assert [w for _, w in told[: len(told) // 2]] == sorted(w for _, w in told[: len(told) // 2]) and told[-1] == ("ready", 1.0)
+
+
+def test_diagnostics_of_a_scene(spark):
+    from voxelmill.operators import activate, diagnostics
+    from voxelmill.sources.adapter import raw_from_embeddings
+
+    every = activate.activate(raw_from_embeddings(spark, "/root/testdata/sf0.001/embeddings.parquet"))
+    rows = [diagnostics.inspection(every, mode, resolution=14, smoothing=0).first() for mode in ("all", "crop", "anisotropic")]
+    assert rows[0]["case_retained"] == rows[0]["opacity_retained"] > rows[1]["case_retained"] and rows[2]["case_retained"] >= 0.05 * rows[0]["opacity_retained"]
+    assert all(r["triangles"] <= r["raw_triangles"] and r["ratio_p95"] <= r["ratio_p99"] <= r["ratio_max"] for r in rows)
+    with pytest.raises(ValueError, match="unknown mode"):
+        activate.diagnostic_subset(every, "other")
+    with pytest.raises(ValueError, match="no Gaussians"):
+        diagnostics.inspection(every, threshold=2.0)
+
+
+def test_friendly_messages():
+    from voxelmill.errors import friendly
+
+    assert "fast preset" in friendly(MemoryError("out of memory")) and friendly("job was cancelled") == "The conversion was cancelled."
+    assert friendly(ValueError("the PLY vertex data is truncated")) == "the PLY vertex data is truncated" and friendly("") and friendly("odd") == "odd"

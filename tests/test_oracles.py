@@ -7,7 +7,7 @@ import pytest
 
 from voxelmill.plans import registry
 
-FAST = ["activated", "filter_report", "preview_sample", "scale_ratio_quantiles", "tile_candidates", "density_tilejoin", "auto_iso", "denoise", "enclosed_voids", "signed_distance", "mesh_faces", "vertex_colors", "components_by_edge", "compact_ids", "smoothed", "cluster_decimated", "face_dedup", "vertex_quadrics", "quadric_edge_costs", "hole_loops", "holes_filled", "welded", "finite_report", "robust_bounds", "topology"]
+FAST = ["activated", "filter_report", "preview_sample", "scale_ratio_quantiles", "tile_candidates", "density_tilejoin", "auto_iso", "denoise", "enclosed_voids", "signed_distance", "mesh_faces", "vertex_colors", "components_by_edge", "compact_ids", "smoothed", "cluster_decimated", "face_dedup", "vertex_quadrics", "quadric_edge_costs", "hole_loops", "holes_filled", "welded", "finite_report", "robust_bounds", "diagnostic_anisotropic", "diagnostic_crop", "inspection", "topology"]
 
 
 @pytest.fixture(scope="module")

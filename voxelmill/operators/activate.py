@@ -68,6 +68,33 @@ def load_report(raw: DataFrame, gaussians: DataFrame, threshold: float, crop: Co
     return a.crossJoin(b)  # one row each
 
 
+def scale_ratio() -> Column:
+    """The largest scale over the smallest."""
+    return F.greatest("s0", "s1", "s2") / F.greatest(F.lit(1e-6), F.least("s0", "s1", "s2"))
+
+
+def diagnostic_subset(gaussians: DataFrame, mode: str) -> DataFrame:
+    """Subsets for a closer look: ``anisotropic`` has those whose largest scale exceeds the smallest by the 0.95 quantile
+    of that ratio or more, ``crop`` those with each coordinate between its 0.3 and 0.7 quantiles, ``all`` every row."""
+    from .bounds import nearest_rank, ranked_values
+
+    if mode == "all":
+        return gaussians
+    n = gaussians.count()
+    if not n:
+        return gaussians
+    if mode == "anisotropic":
+        rated = gaussians.withColumn("_ratio", scale_ratio())
+        limit = ranked_values(rated.select("_ratio"), {"_ratio": [nearest_rank(n, 0.95)]}, n)["_ratio"][0]
+        return rated.where(F.col("_ratio") >= limit).drop("_ratio")
+    if mode == "crop":
+        found = ranked_values(gaussians.select("x", "y", "z"), {c: [nearest_rank(n, 0.3), nearest_rank(n, 0.7)] for c in "xyz"}, n)
+        for c, (low, high) in found.items():
+            gaussians = gaussians.where(F.col(c).between(low, high))
+        return gaussians
+    raise ValueError(f"unknown mode {mode!r}: all, anisotropic or crop")
+
+
 def warnings(report: dict, scales: DataFrame, source_format: str) -> list[str]:
     """Texts for what a user should know; ``scales``: s0..s2 of the retained Gaussians."""
     n, out = report["retained_count"], []
@@ -80,8 +107,7 @@ def warnings(report: dict, scales: DataFrame, source_format: str) -> list[str]:
             out.append("More than 1% of the scales exceed 100 times their median: set a crop box or a smaller quantile window if the grid comes out coarse.")
     else:
         out.append(f"{source_format.upper()} stores rounded values: expect small deviations, and prefer the original PLY where precision counts.")
-        ratio = F.greatest("s0", "s1", "s2") / F.greatest(F.lit(1e-6), F.least("s0", "s1", "s2"))
-        if scales.where(ratio > 100).count() > max(4, 0.01 * n):
+        if scales.where(scale_ratio() > 100).count() > max(4, 0.01 * n):
             out.append("More than 1% of the Gaussians are over 100 times longer than thick: check thin parts of the surface, or raise the resolution.")
     for key, text in (("rejected_opacity", "the opacity threshold; lower it if parts are missing"), ("rejected_crop", "the crop box; widen it if parts are missing")):
         if report.get(key, 0) > 0.5 * report["input_count"]:

@@ -52,12 +52,15 @@ def _summed(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("vid", "i", "j", "k").agg(F.sum("value").cast("float").alias("density"))
 
 
-def density_fanout(gaussians: DataFrame, grid: Grid, sigma: float) -> DataFrame:
-    """Sparse field: vid, i, j, k, density (float) of every point that some support holds.
+def density_fanout(gaussians: DataFrame, grid: Grid, sigma: float, layers: tuple[int, int] | None = None) -> DataFrame:
+    """Sparse field: vid, i, j, k, density (float) of every point that some support holds, of all layers k or of those
+    from the first to the last of ``layers``.
 
     ``gaussians`` should be a table: the exponentials of activation then aren't computed per point.
     Boxes go plane by plane to other tasks if any is very large, so one huge Gaussian is no straggler."""
     boxes = _boxes(gaussians, grid, sigma)
+    if layers:
+        boxes = boxes.withColumn("loz", F.greatest("loz", F.lit(layers[0]))).withColumn("hiz", F.least("hiz", F.lit(layers[1]))).where("loz <= hiz")
     largest = boxes.agg(F.max(F.expr("CAST(hix - lox + 1 AS BIGINT) * (hiy - loy + 1) * (hiz - loz + 1)"))).first()[0] or 0
     points = boxes.withColumn("k", F.explode(F.sequence("loz", "hiz")))
     if largest > FAN_OUT:

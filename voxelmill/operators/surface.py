@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gaussian as g
-from ..tables import stored
+from ..tables import Scratch, stored
 from .bounds import EPSILON, Grid
 from .dense import dense_ids
 from .density import colors_at
@@ -172,18 +172,20 @@ def triangles(rows: DataFrame, vertices: DataFrame) -> DataFrame:
     return flat.select("order", F.col("a.vid").alias("a"), F.when(turned, F.col("c.vid")).otherwise(F.col("b.vid")).alias("b"), F.when(turned, F.col("b.vid")).otherwise(F.col("c.vid")).alias("c"))
 
 
-def extract_mesh(voxels: DataFrame, gaussians: DataFrame | None, grid: Grid, iso: float, sigma: float) -> Mesh:
-    """The surface of the field at ``iso``: vertices with positions, area-weighted normals and colors, and faces."""
+def extract_mesh(voxels: DataFrame, gaussians: DataFrame | None, grid: Grid, iso: float, sigma: float, rows: DataFrame | None = None) -> Mesh:
+    """The surface of the field at ``iso``: vertices with positions, area-weighted normals and colors, and faces.
+    ``rows``: the crossings, if they have been found otherwise than over the whole field."""
     from .mesh import vertex_normals
 
-    rows = stored(crossings(cube_values(voxels, grid, iso), grid, iso), "crossings")
-    bare = stored(edge_vertices(rows, grid, iso), "edge-vertices")
-    normal = stored(with_gradient_normals(bare, voxels, grid), "gradient-normals")
-    faces = stored(dense_ids(triangles(rows, normal), "order", "fid").select("fid", "a", "b", "c"), "faces")
-    points = bare.select("vid", *[F.col(c).cast("float").cast("double").alias(c) for c in "xyz"])
-    if gaussians is None:
-        colors = bare.select("vid", *[F.lit(v).alias(c) for c, v in zip(("cr", "cg", "cb"), g.GRAY, strict=True)])
-    else:
-        colors = colors_at(bare, gaussians, grid, sigma)
-    vertices = points.join(vertex_normals(points, faces), "vid").join(colors, "vid")
-    return Mesh(stored(vertices.select("vid", "x", "y", "z", "nx", "ny", "nz", "cr", "cg", "cb"), "vertices"), faces)
+    with Scratch(voxels.sparkSession) as scratch:
+        rows = scratch.stored(crossings(cube_values(voxels, grid, iso), grid, iso) if rows is None else rows, "crossings")
+        bare = scratch.stored(edge_vertices(rows, grid, iso), "edge-vertices")
+        normal = scratch.stored(with_gradient_normals(bare, voxels, grid), "gradient-normals")
+        faces = stored(dense_ids(triangles(rows, normal), "order", "fid").select("fid", "a", "b", "c"), "faces")
+        points = bare.select("vid", *[F.col(c).cast("float").cast("double").alias(c) for c in "xyz"])
+        if gaussians is None:
+            colors = bare.select("vid", *[F.lit(v).alias(c) for c, v in zip(("cr", "cg", "cb"), g.GRAY, strict=True)])
+        else:
+            colors = colors_at(bare, gaussians, grid, sigma)
+        vertices = points.join(vertex_normals(points, faces), "vid").join(colors, "vid")
+        return Mesh(stored(vertices.select("vid", "x", "y", "z", "nx", "ny", "nz", "cr", "cg", "cb"), "vertices"), faces)

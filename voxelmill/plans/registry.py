@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gaussian as g
-from ..operators import activate, bounds, decimate, density, holes, mesh, repair, stats, surface
+from ..operators import activate, bounds, decimate, density, diagnostics, holes, mesh, repair, stats, surface
 from ..operators.bounds import Grid
 from ..sources.adapter import raw_from_embeddings
 from ..tables import stored
@@ -124,6 +124,16 @@ def scale_ratio_quantiles(spark, d):
     return rounded(spark.createDataFrame([tuple(bounds.quantiles(v, "v", [0.95, 0.99, 1.0]))], "p95 double, p99 double, largest double"))
 
 
+@query(o.sql(o.GAUSSIANS, "rated AS (SELECT *, greatest(s0, s1, s2) / least(s0, s1, s2) AS v FROM ga), l AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM rated)", select=f"SELECT gid, {_r('x', 'y', 'z')} FROM rated, l WHERE v >= l[{o._rank(0.95)}]"))
+def diagnostic_anisotropic(spark, d):
+    return rounded(activate.diagnostic_subset(scene(spark, d).gaussians, "anisotropic").select("gid", "x", "y", "z"), "gid")
+
+
+@query(o.sql(o.GAUSSIANS, "l AS (SELECT list_sort(list(x)) AS lx, list_sort(list(y)) AS ly, list_sort(list(z)) AS lz, count(*) AS n FROM ga)", select=f"SELECT gid, {_r('x', 'y', 'z')} FROM ga, l WHERE " + " AND ".join(f"{c} BETWEEN l{c}[{o._rank(0.3)}] AND l{c}[{o._rank(0.7)}]" for c in "xyz")))
+def diagnostic_crop(spark, d):
+    return rounded(activate.diagnostic_subset(scene(spark, d).gaussians, "crop").select("gid", "x", "y", "z"), "gid")
+
+
 @query(o.sql(o.GAUSSIANS, o.BOUNDS, select=f"SELECT {_r('lox', 'loy', 'loz', 'hix', 'hiy', 'hiz')} FROM bounds"))
 def robust_bounds(spark, d):
     low, high = bounds.robust_bounds(scene(spark, d).gaussians, SIGMA, Q)
@@ -419,6 +429,13 @@ def topology(spark, d):
     return mesh.topology(surface_of(spark, d)[0])
 
 
+@query(o.sql(*_COARSE, "rated AS (SELECT greatest(s0, s1, s2) / least(s0, s1, s2) AS v FROM ga), l AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM rated)",
+             select=f"SELECT 'all' AS mode, (SELECT count(*) FROM act) AS source, n AS opacity_retained, n AS case_retained, round(l[{o._rank(0.95)}], 6) AS ratio_p95, round(l[{o._rank(0.99)}], 6) AS ratio_p99, round(l[n], 6) AS ratio_max, CAST({COARSE} AS INTEGER) AS resolution, CAST(nx AS INTEGER) AS nx, CAST(ny AS INTEGER) AS ny, CAST(nz AS INTEGER) AS nz, nx * ny * nz AS voxels, round(max_density, 5) AS density_max, non_zero AS density_non_zero, round(iso, 5) AS iso, (SELECT count(*) FROM faces) AS raw_triangles FROM l, grid, stats, auto"))
+def inspection(spark, d):
+    out = diagnostics.inspection(scene(spark, d).every, resolution=COARSE)
+    return out.select(*out.columns[:4], *[F.round(c, 6).alias(c) for c in ("ratio_p95", "ratio_p99", "ratio_max")], *out.columns[7:12], F.round("density_max", 5).alias("density_max"), "density_non_zero", F.round("iso", 5).alias("iso"), "raw_triangles")
+
+
 @query()
 def conversion(spark, d):
     """The whole conversion with repairs: one row of counts and topology."""

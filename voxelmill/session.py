@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import activate, bounds, decimate, density, holes, mesh, repair, stats, surface
 from .params import Params
 from .sources import read_splats
-from .tables import stored
+from .streaming import slabs
+from .tables import Scratch
+
+# The stages of a conversion, in order.
+STAGES = ("parsing", "activating", "indexing", "voxelizing", "extracting", "cleaning", "ready")
 
 
 @dataclass(frozen=True)
@@ -30,10 +35,13 @@ class Result:
 class SplatSession:
     """Keeps the decoded Gaussians, and the field for extraction at another threshold.
 
-    Each request runs under its own Spark job group, so ``cancel`` from another thread stops its jobs."""
+    Each request runs under its own Spark job group, so ``cancel`` from another thread stops its jobs.  ``progress`` is
+    called with the stage, the share of it that is done, and the share of the whole."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, progress: Callable[[str, float, float], None] | None = None):
         self.spark = spark
+        self.progress = progress
+        self.scratch = Scratch(spark)
         self.every: DataFrame | None = None
         self._field: tuple | None = None
         self._group: str | None = None
@@ -42,6 +50,10 @@ class SplatSession:
         self._group = f"voxelmill-{what}-{uuid.uuid4().hex[:8]}"
         self.spark.sparkContext.setJobGroup(self._group, what, interruptOnCancel=True)
 
+    def _tell(self, stage: str, share: float = 0.0) -> None:
+        if self.progress:
+            self.progress(stage, share, (STAGES.index(stage) + share) / len(STAGES))
+
     def load(self, path: str) -> dict:
         """Read a splat file; gives the report, and keeps the Gaussians."""
         self._begin("load")
@@ -54,7 +66,10 @@ class SplatSession:
         return self._loaded(raw, activate.activate(activate.finite_rows(raw)), source_format)
 
     def _loaded(self, rows: DataFrame, gaussians: DataFrame, kind: str) -> dict:
-        self.every, self.kind, self._field = stored(gaussians, "loaded"), kind, None
+        self.dispose()
+        self._tell("parsing")
+        self.every, self.kind = self.scratch.stored(gaussians, "loaded"), kind
+        self._tell("activating", 1.0)
         kept = self.every.count()
         if not kept:
             raise ValueError("no Gaussians in the source")
@@ -76,12 +91,20 @@ class SplatSession:
         crop = activate.crop_box(every, params.crop_min, params.crop_max) if params.crop_enabled else None
         counts = activate.load_report(every.select("gid", "x", "y", "z", "opacity", *[every["s0"].alias(c) for c in activate.REQUIRED[4:]]), every, params.opacity_threshold, crop).first().asDict()
         report = counts | {"input_count": self.input_count, "rejected_non_finite": self.input_count - every.count(), "source_format": self.kind}
-        gaussians = stored(activate.select_gaussians(every, params.opacity_threshold, crop), "selected")
+        if self._field:
+            self.scratch.drop(*self._field[:1], *self._field[2:4])
+            self._field = None
+        self._tell("indexing")
+        gaussians = self.scratch.stored(activate.select_gaussians(every, params.opacity_threshold, crop), "selected")
         if not report["retained_count"]:
             raise ValueError("no Gaussians remain after opacity filtering and cropping")
         grid = bounds.make_grid(*bounds.robust_bounds(gaussians, params.sigma_radius, params.bounds_quantile), params.resolution, check=not params.slab_mode)
-        voxels = stored(density.density_fanout(gaussians, grid, params.sigma_radius), "voxels")
-        found = stored(stats.density_stats(voxels, grid), "stats")
+        self._tell("voxelizing")
+        if params.slab_mode:
+            voxels = slabs.density_by_slabs(gaussians, grid, params.sigma_radius, params.slab_depth)
+        else:
+            voxels = self.scratch.stored(density.density_fanout(gaussians, grid, params.sigma_radius), "voxels")
+        found = self.scratch.stored(stats.density_stats(voxels, grid), "stats")
         auto = float(stats.automatic_iso(found, stats.density_histogram(voxels, found)).first()[0])
         self._field = (gaussians, grid, voxels, found, auto, params.sigma_radius, report, activate.warnings(report, gaussians, self.kind))
         return self.extract(params)
@@ -94,13 +117,22 @@ class SplatSession:
         gaussians, grid, voxels, found, auto, sigma, report, notes = self._field
         level = iso if iso is not None else params.iso if params.iso is not None else auto
         band = params.distance_band if params.surface_field == "distance" else 0
+        self._tell("extracting")
         field = repair.process_field(voxels, grid, level, denoise_iterations=params.denoise, fill_voids=params.fill_voids, band=band)
-        out = surface.extract_mesh(field.voxels, gaussians, grid, field.iso, sigma)
+        rows = slabs.slab_crossings(field.voxels, grid, field.iso, params.slab_depth) if params.slab_mode else None
+        out = surface.extract_mesh(field.voxels, gaussians, grid, field.iso, sigma, rows=rows)
+        self._tell("cleaning")
         out = mesh.cleanup(out, keep_largest=params.keep_largest, min_faces=params.min_component_faces, smoothing=params.smoothing, classic=params.taubin_classic)
         out, filled = holes.fill_holes(out, params.max_hole_edges)
         out = decimate.decimate(out, params.decimation_ratio, params.decimation_method)
+        self._tell("ready", 1.0)
         return Result(out, mesh.topology(out), grid, level, found, report, notes, field.denoised, field.filled, filled)
 
+    def dispose(self) -> None:
+        """Delete the tables that the session keeps; a load may follow."""
+        self.scratch.drop(*[t for t, _ in self.scratch.paths.values()])
+        self.every = self._field = None
+
     def cancel(self) -> None:
         if self._group:
             self.spark.sparkContext.cancelJobGroup(self._group)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density, surface
 from ..operators.bounds import Grid
+from ..tables import new_path, without_leftovers
 
 
 def slab_ranges(grid: Grid, depth: int) -> list[tuple[int, int]]:
@@ -17,6 +18,19 @@ def slab_ranges(grid: Grid, depth: int) -> list[tuple[int, int]]:
     return [(a, min(grid.dims[2], a + depth)) for a in range(0, grid.dims[2], depth)]
 
 
+def density_by_slabs(gaussians: DataFrame, grid: Grid, sigma: float, depth: int) -> DataFrame:
+    """The field of ``density_fanout``, slab after slab: a step meets only the supports that reach its layers, and its
+    sums are written before the next one begins."""
+    spark = gaussians.sparkSession
+    path, schema = new_path(spark, "slabs"), None
+    with without_leftovers(spark):
+        for a, b in slab_ranges(grid, depth):
+            own = density.density_fanout(gaussians, grid, sigma, layers=(a, b - 1))
+            schema = own.schema
+            own.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def slab_crossings(voxels: DataFrame, grid: Grid, iso: float, depth: int) -> DataFrame:
     """Crossings of all slabs.  A slab's cubes start in it and need one layer more; no cube is in two slabs, and
     vertices are numbered over all, so no seam needs welding."""
