@@ -123,3 +123,14 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     out = rows.join(bits, F.col("id").eqNullSafe(F.col("_i")) & (F.col("copy") == F.col("_c")), "left")
     taken = (F.col("size") * (F.floor("copies") + F.coalesce("bit", F.lit(0)))).cast("bigint")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+#: Targets by rounds: share what is left, cap, share again, until none is above its cap.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM documents),
+s AS (SELECT source, CAST(sum(n) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source COLLATE "BINARY" NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+total AS (SELECT sum(source_size) AS words FROM s),
+rounds(k, level) AS (SELECT 0, words / (SELECT sum(w) FROM s) FROM total
+  UNION ALL SELECT k + 1, (words - (SELECT coalesce(sum(3.0 * source_size), 0) FROM s WHERE w * level > 3.0 * source_size)) / (SELECT sum(w) FROM s WHERE w * level <= 3.0 * source_size) FROM rounds, total WHERE k < 60 AND EXISTS (SELECT 1 FROM s WHERE w * level <= 3.0 * source_size)),
+last AS (SELECT level FROM rounds WHERE level IS NOT NULL ORDER BY k DESC LIMIT 1)
+SELECT source, source_size, round(CAST(least(3.0 * source_size, w * level) AS DOUBLE), 3) AS target FROM s, last"""

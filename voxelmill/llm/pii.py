@@ -377,3 +377,13 @@ def redact_pii(docs: DataFrame, model: PiiModel, *, text_col: str = "text") -> D
             yield b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: Counts of the base spans, by the patterns as they are given.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS mails, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones FROM d),
+c AS (SELECT doc_id, mails, phones, list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: len(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) > 255)) = 0) AS ips,
+  list_filter(cards, lambda x: len(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[len(x) + 1 - i] AS INTEGER) WHEN CAST(x[len(x) + 1 - i] AS INTEGER) > 4 THEN 2 * CAST(x[len(x) + 1 - i] AS INTEGER) - 9 ELSE 2 * CAST(x[len(x) + 1 - i] AS INTEGER) END)) % 10 = 0) AS cards FROM m)
+SELECT doc_id, CAST(len(mails) AS BIGINT) AS n_email, CAST(len(ips) AS BIGINT) AS n_ip, CAST(len(cards) AS BIGINT) AS n_card, CAST(len(list_filter(phones, lambda x: len(x) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone FROM c"""

@@ -76,6 +76,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+# Parts of op6, op8 and op5 that SQL can express: the same operators, with SQL beside them.
+
+
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics of every text, and whether it fails by them."""
+    out = quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *quality.STATISTICS, quality.base_failed().alias("base_failed"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of each kind in every text."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each source, and its target."""
+    sized = mixing.document_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.source_targets(sized).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
@@ -87,10 +107,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "text_statistics": text_statistics,
+    "pii_base_counts": pii_base_counts,
+    "mix_targets": mix_targets,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_near_duplicates": neardup.oracle_sql(),
     "op9_warc": warc.ORACLE_SQL,
+    "text_statistics": quality.ORACLE_SQL,
+    "pii_base_counts": pii.ORACLE_SQL,
+    "mix_targets": mixing.ORACLE_SQL,
 }
