@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import stored
+
 SHINGLE = 3
 WINDOW = 8
 STRIDE = 4
@@ -103,6 +105,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # a window takes its own shingles along, not the text
     windows = cut.select("id", F.explode(F.transform(starts, lambda k: F.struct((k * STRIDE).alias("start"), F.array_distinct(F.slice("shingles", k * STRIDE + 1, WINDOW - SHINGLE + 1)).alias("own")))).alias("w"))
     windows = windows.select("id", "w.start", "w.own", F.filter("w.own", lambda x: x.isin(vocabulary)).alias("found"))
+    windows = stored(windows, "license-windows")  # few: the texts are read once
     met = windows.select("id", "start", F.explode(bands("own")).alias("b")).select("id", "start", "b.band", "b.low")
     met = met.join(F.broadcast(template_bands), ["band", "low"]).groupBy("id", "template").agg(F.count_distinct("start").alias("n_windows"))
 
