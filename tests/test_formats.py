@@ -128,3 +128,24 @@ def test_ply_rows_survive(values):
     h = ply.parse_header(data)
     row = np.frombuffer(data[h.offset :], h.record)[0]
     assert [float(row[c]) for c in RAW] == [float(np.float32(v)) for v in values]
+
+
+def test_ascii_in_chunks_and_the_vertex_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ply, "CHUNK", 37)
+    monkeypatch.setattr(ply, "BATCH", 10)
+    text = samples.ascii_sphere()
+    (tmp_path / "s.ply").write_text(text)
+    head = ply.parse_header(text.encode())
+    reader = ply.PlyReader(str(tmp_path / "s.ply"), head)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["gid"] for r in rows] == list(range(128))
+    body = [x.split() for x in text.splitlines()[-128:]]
+    assert [r["x"] for r in rows] == [float(x[head.names.index("x")]) for x in body]
+    (tmp_path / "t.ply").write_text(text.rstrip().rsplit("\n", 1)[0])
+    reader = ply.PlyReader(str(tmp_path / "t.ply"), head)
+    with pytest.raises(ValueError, match="truncated"):
+        [b for p in reader.partitions() for b in reader.read(p)]
+    with pytest.raises(ValueError, match="maxVertices"):
+        ply.parse_header(text.encode(), 100)
+    spark.dataSource.register(ply.PlySource)
+    assert spark.read.format("ply").option("maxVertices", 128).load(str(tmp_path / "s.ply")).count() == 128

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,12 @@ from .adapter import RAW
 # The format's scalar types.
 SCALARS = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 REQUIRED = RAW[:11]
+#: Vertices that a file may have, unless the reader's option ``maxVertices`` says otherwise; bytes of a header.
 MAX_VERTICES = 20_000_000
 HEADER_LIMIT = 1 << 20
 RECORDS_PER_TASK = 500_000
+#: Vertices of one batch, and bytes of an ASCII body that are read at once.
+BATCH, CHUNK = 50_000, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,7 @@ class Header:
         return np.dtype([(n if last[n] == i else f"_{i}", "<" + t) for i, (n, t) in enumerate(zip(self.names, self.types, strict=True))])
 
 
-def parse_header(head: bytes) -> Header:
+def parse_header(head: bytes, most: int = MAX_VERTICES) -> Header:
     m = re.search(rb"end_header[ \t]*(\r\n|\n|\r)", head)
     if not head.startswith(b"ply") or not m:
         raise ValueError("not a PLY file: the header is missing or has no end_header")
@@ -66,8 +70,8 @@ def parse_header(head: bytes) -> Header:
         raise ValueError(f"unsupported PLY format {kind or '(none)'}")
     if count <= 0:
         raise ValueError("the PLY vertex element is empty")
-    if count > MAX_VERTICES:
-        raise ValueError(f"the PLY file has more than {MAX_VERTICES} vertices")
+    if count > most:
+        raise ValueError(f"the PLY file has more than {most} vertices; the option maxVertices raises the limit")
     if first != "vertex":
         raise ValueError("elements before vertex are not supported")
     if missing := [n for n in REQUIRED if n not in names]:
@@ -108,22 +112,35 @@ class PlyReader(DataSourceReader):
         dtype = self.header.record
         with open_file(self.path) as f:
             f.seek(self.header.offset + part.first * dtype.itemsize)
-            for a in range(0, part.count, 50_000):
-                n = min(50_000, part.count - a)
+            for a in range(0, part.count, BATCH):
+                n = min(BATCH, part.count - a)
                 data = f.read(n * dtype.itemsize)
                 if len(data) < n * dtype.itemsize:
                     raise ValueError("the PLY vertex data is truncated")
                 yield part.first + a, np.frombuffer(data, dtype)
 
-    def _ascii(self) -> Iterator[tuple[int, np.ndarray]]:
-        h = self.header
+    def _lines(self) -> Iterator[list[str]]:
+        """The values of each line that isn't blank, read chunk by chunk."""
         with open_file(self.path) as f:
-            f.seek(h.offset)
-            lines = [x.split() for x in f.read().decode("ascii", "replace").splitlines() if x.strip()][: h.count]
-        if len(lines) < h.count or any(len(x) < len(h.names) for x in lines):
-            raise ValueError("the PLY vertex data is truncated")
+            f.seek(self.header.offset)
+            rest = b""
+            while data := f.read(CHUNK):
+                *whole, rest = (rest + data).replace(b"\r", b"\n").split(b"\n")
+                yield from (w for x in whole if (w := x.decode("ascii", "replace").split()))
+            if w := rest.decode("ascii", "replace").split():
+                yield w
+
+    def _ascii(self) -> Iterator[tuple[int, np.ndarray]]:
+        h, start = self.header, 0
         last = {n: i for i, n in enumerate(h.names)}
-        yield 0, np.rec.fromarrays([np.array([float(x[i]) for x in lines]) for i in last.values()], names=list(last))
+        lines = islice(self._lines(), h.count)
+        while batch := list(islice(lines, BATCH)):
+            if any(len(x) < len(h.names) for x in batch):
+                break
+            yield start, np.rec.fromarrays([np.array([float(x[i]) for x in batch]) for i in last.values()], names=list(last))
+            start += len(batch)
+        if start < h.count:
+            raise ValueError("the PLY vertex data is truncated")
 
 
 class PlySource(DataSource):
@@ -135,7 +152,7 @@ class PlySource(DataSource):
 
     def _header(self) -> Header:
         with open_file(self.options["path"]) as f:
-            return parse_header(f.read(HEADER_LIMIT))
+            return parse_header(f.read(HEADER_LIMIT), int(self.options.get("maxVertices", MAX_VERTICES)))
 
     def schema(self) -> str:
         names = self._header().names

@@ -9,7 +9,6 @@ import math
 import struct
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -57,29 +56,32 @@ def write_obj(mesh: Mesh, path: str) -> None:
 
 
 def write_glb(mesh: Mesh, path: str) -> None:
-    """glTF 2.0 binary: one indexed primitive with normals, colors and a double-sided material."""
-    v = np.array(list(_vertices(mesh)), np.float32).reshape(-1, 9)
-    t = np.array(list(_faces(mesh)), np.uint32).reshape(-1, 3)
-    parts = [v[:, :3], v[:, 3:6], v[:, 6:], t.reshape(-1)]
-    data, views = b"", []
-    for k, p in enumerate(parts):
-        raw = np.ascontiguousarray(p).tobytes()
-        views.append({"buffer": 0, "byteOffset": len(data), "byteLength": len(raw), "target": 34963 if k == 3 else 34962})
-        data += raw
-    ends = {"min": v[:, :3].min(axis=0).tolist(), "max": v[:, :3].max(axis=0).tolist()} if len(v) else {}
-    accessors = [{"bufferView": k, "componentType": 5126, "count": len(v), "type": "VEC3"} | (ends if k == 0 else {}) for k in range(3)]
-    accessors.append({"bufferView": 3, "componentType": 5125, "count": t.size, "type": "SCALAR"})
+    """glTF 2.0 binary: one indexed primitive with normals, colors and a double-sided material.  Sizes follow from the
+    counts, so each part is streamed in its turn."""
+    n, m = mesh.vertices.count(), mesh.faces.count()
+    views, at = [], 0
+    for size, target in ((12 * n, 34962), (12 * n, 34962), (12 * n, 34962), (12 * m, 34963)):
+        views.append({"buffer": 0, "byteOffset": at, "byteLength": size, "target": target})
+        at += size
+    box = mesh.vertices.agg(*[f(F.col(c).cast("float").cast("double")) for f in (F.min, F.max) for c in "xyz"]).first()
+    ends = {"min": list(box[:3]), "max": list(box[3:])} if n else {}
+    accessors = [{"bufferView": k, "componentType": 5126, "count": n, "type": "VEC3"} | (ends if k == 0 else {}) for k in range(3)]
+    accessors.append({"bufferView": 3, "componentType": 5125, "count": 3 * m, "type": "SCALAR"})
     doc = {
         "asset": {"version": "2.0", "generator": "voxelmill"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}],
         "meshes": [{"primitives": [{"attributes": {"POSITION": 0, "NORMAL": 1, "COLOR_0": 2}, "indices": 3, "material": 0}]}],
         "materials": [{"doubleSided": True, "pbrMetallicRoughness": {"metallicFactor": 0.0, "roughnessFactor": 0.8}}],
-        "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(data)}],
+        "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": at}],
     }
     text = json.dumps(doc).encode()
     text += b" " * (-len(text) % 4)
-    data += b"\0" * (-len(data) % 4)
-    body = struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", len(data), b"BIN\0") + data
-    Path(path).write_bytes(struct.pack("<4sII", b"glTF", 2, 12 + len(body)) + body)
+    with open(path, "wb") as f:
+        f.write(struct.pack("<4sII", b"glTF", 2, 12 + 8 + len(text) + 8 + at) + struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", at, b"BIN\0"))
+        for k in (0, 3, 6):
+            for v in _vertices(mesh):
+                f.write(struct.pack("<3f", *v[k : k + 3]))
+        for t in _faces(mesh):
+            f.write(struct.pack("<3I", *t))
 
 
 def output_name(source: str, extension: str) -> str:
