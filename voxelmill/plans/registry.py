@@ -16,7 +16,8 @@ from ..tables import stored
 from . import oracle as o
 
 SIGMA, THRESHOLD, Q = o.SIGMA, o.THRESHOLD, o.Q
-FIELD, FINE, COARSE = 32, 20, 14  # resolutions
+FIELD, FINE, COARSE = 32, 20, 14  # resolutions; SQL of surfaces is slow on finer grids
+PRESET = 64  # where no SQL is held against
 
 
 @dataclass(frozen=True)
@@ -382,7 +383,7 @@ def quadric_edge_costs(spark, d):
 
 @query()
 def quadric_decimated(spark, d):
-    m = decimate.quadric_decimate(surface_of(spark, d)[0], 0.5)
+    m = decimate.quadric_decimate(surface_of(spark, d, PRESET)[0], 0.5)
     return mesh.topology(m).crossJoin(m.faces.agg(F.count("*").alias("faces"))).crossJoin(m.vertices.agg(F.count("*").alias("vertices")))
 
 
@@ -444,7 +445,7 @@ def conversion(spark, d):
 
     s = SplatSession(spark)
     s.load_raw(raw_from_embeddings(spark, f"{d}/embeddings.parquet"), "parquet")
-    out = s.start(Params(resolution=COARSE, min_component_faces=8, denoise=1, fill_voids=True, max_hole_edges=8, decimation_ratio=0.6))
+    out = s.start(Params(resolution=PRESET, min_component_faces=8, denoise=1, fill_voids=True, max_hole_edges=8, decimation_ratio=0.6))
     return spark.createDataFrame([(out.iso, out.mesh.vertices.count(), out.mesh.faces.count(), *out.quality.first())], "iso double, vertices bigint, faces bigint, boundary_edges bigint, non_manifold_edges bigint, degenerate_faces bigint, components bigint")
 
 
