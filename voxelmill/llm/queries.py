@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
+from . import bpe, decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
 from .shared import crc_mod, new_path, stored, table_dir
 
 
+#: The rank file of op13.
+MULTI_BPE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_dir(sf_dir, name))
 
@@ -76,6 +80,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs, MULTI_BPE).drop("text"), MULTI_BPE)
+    digits = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # Parts of op6, op8 and op5 that SQL can express: the same operators, with SQL beside them.
 
 
@@ -107,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op13_byte_bpe": op13_byte_bpe,
     "text_statistics": text_statistics,
     "pii_base_counts": pii_base_counts,
     "mix_targets": mix_targets,
