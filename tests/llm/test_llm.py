@@ -44,7 +44,7 @@ def rows_of(df, *cols):
 @pytest.mark.parametrize("name", list(q.ORACLE_SQL))
 def test_queries_against_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for name_ in ("documents", "pages"):
+    for name_ in ("documents", "pages", "labels"):
         c.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     found = c.execute(q.ORACLE_SQL[name])
     cols = [d[0] for d in found.description]

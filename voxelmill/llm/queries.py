@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
+from . import audit, bpe, decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
 from .shared import crc_mod, new_path, stored, table_dir
 
 
@@ -80,6 +80,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.decode(bpe.encode(docs, MULTI_BPE).drop("text"), MULTI_BPE)
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op12_filter_audit": op12_filter_audit,
     "op13_byte_bpe": op13_byte_bpe,
     "text_statistics": text_statistics,
     "pii_base_counts": pii_base_counts,
@@ -128,6 +134,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_near_duplicates": neardup.oracle_sql(),
     "op9_warc": warc.ORACLE_SQL,
+    "op12_filter_audit": audit.ORACLE_SQL,
     "text_statistics": quality.ORACLE_SQL,
     "pii_base_counts": pii.ORACLE_SQL,
     "mix_targets": mixing.ORACLE_SQL,
