@@ -7,8 +7,9 @@ Texts of any length are cut to parts of bounded size where a piece begins whatev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -191,3 +192,82 @@ def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hash
     odd = np.flatnonzero(~same)
     of[odd] = len(first) + np.arange(len(odd))
     return np.concatenate([first, odd]), of
+
+
+class Stack:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.all, self.n = np.zeros(1024, dtype), 0
+
+    def push(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(self.n + 2 * len(values), self.all.dtype)])
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def keep(self, at: np.ndarray) -> None:
+        self.n, self.all = len(at), self.all[at]
+
+
+class Remembered:
+    """Ids of pieces as ``encode`` gives them, each piece once while it is remembered: found by hash, verified by bytes.
+
+    With more than ``most`` pieces, those that were not used lately are forgotten."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 500_000):
+        self.encode, self.most, self.clock = encode, most, 0
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of hashes
+        self.data, self.ids = Stack(np.uint8), Stack(np.int32)
+        self.start, self.length, self.first, self.count, self.used = (Stack(np.int64) for _ in range(5))
+
+    def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Indices of the distinct pieces; which of them each piece is; all distinct pieces' ids; how many each has."""
+        which, of = distinct_pieces(data, starts, ends, hashes)
+        begin, size, h = starts[which], (ends - starts)[which], hashes[which]
+        self.clock += 1
+        at, taken = np.searchsorted(self.hashes, h), np.zeros(len(h), bool)
+        entry, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        if len(self.hashes):
+            near = np.minimum(at, len(self.hashes) - 1)
+            taken, entry = self.hashes[near] == h, self.entry[near]
+            known = taken & (self.length.all[entry] == size)
+            there = np.flatnonzero(known)
+            known[there] = same_bytes(data, begin[there], size[there], self.data.all, self.start.all[entry[there]])
+        new = np.flatnonzero(~known)
+        raw = data.tobytes()
+        lists = self.encode([raw[a : a + n] for a, n in zip(begin[new].tolist(), size[new].tolist())])
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        entry[new] = self.start.n + np.arange(len(new))
+        self.first.push(self.ids.n + np.cumsum(counts) - counts)
+        self.count.push(counts)
+        self.ids.push(np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())))
+        self.start.push(self.data.n + np.cumsum(size[new]) - size[new])
+        self.length.push(size[new])
+        self.data.push(data[spread(begin[new], size[new])])
+        self.used.push(np.zeros(len(new), np.int64))
+        self.used.all[entry] = self.clock
+        # A hash names one piece of the table.  Distinct pieces come in order of hashes, then those whose hash came before.
+        fresh = new[~taken[new] & (new < (np.argmax(h[1:] <= h[:-1]) + 1 if (h[1:] <= h[:-1]).any() else len(h)))]
+        self.hashes, self.entry = np.insert(self.hashes, at[fresh], h[fresh]), np.insert(self.entry, at[fresh], entry[fresh])
+        counts = self.count.all[entry]
+        ids = self.ids.all[spread(self.first.all[entry], counts)]
+        if self.start.n > self.most:
+            self.forget()
+        return which, of, ids, counts
+
+    def forget(self) -> None:
+        """Keep the half that was used last, of the pieces that can be found."""
+        used = self.used.all[: self.used.n]
+        kept = np.zeros(len(used), bool)
+        kept[self.entry] = True
+        kept &= used > np.partition(used, len(used) // 2)[len(used) // 2]
+        keep, stay = np.flatnonzero(kept), kept[self.entry]
+        self.hashes, self.entry = self.hashes[stay], (np.cumsum(kept) - 1)[self.entry[stay]]
+        self.data.keep(spread(self.start.all[keep], self.length.all[keep]))
+        self.ids.keep(spread(self.first.all[keep], self.count.all[keep]))
+        for s in (self.length, self.count, self.used):
+            s.keep(keep)
+        for s, sizes in ((self.start, self.length), (self.first, self.count)):
+            s.keep(keep)
+            s.all[:] = np.cumsum(sizes.all) - sizes.all

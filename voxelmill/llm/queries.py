@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
+from . import alignment, audit, bpe, decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
 from .shared import crc_mod, new_path, stored, table_dir
 
 
@@ -80,6 +80,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = alignment.align_tokenizers(docs, groups="IF(groups = '', '', sha2(groups, 256))")
+    return out.withColumnRenamed("groups", "groups_sha256").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return audit.audit_filters(docs, table(spark, sf_dir, "labels"))
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_filter_audit": op12_filter_audit,
     "op13_byte_bpe": op13_byte_bpe,
     "text_statistics": text_statistics,
