@@ -83,6 +83,28 @@ def test_equal_hashes_are_told_apart():
     assert [bytes(data[starts[i] : ends[i]]) for i in which[of]] == [b"abc", b"abd", b"ab"]
 
 
+def test_pieces_are_remembered_and_forgotten():
+    rng, asked = random.Random(4), []
+
+    def encode(pieces_):
+        asked.extend(pieces_)
+        return [list(p) for p in pieces_]
+
+    known = pieces.Remembered(encode, most=200)
+    for round_ in range(60):
+        words = [bytes(rng.choices(b"abcd", k=rng.randrange(1, 6))) for _ in range(rng.randrange(150))]
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        starts, data = ends - [len(w) for w in words], np.frombuffer(b"".join(words), np.uint8)
+        hashes = pieces.piece_hashes(data, starts, ends)
+        if round_ % 7 == 6:
+            hashes &= np.uint64(15)  # many pieces share a hash
+        _, of, ids, n = known.ids_of(data, starts, ends, hashes)
+        first = np.cumsum(n) - n
+        assert [bytes(ids[first[i] : first[i] + n[i]].tolist()) for i in of] == words
+        assert known.start.n <= 200 + 150
+    assert len(asked) < 60 * 75
+
+
 def test_query_against_the_library(spark, sf_dir, library):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = q.QUERIES["op13_byte_bpe"](spark, sf_dir).collect()

@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import batches, distinct_pieces, mixed, pattern_starts, piece_hashes, same_bytes, spread, string_buffers
+from .pieces import Remembered, batches, mixed, pattern_starts, piece_hashes, same_bytes, spread, string_buffers
 from .shared import small_batches
 
-#: Merged pieces that a worker remembers in each of two generations: when the younger one is full it becomes the
-#: older, and what the older one had is forgotten unless it was used again.
-REMEMBER = 300_000
+#: Merged pieces that a worker remembers.
+REMEMBER = 600_000
 #: Bits of an id where two are one number.
 ID_BITS = 24
 #: Entries of the vocabulary in a bucket of the perfect hash, on average.
@@ -153,21 +152,7 @@ class Vocabulary:
         self.sizes[self.id_of] = [len(e) for e in entries]
         self.starts, self.data = np.zeros(len(self.sizes), np.int64), self.hash.data
         self.starts[self.id_of] = np.cumsum([0, *map(len, entries)])[:-1]
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
-
-    def merged(self, piece: bytes) -> list[int]:
-        found = self.young.get(piece)
-        if found is not None:
-            return found
-        found = self.old.get(piece)
-        if found is None:
-            found = heap_merge([self.byte_ids[b] for b in piece], self.pairs)
-        if len(piece) <= 64:
-            if len(self.young) >= REMEMBER:
-                self.old, self.young = self.young, {}
-            self.young[piece] = found
-        return found
+        self.known = Remembered(lambda pieces: [heap_merge([self.byte_ids[b] for b in p], self.pairs) for p in pieces], REMEMBER)
 
     def encode(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in ``data``, which begin at ``begins``, and how many each text has."""
@@ -176,18 +161,13 @@ class Vocabulary:
         hashes = piece_hashes(data, starts, ends)
         key = self.hash.find(data, starts, ends, hashes)
         counts, rest = np.ones(len(starts), np.int64), np.flatnonzero(key < 0)
-        which, of = distinct_pieces(data, starts[rest], ends[rest], hashes[rest])
-        raw = data.tobytes()
-        merged = [self.merged(raw[a:b]) for a, b in zip(starts[rest][which].tolist(), ends[rest][which].tolist())]
-        sizes = np.array([len(m) for m in merged], np.int64)
-        counts[rest] = sizes[of] if len(rest) else 0
+        _, of, flat, sizes = self.known.ids_of(data, starts[rest], ends[rest], hashes[rest])
+        counts[rest] = sizes[of]
         after = np.cumsum(counts)
         ids = np.empty(after[-1] if len(after) else 0, np.int32)
         whole = np.flatnonzero(key >= 0)
         ids[after[whole] - 1] = self.id_of[key[whole]]
-        if len(rest):
-            flat = np.array([x for m in merged for x in m], np.int32)
-            ids[spread(after[rest] - counts[rest], counts[rest])] = flat[spread((np.cumsum(sizes) - sizes)[of], counts[rest])]
+        ids[spread(after[rest] - counts[rest], counts[rest])] = flat[spread((np.cumsum(sizes) - sizes)[of], counts[rest])]
         upto = np.append(0, after)[np.searchsorted(starts, np.append(begins, len(data)))]
         return ids, np.diff(upto)
 
