@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import EmptyScene, GridTooLarge
 from ..functions import gaussian as g
 from ..params import MAX_AXIS, MAX_GRID_BYTES, format_bytes
 
@@ -107,7 +108,7 @@ def robust_bounds(gaussians: DataFrame, sigma: float, q: float) -> tuple[tuple[f
     q = min(max(q, 0.0), 0.49)
     n = gaussians.count()
     if not n:
-        raise ValueError("no Gaussians remain after filtering")
+        raise EmptyScene("no Gaussians remain after filtering")
     ranks = [nearest_rank(n, q), nearest_rank(n, 1 - q)]
     cut = ranked_values(gaussians, {c: ranks for c in "xyz"}, n)
     inside = F.lit(True)
@@ -126,5 +127,5 @@ def make_grid(low: tuple[float, ...], high: tuple[float, ...], resolution: int,
     spacing = max(*extent, EPSILON) / max(8, min(256, resolution))
     grid = Grid(tuple(low), tuple(high), spacing, tuple(min(MAX_AXIS, math.ceil(e / spacing) + 1) for e in extent))
     if check and grid.bytes > MAX_GRID_BYTES:
-        raise ValueError(f"the grid would take {format_bytes(grid.bytes)}: lower the resolution or crop the scene")
+        raise GridTooLarge(f"the grid would take {format_bytes(grid.bytes)}")
     return grid

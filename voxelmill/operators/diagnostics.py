@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..errors import EmptyScene
 from ..tables import Scratch
 from . import activate, bounds, density, mesh, stats, surface
 
@@ -21,7 +22,7 @@ def inspection(every: DataFrame, mode: str = "all", *, resolution: int = 96, thr
         opaque = scratch.stored(activate.select_gaussians(every, threshold), "inspected")
         ratios = bounds.quantiles(opaque.select(activate.scale_ratio().alias("r")), "r", [0.95, 0.99, 1.0])
         if not ratios:
-            raise ValueError("no Gaussians remain after opacity filtering")
+            raise EmptyScene("no Gaussians remain after opacity filtering")
         own = scratch.stored(activate.diagnostic_subset(opaque, mode), "inspected-case")
         grid = bounds.make_grid(*bounds.robust_bounds(own, sigma, quantile), resolution)
         voxels = scratch.stored(density.density_fanout(own, grid, sigma), "inspected-field")

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import UnsupportedSource
+
 FORMATS = {"ply": "ply", "spz": "spz", "splat": "splat", "ksplat": "ksplat", "sog": "sog", "zip": "sog"}
 
 
@@ -14,7 +16,7 @@ def splat_format(name: str) -> str:
     m = re.search(r"\.([A-Za-z]+)/?$", name)
     kind = FORMATS.get(m[1].lower()) if m else None
     if not kind:
-        raise ValueError(f"unsupported file type: {name} (expected one of {', '.join(FORMATS)})")
+        raise UnsupportedSource(f"unsupported file type: {name} (expected one of {', '.join(FORMATS)})")
     return kind
 
 
@@ -29,4 +31,4 @@ def read_splats(spark: SparkSession, path: str) -> tuple[DataFrame, str, bool]:
         return packed.read_splat(spark, path), kind, True
     if kind == "spz":
         return packed.read_spz(spark, path), kind, True
-    raise NotImplementedError(f"could not decode {kind.upper()}: no public description of the format is at hand; export PLY, SPLAT or SPZ instead")
+    raise UnsupportedSource(f"could not decode {kind.upper()}: no public description of the format is at hand")

@@ -7,13 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import SourceError, UnsupportedSource
 from ..functions.gaussian import ACTIVATED, C0
 from ..operators.activate import finite
+from .files import list_files, open_file, ranges_table
+from .layouts import SPLAT
 
-RECORD = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 4), ("q", "u1", 4)])
+#: Records of a SPLAT file that are a task, and records or points of a batch.
+RECORDS, BATCH = 1_000_000, 50_000
+#: Bits of a point's number in its file, where files have no known number of points.
+POINT_BITS = 32
 SPZ_MAGIC = 0x5053474E
 SCHEMA = "gid bigint, " + ", ".join(f"{c} double" for c in ACTIVATED)
 
@@ -32,9 +38,9 @@ def activated_batch(first: int, p: np.ndarray, s: np.ndarray, q: np.ndarray, opa
 
 
 def splat_rows(data: bytes) -> tuple[np.ndarray, ...]:
-    if not data or len(data) % RECORD.itemsize:
-        raise ValueError("could not decode SPLAT: the size is not a multiple of 32 bytes")
-    r = np.frombuffer(data, RECORD)
+    if not data or len(data) % SPLAT.itemsize:
+        raise SourceError("could not decode SPLAT: the size is not a multiple of 32 bytes")
+    r = np.frombuffer(data, SPLAT)
     return r["p"], r["s"], (r["q"].astype(np.float64) - 128) / 128, r["c"][:, 3] / 255.0, r["c"][:, :3] / 255.0
 
 
@@ -54,15 +60,15 @@ def smallest_three(raw: np.ndarray) -> np.ndarray:
 
 def spz_rows(data: bytes) -> tuple[np.ndarray, ...]:
     if data[:2] != b"\x1f\x8b":
-        raise ValueError("could not decode SPZ: not gzip data, as of a newer version; export SPZ version 3 or PLY instead")
+        raise UnsupportedSource("could not decode SPZ: not gzip data, as of a newer version")
     data = gzip.decompress(data)
     magic, version, n = (int(x) for x in np.frombuffer(data[:12], "<u4"))
     if magic != SPZ_MAGIC or version not in (2, 3):
-        raise ValueError(f"could not decode SPZ: version {version} is not supported")
+        raise UnsupportedSource(f"could not decode SPZ: version {version} is not supported")
     fraction, at = data[13], 16
     width = {"p": 9, "a": 1, "c": 3, "s": 3, "q": 3 if version == 2 else 4}
     if len(data) < at + n * sum(width.values()):
-        raise ValueError("could not decode SPZ: the data is truncated")
+        raise SourceError("could not decode SPZ: the data is truncated")
     part = {}
     for k, w in width.items():
         part[k] = np.frombuffer(data, np.uint8, n * w, at).reshape(n, w)
@@ -78,26 +84,41 @@ def spz_rows(data: bytes) -> tuple[np.ndarray, ...]:
     return p, np.exp(part["s"] / 16.0 - 10), q, part["a"][:, 0] / 255.0, color
 
 
-def _read(spark: SparkSession, path: str, decode) -> DataFrame:
-    """Any store that Spark reads; a file is one task, as its format is one block."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def read_splat(spark: SparkSession, path: str, records: int = RECORDS) -> DataFrame:
+    """A SPLAT file or a folder of them: ranges of records are tasks.  gid counts on from file to file, in order of names."""
+    ranges, first = [], 0
+    for name, size in list_files(path, (".splat",)):
+        if not size or size % SPLAT.itemsize:
+            raise SourceError("could not decode SPLAT: the size is not a multiple of 32 bytes")
+        n = size // SPLAT.itemsize
+        ranges += [(name, a, min(records, n - a), first + a) for a in range(0, n, records)]
+        first += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content"):
-                parts = decode(content.as_py())
-                for a in range(0, len(parts[0]), 50_000):
-                    yield activated_batch(a, *(x[a : a + 50_000] for x in parts))
+            for name, at, n, gid in zip(*(c.to_pylist() for c in b.columns)):
+                with open_file(name) as f:
+                    f.seek(at * SPLAT.itemsize)
+                    for a in range(0, n, BATCH):
+                        yield activated_batch(gid + a, *splat_rows(f.read(min(BATCH, n - a) * SPLAT.itemsize)))
 
-    return files.mapInArrow(run, SCHEMA).where(finite(*ACTIVATED))
+    return ranges_table(spark, ranges, "name string, at bigint, n bigint, gid bigint").mapInArrow(run, SCHEMA).where(finite(*ACTIVATED))
 
 
-def read_splat(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, splat_rows)
+def read_spz(spark: SparkSession, path: str) -> DataFrame:
+    """SPZ in any store that Spark reads; a file is one task, as its format is one compressed block.  gid is the point's
+    number in its file, with the file's number (in order of names, from 0) above it."""
+    files = spark.read.format("binaryFile").load(path)
+    numbers = files.select("path").withColumn("file", F.row_number().over(Window.orderBy("path")) - 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, file in zip(b.column("content"), b.column("file").to_pylist()):
+                parts = spz_rows(content.as_py())
+                for a in range(0, len(parts[0]), BATCH):
+                    yield activated_batch((file << POINT_BITS) + a, *(x[a : a + BATCH] for x in parts))
 
-def read_spz(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, spz_rows)
+    return files.join(numbers, "path").select("content", "file").mapInArrow(run, SCHEMA).where(finite(*ACTIVATED))
 
 
 def from_activated(df: DataFrame, threshold: float) -> DataFrame:

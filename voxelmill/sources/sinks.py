@@ -1,58 +1,45 @@
-"""Meshes to files, reports to JSON.
-
-A mesh file is one ordered stream, so rows come to the driver partition by partition, never all at once."""
+"""Meshes and splats to files, reports to JSON.  Files are encoded by tasks and joined when all are done."""
 
 from __future__ import annotations
 
 import json
-import math
 import struct
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import SourceError
 from ..operators.surface import Mesh
+from .adapter import RAW
+from .files import write_file
+from .layouts import COLOR, NORMAL, VERTEX
 
 REPORT_SCHEMA = "voxelmill/benchmark-v1"
+NAMES = VERTEX + NORMAL + COLOR
 
 
-def _vertices(mesh: Mesh) -> Iterator[tuple]:
-    return (tuple(r)[1:] for r in mesh.vertices.select("vid", "x", "y", "z", "nx", "ny", "nz", "cr", "cg", "cb").orderBy("vid").toLocalIterator())
-
-
-def _faces(mesh: Mesh) -> Iterator[tuple]:
-    return (tuple(r)[1:] for r in mesh.faces.select("fid", "a", "b", "c").orderBy("fid").toLocalIterator())
-
-
-def _byte(c: float) -> int:
-    return max(0, min(255, math.floor(c * 255 + 0.5)))
+def _sections(mesh: Mesh, *parts: tuple[str, ...]) -> DataFrame:
+    """The vertices once for each of ``parts`` (columns), then the faces, as rows of sections in this order."""
+    out = None
+    every = sorted({c for p in parts for c in p}, key=NAMES.index)
+    none = lambda have, kind: [F.lit(None).cast(kind).alias(c) for c in have]
+    for k, part in enumerate(parts):
+        rows = mesh.vertices.select(F.lit(k).alias("section"), F.col("vid").alias("id"), *[F.col(c) if c in part else F.lit(None).cast("double").alias(c) for c in every], *none("abc", "bigint"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.unionByName(mesh.faces.select(F.lit(len(parts)).alias("section"), F.col("fid").alias("id"), *none(every, "double"), *[F.col(c).cast("bigint").alias(c) for c in "abc"]))
 
 
 def write_ply(mesh: Mesh, path: str) -> None:
     """Binary little-endian: float positions and normals, byte colors, triangles; non-finite numbers become 0."""
-    props = "".join(f"property float {c}\n" for c in ("x", "y", "z", "nx", "ny", "nz")) + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
-    with open(path, "wb") as f:
-        f.write(f"ply\nformat binary_little_endian 1.0\nelement vertex {mesh.vertices.count()}\n{props}element face {mesh.faces.count()}\nproperty list uchar int vertex_indices\nend_header\n".encode())
-        for v in _vertices(mesh):
-            f.write(struct.pack("<6f3B", *(x if math.isfinite(x) else 0.0 for x in v[:6]), *map(_byte, v[6:])))
-        for t in _faces(mesh):
-            f.write(struct.pack("<B3I", 3, *t))
+    props = "".join(f"property float {c}\n" for c in (*VERTEX, *NORMAL)) + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {mesh.vertices.count()}\n{props}element face {mesh.faces.count()}\nproperty list uchar int vertex_indices\nend_header\n"
+    write_file(_sections(mesh, VERTEX + NORMAL + COLOR), path, "ply", head.encode())
 
 
 def write_obj(mesh: Mesh, path: str) -> None:
     """Text with colors after positions, normals, and faces that count from 1."""
-    short = lambda v: repr(float(np.float32(v)))
-    with open(path, "w") as f:
-        f.write("# vertex colors follow the position\n")
-        for v in _vertices(mesh):
-            f.write(f"v {' '.join(map(short, (*v[:3], *v[6:])))}\n")
-        for v in _vertices(mesh):
-            f.write(f"vn {' '.join(map(short, v[3:6]))}\n")
-        for t in _faces(mesh):
-            f.write("f " + " ".join(f"{i + 1}//{i + 1}" for i in t) + "\n")
+    write_file(_sections(mesh, VERTEX + COLOR, NORMAL), path, "obj", b"# vertex colors follow the position\n")
 
 
 def write_glb(mesh: Mesh, path: str) -> None:
@@ -75,13 +62,18 @@ def write_glb(mesh: Mesh, path: str) -> None:
     }
     text = json.dumps(doc).encode()
     text += b" " * (-len(text) % 4)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<4sII", b"glTF", 2, 12 + 8 + len(text) + 8 + at) + struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", at, b"BIN\0"))
-        for k in (0, 3, 6):
-            for v in _vertices(mesh):
-                f.write(struct.pack("<3f", *v[k : k + 3]))
-        for t in _faces(mesh):
-            f.write(struct.pack("<3I", *t))
+    head = struct.pack("<4sII", b"glTF", 2, 12 + 8 + len(text) + 8 + at) + struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", at, b"BIN\0")
+    write_file(_sections(mesh, VERTEX, NORMAL, COLOR), path, "glb", head)
+
+
+def write_splats(rows: DataFrame, path: str, layout: str) -> None:
+    """Splat rows in order of gid: ``splat`` (activated rows, with the quaternion q0 to q3), ``splat-ply`` or
+    ``splat-ply-ascii`` (raw rows, floats)."""
+    head = b""
+    if layout != "splat":
+        kind = "ascii" if layout.endswith("ascii") else "binary_little_endian"
+        head = f"ply\nformat {kind} 1.0\nelement vertex {rows.count()}\n{''.join(f'property float {c}{chr(10)}' for c in RAW)}end_header\n".encode()
+    write_file(rows.withColumn("section", F.lit(0)).withColumn("id", F.col("gid")), path, layout, head)
 
 
 def output_name(source: str, extension: str) -> str:
@@ -110,7 +102,7 @@ def summarize_reports(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     other = rows.where(~F.col("schema").eqNullSafe(REPORT_SCHEMA)).select("file").first()
     if other:
-        raise ValueError(f"{other[0]}: unsupported benchmark schema")
+        raise SourceError(f"{other[0]}: unsupported benchmark schema")
     return rows.select(
         F.coalesce("gpu.vendor", F.lit("Unknown")).alias("vendor"), F.coalesce("gpu.device", F.lit("Unreported")).alias("device"), F.col("result.backend").alias("backend"),
         F.array_join(F.col("result.dims").cast("array<string>"), "×").alias("grid"), F.round(F.coalesce("result.backendTimingsMs.compute", F.lit(0.0))).alias("compute_ms"),
