@@ -1,7 +1,10 @@
 """Decimation: by clusters of cells, or by quadric errors.
 
-The order of quadric merges never changes while they run, so they are a truncated Kruskal run over a sorted list of
-edges: quadrics and costs are aggregates, and only the list of merges is sequential.
+The order of quadric merges never changes while they run: merging along the cheapest edges that join two clusters is a
+minimum spanning forest, and stopping early keeps its cheapest edges.  The forest comes in rounds (each component
+takes its cheapest edge, and pointers are doubled), its cheapest edges by a sort over ranges, clusters as components,
+and what a cluster becomes as grouped sums.  Only where a cluster's quadric has no single best point does the order of
+the merges within it matter; such clusters are replayed one by one, each in a task.
 """
 
 from __future__ import annotations
@@ -10,10 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import stored
+from ..tables import Scratch, stored
+from .graph import connected_components
 from .mesh import Mesh, compacted, cross_sql, remapped, renormaled, undirected_edges, with_corners
 
 # The order of a symmetric 4 x 4 matrix's entries.
@@ -90,11 +94,6 @@ def best_points(q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def quadric_error(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    h = np.hstack([p, np.ones((len(p), 1))])
-    return sum((1 if i == j else 2) * q[:, k] * h[:, i] * h[:, j] for k, (i, j) in enumerate(ENTRIES))
-
-
 def _cost_sql() -> tuple[list[tuple[str, str]], str]:
     """SQL over q0 to q9 (sums of both ends) and their middle mx, my, mz: steps with their names, and the cost at the
     point of Cramer's rule, or at the middle where there is no single point."""
@@ -123,53 +122,114 @@ def edge_costs(mesh: Mesh, quadrics: DataFrame) -> DataFrame:
     return both.select("a", "b", F.expr(cost).alias("cost"))
 
 
-def merges(edges: np.ndarray, n: int, target: int) -> list[tuple[int, int]]:
-    """(kept, gone) of each merge, in order, until ``target`` clusters are left; the smaller root is kept."""
-    parent = list(range(n))
+EDGE = ("cost", "a", "b")
+
+
+def spanning_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges (cost, a, b) of the minimum spanning forest, ties by a, then b.
+
+    Every round at least halves the components: each takes its cheapest edge to another one.  Two that take the same edge
+    are a root, all others point on; pointers are doubled until they name roots, and edges within a component go."""
+    taken: list[DataFrame] = []
+    live, seen = scratch.counted(edges.select(*EDGE, F.col("a").alias("u"), F.col("b").alias("v")), "forest-live", n=F.count(F.lit(1)))
+    while seen["n"]:
+        both = live.unionByName(live.select(*EDGE, F.col("v").alias("u"), F.col("u").alias("v")))
+        best = both.groupBy("u").agg(F.min(F.struct(*EDGE, "v")).alias("m")).select("u", "m.*")
+        pairs = scratch.stored(best.groupBy(*EDGE).agg(F.min("u").alias("u"), F.max("u").alias("w"), F.min_by("v", "u").alias("v")), "forest-pairs")
+        taken.append(pairs.select(*EDGE))
+        on = pairs.where("u = w").select("u", F.col("v").alias("to")).unionByName(pairs.where("u < w").select(F.explode(F.array("u", "w")).alias("x"), F.col("u").alias("to")).withColumnRenamed("x", "u"))
+        pointers, moved = scratch.stored(on, "forest-pointers"), {"n": 1}
+        while moved["n"]:
+            ahead = pointers.select(F.col("u").alias("to"), F.col("to").alias("next"))
+            last = pointers
+            pointers, moved = scratch.counted(last.join(ahead, "to").select("u", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")), "forest-pointers", n=F.count_if("moved"))
+            pointers = scratch.renamed(pointers, pointers.select("u", "to"))
+            scratch.drop(last)
+        relabelled = live
+        for end in ("u", "v"):
+            relabelled = relabelled.join(pointers.select(F.col("u").alias(end), F.col("to").alias(f"_{end}")), end)
+        apart = relabelled.where("_u != _v").select(*EDGE, F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+        fewer = apart.groupBy("u", "v").agg(F.min(F.struct(*EDGE)).alias("m")).select("m.*", "u", "v")
+        last = live
+        live, seen = scratch.counted(fewer, "forest-live", n=F.count(F.lit(1)))
+        scratch.drop(last, pointers)
+    out = edges.select(*EDGE).where("false")
+    for t in taken:
+        out = out.unionByName(t)
+    return out
+
+
+def cheapest(edges: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """The first ``n`` edges (cost, a, b) in order: they are sorted into ranges, and only the range in which the n-th
+    lies is numbered."""
+    ranged = scratch.stored(edges.repartitionByRange(*[F.col(c) for c in EDGE]).withColumn("range", F.spark_partition_id()), "forest-ranges")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("before", F.sum("size").over(Window.orderBy("range")) - F.col("size"))  # one row per range
+    known = ranged.join(sizes, "range")
+    within = known.where(f"before < {n} AND before + size > {n}").withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy(*EDGE)))
+    return known.where(f"before + size <= {n}").select(*EDGE).unionByName(within.where(F.col("before") + F.col("at") <= n).select(*EDGE))
 
-    def root(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = v = parent[parent[v]]
-        return v
 
-    out = []
+def replayed(edges: np.ndarray, ids: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The point of one cluster by its merges in order: ``edges`` (a, b), sorted; of its vertices, their ids, quadrics and
+    positions."""
+    at = {int(v): k for k, v in enumerate(ids)}
+    parent, q, p = list(range(len(ids))), q.copy(), p.copy()
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
     for u, v in edges:
-        if n - len(out) <= target:
-            break
-        x, y = sorted((root(int(u)), root(int(v))))
-        if x != y:
-            parent[y] = x
-            out.append((x, y))
-    return out
+        x, y = sorted((root(at[int(u)]), root(at[int(v)])), key=lambda k: ids[k])
+        q[x] += q[y]
+        p[x] = best_points(q[x : x + 1], p[x : x + 1], p[y : y + 1])[0]
+        parent[y] = x
+    return p[root(0)]
+
+
+def cluster_points(own: DataFrame, merged: DataFrame) -> DataFrame:
+    """``own``: to, vid, position, color and quadric of each vertex; ``merged``: the edges that were merged, with ``to``.  Per
+    cluster: its point, color and number of vertices."""
+    quadric = [f"q{k}" for k in range(10)]
+    sums = own.groupBy("to").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in quadric], *[F.avg(c).alias(c) for c in ("cr", "cg", "cb")], *[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    for name, sql in _cost_sql()[0]:
+        sums = sums.withColumn(name, F.expr(sql))
+    plain = F.expr("n <= 2 OR (abs(det) >= 1e-12 AND " + " AND ".join(f"abs(p{c}) < double('infinity')" for c in "xyz") + ")")
+    point = lambda c: F.when((F.col("n") > 1) & (F.abs(F.col(f"p{c}")) < float("inf")), F.col(f"p{c}")).otherwise(F.col(f"m{c}")).alias(c)
+    columns = ["to", "n", "cr", "cg", "cb", "x", "y", "z"]
+    done = sums.where(plain).select("to", "n", "cr", "cg", "cb", *map(point, "xyz"))
+    flat = sums.where(~plain).select("to", "n", "cr", "cg", "cb")
+    left, right = (t.join(flat.select("to"), "to", "left_semi").select(*[F.col(c).alias(c) for c in own_columns]) for t, own_columns in ((merged, ("to", *EDGE)), (own, ("to", "vid", *"xyz", *quadric))))
+
+    def replay(key, e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("vid")
+        p = replayed(e.sort_values(list(EDGE))[["a", "b"]].to_numpy(), v["vid"].to_numpy(), v[quadric].to_numpy(), v[list("xyz")].to_numpy())
+        return pd.DataFrame({"to": [key[0]], **{c: [x] for c, x in zip("xyz", p)}})
+
+    points = left.groupBy("to").cogroup(right.groupBy("to")).applyInPandas(replay, "to bigint, x double, y double, z double")
+    return done.select(columns).unionByName(flat.join(points, "to").select(columns))
 
 
 def quadric_decimate(mesh: Mesh, ratio: float) -> Mesh:
-    """Merge along the cheapest edges down to the wanted number of vertices (numbered densely).
-
-    The merge order is one list by nature; it holds two ids and a cost per edge, and the vertices' quadrics, of a mesh
-    that is to be shown or printed: the driver's memory is its bound."""
+    """Merge along the cheapest edges down to the wanted number of vertices; a cluster keeps its least id.  Costs are
+    compared to twelve digits, as sums differ in the last ones from run to run; then the ids decide."""
     n = mesh.vertices.count()
     target = target_vertices(n, ratio)
     if target >= n or mesh.faces.count() < 2:
         return mesh
-    quadrics = stored(vertex_quadrics(mesh), "quadrics")
-    edges = edge_costs(mesh, quadrics).orderBy("cost", "a", "b").select("a", "b").toPandas().to_numpy()
-    rows = quadrics.join(mesh.vertices, "vid").orderBy("vid").toPandas()
-    q, p = rows[[f"q{k}" for k in range(10)]].to_numpy(), rows[["x", "y", "z"]].to_numpy()
-    color, weight, to = rows[["cr", "cg", "cb"]].to_numpy(), np.ones(n), np.arange(n)
-    for a, b in merges(edges, n, target):
-        q[a] = q[a] + q[b]
-        p[a] = best_points(q[a : a + 1], p[a : a + 1], p[b : b + 1])[0]
-        color[a] = (color[a] * weight[a] + color[b] * weight[b]) / (weight[a] + weight[b])
-        weight[a] += weight[b]
-        to[b] = a
-    while (to[to] != to).any():
-        to = to[to]
-    spark = mesh.vertices.sparkSession
-    kept = np.flatnonzero(to == np.arange(n))
-    vertices = spark.createDataFrame(pd.DataFrame({"vid": kept, **{c: p[kept, k] for k, c in enumerate("xyz")}, **{c: color[kept, k] for k, c in enumerate(("cr", "cg", "cb"))}}))
-    new = stored(spark.createDataFrame(pd.DataFrame({"vid": np.arange(n), "to": to})), "merged")
-    return _rebuilt(vertices, remapped(mesh.faces, new))
+    with Scratch(mesh.vertices.sparkSession) as scratch:
+        quadrics = scratch.stored(vertex_quadrics(mesh), "quadrics")
+        edges = scratch.stored(edge_costs(mesh, quadrics).withColumn("cost", F.round("cost", 12)), "costs")
+        chosen = scratch.stored(cheapest(spanning_forest(edges, scratch), n - target, scratch), "merges")
+        parts = connected_components(chosen, store=scratch.stored)
+        new = mesh.vertices.select("vid").join(parts, F.col("vid") == F.col("id"), "left").select("vid", F.coalesce("component", "vid").alias("to"))
+        new = stored(new, "merged")
+        own = mesh.vertices.select("vid", *"xyz", "cr", "cg", "cb").join(quadrics, "vid").join(new, "vid")
+        merged = chosen.join(new.select(F.col("vid").alias("a"), "to"), "a")
+        points = stored(cluster_points(own, merged).withColumnRenamed("to", "vid"), "merged-points")
+    return _rebuilt(points.select("vid", *"xyz", "cr", "cg", "cb"), remapped(mesh.faces, new))
 
 
 def decimate(mesh: Mesh, ratio: float, method: str = "quadric") -> Mesh:

@@ -1,22 +1,37 @@
-"""DuckDB SQL of the registered queries, as common table expressions that build on one another."""
+"""DuckDB SQL of the registered queries, as common table expressions that build on one another.
 
-from __future__ import annotations
+Formulas and tables are written out here, in other forms than the operators use where there is one, so that a wrong
+formula shows as a difference.  Only parameters are shared."""
 
-from ..functions import gaussian as g
-from ..operators.surface import CORNERS, TETRAHEDRA, case_rows
-from ..sources.adapter import RAW, element_sql
+from __future__ import annotations
 
 SIGMA, THRESHOLD, Q = 3.0, 0.02, 0.01
 
-_raw = ", ".join(f"{sql} AS {name}" for sql, name in zip(element_sql("CAST(embedding[{}] AS DOUBLE)"), RAW, strict=True))
-_q = ", ".join(f"CASE WHEN n >= 0.00001 THEN rot_{k} / n ELSE {float(k == 0)} END AS q{k}" for k in range(4))
-_act = ", ".join(
-    [f"{g.activated_scale(f'scale_{k}')} AS s{k}" for k in range(3)]
-    + [f"{sql} AS r{i}" for i, sql in enumerate(g.rotation("q0", "q1", "q2", "q3"))]
-    + [f"{g.sigmoid('opacity')} AS opacity"]
-    + [f"{g.activated_color(f'f_dc_{k}', gray)} AS {c}" for k, (gray, c) in enumerate(zip(g.GRAY, ("cr", "cg", "cb"), strict=True))]
-)
-_h = [g.half_extent(a, SIGMA) for a in range(3)]
+
+def _e(k: int) -> str:
+    return f"CAST(embedding[{k}] AS DOUBLE)"
+
+
+_raw = f"""8 * {_e(1)} AS x, 8 * {_e(2)} AS y, 8 * {_e(3)} AS z, 10 * {_e(11)} + 2 AS opacity,
+  {_e(4)} - 1.2 AS scale_0, {_e(5)} - 1.2 AS scale_1, {_e(6)} - 1.2 AS scale_2, {_e(7)} AS rot_0, {_e(8)} AS rot_1, {_e(9)} AS rot_2, {_e(10)} AS rot_3,
+  5 * {_e(12)} AS f_dc_0, 5 * {_e(13)} AS f_dc_1, 5 * {_e(14)} AS f_dc_2"""
+#: Rotation as a sum and difference of squares, opacity as the plain logistic function.
+_act = """greatest(exp(scale_0), 0.00001::DOUBLE) AS s0, greatest(exp(scale_1), 0.00001::DOUBLE) AS s1, greatest(exp(scale_2), 0.00001::DOUBLE) AS s2,
+  w * w + a * a - b * b - c * c AS r0, 2 * a * b - 2 * w * c AS r1, 2 * a * c + 2 * w * b AS r2,
+  2 * a * b + 2 * w * c AS r3, w * w - a * a + b * b - c * c AS r4, 2 * b * c - 2 * w * a AS r5,
+  2 * a * c - 2 * w * b AS r6, 2 * b * c + 2 * w * a AS r7, w * w - a * a - b * b + c * c AS r8,
+  1 / (1 + exp(-opacity)) AS opacity,
+  CASE WHEN isfinite(f_dc_0) THEN least(1, greatest(0, f_dc_0 * 0.28209479177387814 + 0.5)) ELSE 0.55::DOUBLE END AS cr,
+  CASE WHEN isfinite(f_dc_1) THEN least(1, greatest(0, f_dc_1 * 0.28209479177387814 + 0.5)) ELSE 0.58::DOUBLE END AS cg,
+  CASE WHEN isfinite(f_dc_2) THEN least(1, greatest(0, f_dc_2 * 0.28209479177387814 + 0.5)) ELSE 0.62::DOUBLE END AS cb"""
+#: Half the sides of a support's box.
+H = ("3 * (s0 * abs(r0) + s1 * abs(r1) + s2 * abs(r2))", "3 * (s0 * abs(r3) + s1 * abs(r4) + s2 * abs(r5))", "3 * (s0 * abs(r6) + s1 * abs(r7) + s2 * abs(r8))")
+_h = H
+
+
+def d2(dx: str, dy: str, dz: str) -> str:
+    """Squared distance in scales, of an offset from the center: the offset along each of the Gaussian's own axes."""
+    return f"(pow((({dx}) * r0 + ({dy}) * r3 + ({dz}) * r6) / s0, 2) + pow((({dx}) * r1 + ({dy}) * r4 + ({dz}) * r7) / s1, 2) + pow((({dx}) * r2 + ({dy}) * r5 + ({dz}) * r8) / s2, 2))"
 
 
 def _rank(q: float) -> str:
@@ -26,7 +41,7 @@ def _rank(q: float) -> str:
 GAUSSIANS = f"""
 raw AS (SELECT vec_id AS gid, {_raw} FROM embeddings),
 turned AS (SELECT *, sqrt(rot_0 * rot_0 + rot_1 * rot_1 + rot_2 * rot_2 + rot_3 * rot_3) AS n FROM raw),
-unit AS (SELECT *, {_q} FROM turned),
+unit AS (SELECT *, CASE WHEN n < 0.00001 THEN 1 ELSE rot_0 / n END AS w, CASE WHEN n < 0.00001 THEN 0 ELSE rot_1 / n END AS a, CASE WHEN n < 0.00001 THEN 0 ELSE rot_2 / n END AS b, CASE WHEN n < 0.00001 THEN 0 ELSE rot_3 / n END AS c FROM turned),
 act AS (SELECT gid, x, y, z, {_act} FROM unit),
 ga AS MATERIALIZED (SELECT * FROM act WHERE opacity >= {THRESHOLD})"""
 
@@ -51,7 +66,7 @@ boxes AS (SELECT ga.*, lox, loy, loz, sp, nx, ny, nz,
 planes AS (SELECT *, unnest(range(pz, qz + 1)) AS k FROM boxes),
 lines AS (SELECT *, unnest(range(py, qy + 1)) AS j FROM planes),
 points AS (SELECT *, unnest(range(px, qx + 1)) AS i FROM lines),
-near AS (SELECT *, {g.distance2("(lox + i * sp)", "(loy + j * sp)", "(loz + k * sp)")} AS d2 FROM points),
+near AS (SELECT *, {d2("lox + i * sp - x", "loy + j * sp - y", "loz + k * sp - z")} AS d2 FROM points),
 vox AS MATERIALIZED (SELECT (k * ny + j) * nx + i AS vid, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, CAST(sum(opacity * exp(-0.5 * d2)) AS FLOAT) AS density
   FROM near WHERE d2 <= {SIGMA * SIGMA} GROUP BY 1, 2, 3, 4)"""
 
@@ -64,28 +79,30 @@ running AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto FROM histogram),
 chosen AS (SELECT min(bin) AS bin FROM running, stats WHERE upto >= greatest(1, ceil(non_zero * 0.55))),
 auto AS MATERIALIZED (SELECT CASE WHEN max_density <= 0 THEN 0 WHEN bin IS NULL THEN max_density * 0.2 ELSE min_density + greatest(0.000001, max_density - min_density) * ((bin + 0.5) / 32) END AS iso FROM stats, chosen)"""
 
-_corner_values = ", ".join(f"({n}, {x}, {y}, {z})" for n, (x, y, z) in enumerate(CORNERS))
-_case_values = ", ".join(str(r) for r in case_rows())
+# Corners of a cube (number, x, y, z), and its tetrahedra as corners.
+_corners = "(0, 0, 0, 0), (1, 1, 0, 0), (2, 1, 1, 0), (3, 0, 1, 0), (4, 0, 0, 1), (5, 1, 0, 1), (6, 1, 1, 1), (7, 0, 1, 1)"
+_tetrahedra = "(0, [0, 5, 1, 6]), (1, [0, 1, 2, 6]), (2, [0, 2, 3, 6]), (3, [0, 3, 7, 6]), (4, [0, 7, 4, 6]), (5, [0, 4, 5, 6])"
 
 
 def _absent(n: int) -> str:
-    dx, dy, dz = CORNERS[n]
+    dx, dy, dz = (int(n in inside) for inside in ((1, 2, 5, 6), (2, 3, 6, 7), (4, 5, 6, 7)))
     return f"CASE WHEN x + {dx} IN (0, nx - 1) OR y + {dy} IN (0, ny - 1) OR z + {dz} IN (0, nz - 1) THEN outside ELSE 0 END"
 
 
-def _code(t: int) -> str:
-    return " + ".join(f"CASE WHEN v{c} >= iso THEN {1 << b} ELSE 0 END" for b, c in enumerate(TETRAHEDRA[t]))
-
-
 SURFACE = f"""
 level AS (SELECT iso, iso - greatest(0.000001, abs(iso) * 0.000001) AS outside, grid.* FROM auto, grid),
-corner(n, dx, dy, dz) AS (VALUES {_corner_values}),
+corner(n, dx, dy, dz) AS (VALUES {_corners}),
 val AS (SELECT i, j, k, CASE WHEN i IN (0, nx - 1) OR j IN (0, ny - 1) OR k IN (0, nz - 1) THEN outside ELSE CAST(density AS DOUBLE) END AS v FROM vox, level),
 spread AS (SELECT i - dx AS x, j - dy AS y, k - dz AS z, n, v FROM val, corner, level WHERE i - dx BETWEEN 0 AND nx - 2 AND j - dy BETWEEN 0 AND ny - 2 AND k - dz BETWEEN 0 AND nz - 2),
 gathered AS (SELECT x, y, z, {", ".join(f"max(v) FILTER (n = {n}) AS w{n}" for n in range(8))} FROM spread GROUP BY 1, 2, 3),
 cubes AS (SELECT x, y, z, iso, lox, loy, loz, sp, nx, ny, nz, {", ".join(f"coalesce(w{n}, {_absent(n)}) AS v{n}" for n in range(8))} FROM gathered, level),
-tets AS ({" UNION ALL ".join(f"SELECT *, {t} AS t, {_code(t)} AS code FROM cubes WHERE greatest(v0, v1, v2, v3, v4, v5, v6, v7) >= iso" for t in range(6))}),
-cases(t, code, slot, ca, cb) AS (VALUES {_case_values}),
+tet(t, c) AS (VALUES {_tetrahedra}),
+tets AS (SELECT q.*, t, {" + ".join(f"{1 << b} * CAST([v0, v1, v2, v3, v4, v5, v6, v7][c[{b + 1}] + 1] >= iso AS INTEGER)" for b in range(4))} AS code
+  FROM (SELECT * FROM cubes WHERE greatest(v0, v1, v2, v3, v4, v5, v6, v7) >= iso) q CROSS JOIN tet),
+halves AS (SELECT t, code, [c[p] FOR p IN [1, 2, 3, 4] IF (code >> (p - 1)) % 2 = 1] AS own, [c[p] FOR p IN [1, 2, 3, 4] IF (code >> (p - 1)) % 2 = 0] AS other FROM tet, range(1, 15) r(code)),
+paths AS (SELECT t, code, CASE len(own) WHEN 1 THEN [[own[1], other[1]], [own[1], other[2]], [own[1], other[3]]] WHEN 3 THEN [[other[1], own[1]], [other[1], own[2]], [other[1], own[3]]]
+  ELSE [[own[1], other[1]], [own[1], other[2]], [own[2], other[2]], [own[2], other[1]]] END AS path FROM halves),
+cases AS (SELECT t, code, s - 1 AS slot, path[s][1] AS ca, path[s][2] AS cb FROM paths, range(1, 5) r(s) WHERE s <= len(path)),
 crossed AS MATERIALIZED (SELECT ((z * ny + y) * nx + x) * 8 + t AS tet_id, code, slot, iso, lox, loy, loz, sp, nx, ny, nz,
   ((z + a.dz) * ny + y + a.dy) * nx + x + a.dx AS ia, ((z + b.dz) * ny + y + b.dy) * nx + x + b.dx AS ib,
   [v0, v1, v2, v3, v4, v5, v6, v7][ca + 1] AS va, [v0, v1, v2, v3, v4, v5, v6, v7][cb + 1] AS vb

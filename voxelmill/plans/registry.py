@@ -87,7 +87,7 @@ def quat_matrix(spark, d):
     return rounded(scene(spark, d).every.select("gid", *[f"r{i}" for i in range(9)]))
 
 
-@query(o.sql(o.GAUSSIANS, select="SELECT gid, " + ", ".join(f"round({g.half_extent(a, SIGMA)}, 6) AS h{c}" for a, c in enumerate("xyz")) + " FROM ga"))
+@query(o.sql(o.GAUSSIANS, select="SELECT gid, " + ", ".join(f"round({h}, 6) AS h{c}" for h, c in zip(o.H, "xyz")) + " FROM ga"))
 def support_extent(spark, d):
     return rounded(scene(spark, d).gaussians.select("gid", *[F.expr(g.half_extent(a, SIGMA)).alias(f"h{c}") for a, c in enumerate("xyz")]))
 
@@ -148,7 +148,7 @@ def grid_dims(spark, d):
 
 
 def _tile(c: str, a: int, sign: str, up: str) -> str:
-    return f"CAST(greatest(0, least(ceil(n{c} / 8.0) - 1, floor((({c} {sign} ({g.half_extent(a, SIGMA)})) - lo{c}) / sp / 8 + {up}))) AS BIGINT)"
+    return f"CAST(greatest(0, least(ceil(n{c} / 8.0) - 1, floor((({c} {sign} ({o.H[a]})) - lo{c}) / sp / 8 + {up}))) AS BIGINT)"
 
 
 
@@ -218,7 +218,10 @@ _OCC = "occ AS (SELECT i, j, k FROM vox, auto WHERE CAST(density AS DOUBLE) >= i
 _AROUND = " UNION ALL ".join(f"SELECT i + {a} AS i, j + {b} AS j, k + {c} AS k FROM occ" for a, b, c in repair.STEPS)
 
 
-@query(o.sql(*_FINE, o.STATS, _OCC, f"around AS (SELECT i, j, k, count(*) AS near FROM ({_AROUND}) GROUP BY 1, 2, 3), both_ AS (SELECT coalesce(o.i, a.i) AS i, coalesce(o.j, a.j) AS j, coalesce(o.k, a.k) AS k, o.i IS NOT NULL AS own, coalesce(near, 0) AS near FROM occ o FULL JOIN around a ON o.i = a.i AND o.j = a.j AND o.k = a.k)",
+_DENOISED = f"around AS (SELECT i, j, k, count(*) AS near FROM ({_AROUND}) GROUP BY 1, 2, 3), both_ AS (SELECT coalesce(o.i, a.i) AS i, coalesce(o.j, a.j) AS j, coalesce(o.k, a.k) AS k, o.i IS NOT NULL AS own, coalesce(near, 0) AS near FROM occ o FULL JOIN around a ON o.i = a.i AND o.j = a.j AND o.k = a.k)"
+
+
+@query(o.sql(*_FINE, o.STATS, _OCC, _DENOISED,
              select="SELECT i, j, k FROM both_, grid WHERE CASE WHEN i BETWEEN 1 AND nx - 2 AND j BETWEEN 1 AND ny - 2 AND k BETWEEN 1 AND nz - 2 THEN CASE WHEN own THEN near > 1 ELSE near >= 5 END ELSE own END"))
 def denoise(spark, d):
     _, grid, voxels = field(spark, d, FINE)
@@ -290,7 +293,10 @@ def vertex_normals(spark, d):
     return rounded(surface_of(spark, d)[0].vertices.select("vid", "nx", "ny", "nz"), digits=3)
 
 
-@query(o.sql(*_COARSE, "w AS (SELECT v.vid, opacity * exp(-0.5 * " + g.distance2("v.x", "v.y", "v.z").replace(" - x)", " - ga.x)").replace(" - y)", " - ga.y)").replace(" - z)", " - ga.z)") + f") AS w, cr, cg, cb FROM verts v, ga WHERE {g.distance2('v.x', 'v.y', 'v.z').replace(' - x)', ' - ga.x)').replace(' - y)', ' - ga.y)').replace(' - z)', ' - ga.z)')} <= {SIGMA * SIGMA}), mean AS (SELECT vid, sum(w) AS s, sum(w * cr) / sum(w) AS cr, sum(w * cg) / sum(w) AS cg, sum(w * cb) / sum(w) AS cb FROM w GROUP BY 1)",
+_NEAR = o.d2("v.x - ga.x", "v.y - ga.y", "v.z - ga.z")
+
+
+@query(o.sql(*_COARSE, f"w AS (SELECT v.vid, opacity * exp(-0.5 * {_NEAR}) AS w, cr, cg, cb FROM verts v, ga WHERE {_NEAR} <= {SIGMA * SIGMA}), mean AS (SELECT vid, sum(w) AS s, sum(w * cr) / sum(w) AS cr, sum(w * cg) / sum(w) AS cg, sum(w * cb) / sum(w) AS cb FROM w GROUP BY 1)",
              select="SELECT verts.vid, round(CASE WHEN s > 0.000001 THEN cr ELSE 0.55 END, 4) AS cr, round(CASE WHEN s > 0.000001 THEN cg ELSE 0.58 END, 4) AS cg, round(CASE WHEN s > 0.000001 THEN cb ELSE 0.62 END, 4) AS cb FROM verts LEFT JOIN mean USING (vid)"))
 def vertex_colors(spark, d):
     return rounded(surface_of(spark, d, colored=True)[0].vertices.select("vid", "cr", "cg", "cb"), digits=4)
@@ -363,26 +369,53 @@ def _clustered(spark: SparkSession, d: str) -> tuple[surface.Mesh, DataFrame]:
 
 
 _NORMAL = "plane AS (SELECT a, b, c, fx / l AS p0, fy / l AS p1, fz / l AS p2, -(fx / l * px + fy / l * py + fz / l * pz) AS p3 FROM (SELECT *, sqrt(fx * fx + fy * fy + fz * fz) AS l FROM shaped) WHERE l > 0 UNION ALL SELECT a, b, c, 0, 0, 1, -pz FROM shaped WHERE fx = 0 AND fy = 0 AND fz = 0), corners3 AS (SELECT a AS vid, p0, p1, p2, p3 FROM plane UNION ALL SELECT b, p0, p1, p2, p3 FROM plane UNION ALL SELECT c, p0, p1, p2, p3 FROM plane)"
+# Sums of a plane's products, in the order of a symmetric matrix's upper rows.
+_PLANES = ("sum(p0 * p0)", "sum(p0 * p1)", "sum(p0 * p2)", "sum(p0 * p3)", "sum(p1 * p1)", "sum(p1 * p2)", "sum(p1 * p3)", "sum(p2 * p2)", "sum(p2 * p3)", "sum(p3 * p3)")
 
 
-@query(o.sql(*_COARSE, _NORMAL, select="SELECT vid, " + ", ".join(f"round(sum(p{i} * p{j}), 3) AS q{k}" for k, (i, j) in enumerate(decimate.ENTRIES)) + " FROM corners3 GROUP BY vid"))
+@query(o.sql(*_COARSE, _NORMAL, select="SELECT vid, " + ", ".join(f"round({q}, 3) AS q{k}" for k, q in enumerate(_PLANES)) + " FROM corners3 GROUP BY vid"))
 def vertex_quadrics(spark, d):
     return rounded(decimate.vertex_quadrics(surface_of(spark, d)[0]), digits=3)
 
 
-_STEPS, _COST = decimate._cost_sql()
-_SUMS = "quads AS MATERIALIZED (SELECT vid, " + ", ".join(f"sum(p{i} * p{j}) AS q{k}" for k, (i, j) in enumerate(decimate.ENTRIES)) + " FROM corners3 GROUP BY vid), pairs AS (SELECT lo AS a, hi AS b, " + ", ".join(f"p.q{k} + r.q{k} AS q{k}" for k in range(10)) + ", " + ", ".join(f"(v.{c} + w.{c}) / 2 AS m{c}" for c in "xyz") + " FROM links JOIN quads p ON p.vid = lo JOIN quads r ON r.vid = hi JOIN vertices v ON v.vid = lo JOIN vertices w ON w.vid = hi), solved AS (SELECT *, " + f"{_STEPS[0][1]} AS det FROM pairs), best AS (SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in _STEPS[1:]) + " FROM solved)"
+#: The point of least error through the inverse of the upper 3 x 3 block: its cofactors, determinant, and point.
+_SOLVE = """*, q4 * q7 - q5 * q5 AS c00, q2 * q5 - q1 * q7 AS c01, q1 * q5 - q2 * q4 AS c02, q0 * q7 - q2 * q2 AS c11, q1 * q2 - q0 * q5 AS c12, q0 * q4 - q1 * q1 AS c22,
+  q0 * (q4 * q7 - q5 * q5) - q1 * (q1 * q7 - q2 * q5) + q2 * (q1 * q5 - q2 * q4) AS det"""
+_POINT = """*, CASE WHEN abs(det) >= 1e-12 THEN -(c00 * q3 + c01 * q6 + c02 * q8) / det ELSE mx END AS px,
+  CASE WHEN abs(det) >= 1e-12 THEN -(c01 * q3 + c11 * q6 + c12 * q8) / det ELSE my END AS py, CASE WHEN abs(det) >= 1e-12 THEN -(c02 * q3 + c12 * q6 + c22 * q8) / det ELSE mz END AS pz"""
+_ERROR = "px * (q0 * px + q1 * py + q2 * pz + q3) + py * (q1 * px + q4 * py + q5 * pz + q6) + pz * (q2 * px + q5 * py + q7 * pz + q8) + q3 * px + q6 * py + q8 * pz + q9"
+_SUMS = "quads AS MATERIALIZED (SELECT vid, " + ", ".join(f"{q} AS q{k}" for k, q in enumerate(_PLANES)) + " FROM corners3 GROUP BY vid), pairs AS (SELECT lo AS a, hi AS b, " + ", ".join(f"p.q{k} + r.q{k} AS q{k}" for k in range(10)) + ", " + ", ".join(f"(v.{c} + w.{c}) / 2 AS m{c}" for c in "xyz") + f" FROM links JOIN quads p ON p.vid = lo JOIN quads r ON r.vid = hi JOIN vertices v ON v.vid = lo JOIN vertices w ON w.vid = hi), best AS MATERIALIZED (SELECT {_POINT} FROM (SELECT {_SOLVE} FROM pairs))"
 
 
-@query(o.sql(*_COARSE, _NORMAL, _SUMS, select=f"SELECT a, b, round({_COST}, 5) AS cost FROM best"))
+@query(o.sql(*_COARSE, _NORMAL, _SUMS, select=f"SELECT a, b, round({_ERROR}, 5) AS cost FROM best"))
 def quadric_edge_costs(spark, d):
     """Every edge and its cost, in the order of merges."""
     m = surface_of(spark, d)[0]
     return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b"), digits=5)
 
 
-@query()
+#: One edge after another: ``labels`` has each vertex's cluster, ``left_`` the merges that remain.
+_MERGE = f" total AS (SELECT count(*) AS n, count(*) - greatest(4, CAST(floor(count(*) * 0.5) AS BIGINT)) AS merges FROM vertices), listed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY round({_ERROR}, 12), a, b) AS i, a + 1 AS a, b + 1 AS b FROM best), run(i, labels, left_) AS (SELECT 0::BIGINT, range(n), merges FROM total UNION ALL SELECT p.i, CASE WHEN labels[p.a] = labels[p.b] THEN labels ELSE [CASE WHEN l = greatest(labels[p.a], labels[p.b]) THEN least(labels[p.a], labels[p.b]) ELSE l END FOR l IN labels] END, left_ - CAST(labels[p.a] <> labels[p.b] AS BIGINT) FROM run JOIN listed p ON p.i = run.i + 1 WHERE left_ > 0), last_ AS MATERIALIZED (SELECT labels FROM run ORDER BY i DESC LIMIT 1), moved AS MATERIALIZED (SELECT v AS vid, labels[v + 1] AS to_ FROM last_, range((SELECT n FROM total)) r(v)), mapped AS MATERIALIZED (SELECT fid, p.to_ AS a, q.to_ AS b, r.to_ AS c FROM faces JOIN moved p ON p.vid = a JOIN moved q ON q.vid = b JOIN moved r ON r.vid = c), single AS MATERIALIZED (SELECT * FROM mapped WHERE len(list_distinct([a, b, c])) = 3 QUALIFY row_number() OVER (PARTITION BY list_sort([a, b, c]) ORDER BY fid) = 1), used AS (SELECT a AS vid FROM single UNION SELECT b FROM single UNION SELECT c FROM single), ids AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM used)"
+_MERGED = ", whole AS (SELECT to_, count(*) AS n, " + ", ".join(f"sum(q{k}) AS q{k}" for k in range(10)) + f", avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM moved JOIN quads USING (vid) JOIN vertices USING (vid) GROUP BY to_), placed_ AS (SELECT {_POINT} FROM (SELECT {_SOLVE} FROM whole))"
+
+
+@query(o.sql(*_COARSE, _NORMAL, _SUMS, recursive=_MERGE + _MERGED, select="SELECT new AS vid, " + ", ".join(f"round(CASE WHEN n = 1 THEN m{c} WHEN n = 2 OR abs(det) > 1e-9 THEN p{c} END, 3) AS {c}" for c in "xyz") + " FROM ids JOIN placed_ ON to_ = vid"))
 def quadric_decimated(spark, d):
+    """Vertices of the decimated surface; no position where the order of merges within a cluster would decide (SQL can't
+    replay it, the tests do)."""
+    m = surface_of(spark, d)[0]
+    out = decimate.quadric_decimate(m, 0.5)
+    return rounded(out.vertices.select("vid", "x", "y", "z"), digits=3)
+
+
+@query(o.sql(*_COARSE, _NORMAL, _SUMS, recursive=_MERGE, select="SELECT row_number() OVER (ORDER BY fid) - 1 AS fid, p.new AS a, q.new AS b, r.new AS c FROM single JOIN ids p ON p.vid = a JOIN ids q ON q.vid = b JOIN ids r ON r.vid = c"))
+def quadric_faces(spark, d):
+    return decimate.quadric_decimate(surface_of(spark, d)[0], 0.5).faces
+
+
+@query()
+def quadric_topology(spark, d):
+    """Decimation at a preset's resolution: topology and counts."""
     m = decimate.quadric_decimate(surface_of(spark, d, PRESET)[0], 0.5)
     return mesh.topology(m).crossJoin(m.faces.agg(F.count("*").alias("faces"))).crossJoin(m.vertices.agg(F.count("*").alias("vertices")))
 
@@ -430,11 +463,11 @@ def topology(spark, d):
     return mesh.topology(surface_of(spark, d)[0])
 
 
-@query(o.sql(*_COARSE, "rated AS (SELECT greatest(s0, s1, s2) / least(s0, s1, s2) AS v FROM ga), l AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM rated)",
-             select=f"SELECT 'all' AS mode, (SELECT count(*) FROM act) AS source, n AS opacity_retained, n AS case_retained, round(l[{o._rank(0.95)}], 6) AS ratio_p95, round(l[{o._rank(0.99)}], 6) AS ratio_p99, round(l[n], 6) AS ratio_max, CAST({COARSE} AS INTEGER) AS resolution, CAST(nx AS INTEGER) AS nx, CAST(ny AS INTEGER) AS ny, CAST(nz AS INTEGER) AS nz, nx * ny * nz AS voxels, round(max_density, 5) AS density_max, non_zero AS density_non_zero, round(iso, 5) AS iso, (SELECT count(*) FROM faces) AS raw_triangles FROM l, grid, stats, auto"))
+@query(o.sql(*_COARSE, "rated AS (SELECT greatest(s0, s1, s2) / least(s0, s1, s2) AS v FROM ga), l AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM rated)", recursive=_BY_VERTEX + ", sizes AS (SELECT component, count(*) AS n, min(fid) AS first_face FROM faces JOIN comp ON comp.vid = a GROUP BY 1 ORDER BY n DESC, first_face LIMIT 1), main AS (SELECT faces.* FROM faces JOIN comp ON comp.vid = a SEMI JOIN (SELECT component FROM sizes WHERE n >= 16) USING (component))",
+             select=f"SELECT 'all' AS mode, (SELECT count(*) FROM act) AS source, n AS opacity_retained, n AS case_retained, round(l[{o._rank(0.95)}], 6) AS ratio_p95, round(l[{o._rank(0.99)}], 6) AS ratio_p99, round(l[n], 6) AS ratio_max, CAST({COARSE} AS INTEGER) AS resolution, CAST(nx AS INTEGER) AS nx, CAST(ny AS INTEGER) AS ny, CAST(nz AS INTEGER) AS nz, nx * ny * nz AS voxels, round(max_density, 5) AS density_max, non_zero AS density_non_zero, round(iso, 5) AS iso, (SELECT count(*) FROM faces) AS raw_triangles, (SELECT count(DISTINCT v) FROM (SELECT unnest([a, b, c]) AS v FROM main)) AS vertices, (SELECT count(*) FROM main) AS triangles FROM l, grid, stats, auto"))
 def inspection(spark, d):
     out = diagnostics.inspection(scene(spark, d).every, resolution=COARSE)
-    return out.select(*out.columns[:4], *[F.round(c, 6).alias(c) for c in ("ratio_p95", "ratio_p99", "ratio_max")], *out.columns[7:12], F.round("density_max", 5).alias("density_max"), "density_non_zero", F.round("iso", 5).alias("iso"), "raw_triangles")
+    return out.select(*out.columns[:4], *[F.round(c, 6).alias(c) for c in ("ratio_p95", "ratio_p99", "ratio_max")], *out.columns[7:12], F.round("density_max", 5).alias("density_max"), "density_non_zero", F.round("iso", 5).alias("iso"), "raw_triangles", "vertices", "triangles")
 
 
 @query()

@@ -25,7 +25,9 @@ def file_system(path: str):
     """The path's file system and its name there."""
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
         return fs.LocalFileSystem(), path
     return fs.FileSystem.from_uri(path)
 

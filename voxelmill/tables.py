@@ -78,6 +78,11 @@ class Scratch:
         out = self.stored(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name)
         return out, seen.get
 
+    def renamed(self, table: DataFrame, view: DataFrame) -> DataFrame:
+        """``view``, a selection of the columns of ``table``, in its place."""
+        self.paths[id(view)] = (view, self.paths.pop(id(table))[1])
+        return view
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if id(t) in self.paths:
