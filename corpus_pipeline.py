@@ -5,7 +5,7 @@ as the next one's ``docs``.  All but the last return the columns of ``docs``.
 
 Defined results: rows with a null id pass every stage that decides by id; null texts pass as they are.
 Rows that repeat an id with different texts are judged each by its own text in the near-duplicate stage;
-of rows that repeat both, that with the least other columns stays.  In the mix, rows that repeat id and
+of rows that repeat both, one stays, by a hash of its other columns.  In the mix, rows that repeat id and
 text have the same figures, those of the row that is taken most.  Extra columns stay, but for those that
 the last stage adds, which replace columns of the same name.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm import decontamination, mixing, neardup, pii, toxicity
-from voxelmill.llm.shared import Scratch, crc_mod, stored, table_dir
+from voxelmill.llm.shared import Scratch, crc_mod, owned_by, stored, table_dir
 
 
 def row_key() -> Column:
@@ -24,6 +24,13 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, longer where a column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose ``key`` is not among ``ids``; these are a table, so Spark knows their size and sends them to
     all tasks only if they are few."""
@@ -39,10 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         found = neardup.near_duplicates(docs, shingle=5, percent=80)
         return without_ids(docs, found.where(~F.col("kept")).select("doc_id")).select(*docs.columns)
-    known = docs.where("doc_id IS NOT NULL").withColumn("_key", row_key())
-    found = neardup.near_duplicates(known, id_col="_key", shingle=5, percent=80)
-    left = without_ids(known, found.where(~F.col("kept")).select("_key"), "_key")
-    one = left.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    key = unused(docs.columns, "_key")
+    known = docs.where("doc_id IS NOT NULL").withColumn(key, row_key())
+    found = neardup.near_duplicates(known, id_col=key, shingle=5, percent=80)
+    left = without_ids(known, found.where(~F.col("kept")).select(key), key)
+    row = F.struct(*docs.columns)
+    one = left.groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -62,9 +71,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(docs.select(row_key().alias("_key"), "text", "source"), id_col="_key").where("taken > 0")
     mixed = mixed.withColumn("copies", (F.col("taken") / F.col("size")).cast("bigint"))
     mixed = mixed.groupBy("_key").agg(F.max(F.struct("taken", "size", "source_size", "target", "copies")).alias("m"))
-    mixed = stored(mixed.select(F.col("_key.i").alias("_i"), F.col("_key.t").alias("_t"), *[f"m.{c}" for c in new]), "mixed")
-    old = docs.select(*[c for c in docs.columns if c not in new], F.xxhash64("text").alias("_h"))
-    return old.join(mixed, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t"))).drop("_i", "_t", "_h")
+    i, t, h = (unused(docs.columns, name) for name in ("_i", "_t", "_h"))
+    mixed = stored(mixed.select(F.col("_key.i").alias(i), F.col("_key.t").alias(t), *[f"m.{c}" for c in new]), "mixed")
+    old = docs.select(*[c for c in docs.columns if c not in new], F.xxhash64("text").alias(h))
+    return old.join(mixed, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(t))).drop(i, t, h)
 
 
 STAGES = [
@@ -82,7 +92,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; a stage's table goes as soon as the next one is stored."""
     docs, scratch = spark.read.parquet(table_dir(sf_dir, "documents")), Scratch(spark)
-    for name, stage in STAGES[:-1]:
-        before, docs = docs, scratch.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, stage in STAGES:
+        with Scratch(spark) as inner:
+            with owned_by(inner):
+                out = stage(spark, docs, sf_dir)
+            before, docs = docs, scratch.stored(out, f"stage-{name}")
         scratch.drop(before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs

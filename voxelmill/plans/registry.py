@@ -12,7 +12,7 @@ from ..functions import gaussian as g
 from ..operators import activate, bounds, decimate, density, diagnostics, holes, mesh, repair, stats, surface
 from ..operators.bounds import Grid
 from ..sources.adapter import raw_from_embeddings
-from ..tables import stored
+from ..tables import scoped, stored
 from . import oracle as o
 
 SIGMA, THRESHOLD, Q = o.SIGMA, o.THRESHOLD, o.Q
@@ -67,9 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, order: tuple[str, ...] = ()):
     def add(f):
-        QUERIES[f.__name__] = f
+        f = QUERIES[f.__name__] = scoped(f, order)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -387,11 +387,11 @@ _ERROR = "px * (q0 * px + q1 * py + q2 * pz + q3) + py * (q1 * px + q4 * py + q5
 _SUMS = "quads AS MATERIALIZED (SELECT vid, " + ", ".join(f"{q} AS q{k}" for k, q in enumerate(_PLANES)) + " FROM corners3 GROUP BY vid), pairs AS (SELECT lo AS a, hi AS b, " + ", ".join(f"p.q{k} + r.q{k} AS q{k}" for k in range(10)) + ", " + ", ".join(f"(v.{c} + w.{c}) / 2 AS m{c}" for c in "xyz") + f" FROM links JOIN quads p ON p.vid = lo JOIN quads r ON r.vid = hi JOIN vertices v ON v.vid = lo JOIN vertices w ON w.vid = hi), best AS MATERIALIZED (SELECT {_POINT} FROM (SELECT {_SOLVE} FROM pairs))"
 
 
-@query(o.sql(*_COARSE, _NORMAL, _SUMS, select=f"SELECT a, b, round({_ERROR}, 5) AS cost FROM best"))
+@query(o.sql(*_COARSE, _NORMAL, _SUMS, select=f"SELECT a, b, round({_ERROR}, 5) AS cost FROM best"), order=("cost", "a", "b"))
 def quadric_edge_costs(spark, d):
     """Every edge and its cost, in the order of merges."""
     m = surface_of(spark, d)[0]
-    return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")).orderBy("cost", "a", "b"), digits=5)
+    return rounded(decimate.edge_costs(m, stored(decimate.vertex_quadrics(m), "quadrics")), digits=5)
 
 
 #: One edge after another: ``labels`` has each vertex's cluster, ``left_`` the merges that remain.
@@ -477,10 +477,15 @@ def conversion(spark, d):
     from ..session import SplatSession
 
     s = SplatSession(spark)
-    s.load_raw(raw_from_embeddings(spark, f"{d}/embeddings.parquet"), "parquet")
-    out = s.start(Params(resolution=PRESET, min_component_faces=8, denoise=1, fill_voids=True, max_hole_edges=8, decimation_ratio=0.6))
-    return spark.createDataFrame([(out.iso, out.mesh.vertices.count(), out.mesh.faces.count(), *out.quality.first())], "iso double, vertices bigint, faces bigint, boundary_edges bigint, non_manifold_edges bigint, degenerate_faces bigint, components bigint")
+    try:
+        s.load_raw(raw_from_embeddings(spark, f"{d}/embeddings.parquet"), "parquet")
+        out = s.start(Params(resolution=PRESET, min_component_faces=8, denoise=1, fill_voids=True, max_hole_edges=8, decimation_ratio=0.6))
+        row = (out.iso, out.mesh.vertices.count(), out.mesh.faces.count(), *out.quality.first())
+    finally:
+        s.dispose()
+    return spark.createDataFrame([row], "iso double, vertices bigint, faces bigint, boundary_edges bigint, non_manifold_edges bigint, degenerate_faces bigint, components bigint")
 
 
+@scoped
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(field(spark, sf_dir, 24)[2])

@@ -16,7 +16,7 @@ from .operators import activate, bounds, decimate, density, holes, mesh, repair,
 from .params import Params
 from .sources import read_splats
 from .streaming import slabs
-from .tables import Scratch
+from .tables import Scratch, owned_by
 
 # The stages of a conversion, in order.
 STAGES = ("parsing", "activating", "indexing", "voxelizing", "extracting", "cleaning", "ready")
@@ -110,7 +110,8 @@ class SplatSession:
         if self.progress:
             self._watcher.start()
         try:
-            yield
+            with owned_by(self.scratch):  # the operators' tables go with the session
+                yield
         except Exception as error:
             cause = cause_of(error, self._cancelled)
             if cause is error:

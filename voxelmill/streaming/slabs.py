@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density, surface
 from ..operators.bounds import Grid
-from ..tables import new_path, without_leftovers
+from ..tables import adopted, new_path, without_leftovers
 
 
 def slab_ranges(grid: Grid, depth: int) -> list[tuple[int, int]]:
@@ -28,7 +28,7 @@ def density_by_slabs(gaussians: DataFrame, grid: Grid, sigma: float, depth: int)
             own = density.density_fanout(gaussians, grid, sigma, layers=(a, b - 1))
             schema = own.schema
             own.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return adopted(spark.read.schema(schema).parquet(path), path)
 
 
 def slab_crossings(voxels: DataFrame, grid: Grid, iso: float, depth: int) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -46,8 +48,12 @@ def write(df: DataFrame, path: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: the plan ends there, and the files
-    outlive any executor."""
-    return write(df, new_path(df.sparkSession, name))
+    outlive any executor.  Within ``owned_by`` the table belongs to that scope, else to the caller."""
+    scope, path = _scope.get(), new_path(df.sparkSession, name)
+    out = write(df, path)
+    if scope:
+        scope.adopt(out, path)
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -66,11 +72,14 @@ class Scratch:
         self.spark = spark
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
+    def adopt(self, table: DataFrame, path: str) -> DataFrame:
+        """``table`` at ``path`` goes with this scope."""
+        self.paths[id(table)] = (table, path)
+        return table
+
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
-        out = write(df, path)
-        self.paths[id(out)] = (out, path)
-        return out
+        return self.adopt(write(df, path), path)
 
     def counted(self, df: DataFrame, name: str, **figures) -> tuple[DataFrame, dict]:
         """The table, and aggregates of its rows that the same pass has taken."""
@@ -93,3 +102,40 @@ class Scratch:
 
     def __exit__(self, *exc) -> None:
         self.drop(*[t for t, _ in self.paths.values()])
+
+
+_scope: ContextVar[Scratch | None] = ContextVar("voxelmill-scope", default=None)
+
+
+@contextmanager
+def owned_by(scratch: Scratch) -> Iterator[None]:
+    """Within, what ``stored`` writes belongs to ``scratch``."""
+    token = _scope.set(scratch)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def adopted(table: DataFrame, path: str) -> DataFrame:
+    """A table that was written by other means: it belongs to the scope, if there is one."""
+    scope = _scope.get()
+    return scope.adopt(table, path) if scope else table
+
+
+def scoped(query: Callable[..., DataFrame], order: tuple[str, ...] = ()) -> Callable[..., DataFrame]:
+    """``query`` (its first argument is the session) that leaves its result's table only, and not even that where the
+    result reads none of its own tables.  ``order``: columns that sort the result."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        with Scratch(spark) as scratch:
+            with owned_by(scratch):
+                out = query(spark, *args)
+            if id(out) in scratch.paths:
+                scratch.paths.pop(id(out))
+            elif scratch.paths:
+                out = write(out, new_path(spark, "result"))
+            return out.orderBy(*order) if order else out
+
+    return run
