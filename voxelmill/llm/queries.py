@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, audit, bpe, decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity, warc
-from .shared import crc_mod, new_path, stored, table_dir
+from .shared import adopted, crc_mod, new_path, scoped, stored, table_dir
 
 
 #: The rank file of op13.
@@ -71,6 +71,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = new_path(spark, "archives")
+    adopted(pages, path)
     warc.write_warc(pages, path)
     return warc.page_digests(warc.read_warc(spark, path), dict(pages.dtypes)["page_id"])
 
@@ -118,7 +119,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.source_targets(sized).select("source", "source_size", F.round("target", 3).alias("target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_language": op3_language,
@@ -137,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mix_targets": mix_targets,
 }
 
+#: Each leaves the table of its result only.
+QUERIES = {name: scoped(f) for name, f in _QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_near_duplicates": neardup.oracle_sql(),

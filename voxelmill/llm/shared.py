@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import Scratch, new_path, shared_dir, stored
+from ..tables import Scratch, adopted, new_path, owned_by, scoped, shared_dir, stored
 
 #: ASCII white space that separates words, and what is not.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -48,4 +48,4 @@ def table_dir(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 
 
-__all__ = ["ARROW_BYTES", "ARROW_ROWS", "SPACE", "WORD", "Scratch", "crc_mod", "lowest_per_group", "new_path", "shared_dir", "small_batches", "stored", "table_dir", "texts"]
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "SPACE", "WORD", "Scratch", "adopted", "crc_mod", "lowest_per_group", "new_path", "owned_by", "scoped", "shared_dir", "small_batches", "stored", "table_dir", "texts"]
