@@ -102,16 +102,18 @@ def _fit_matrix(sets: list[np.ndarray], langs: list[str], landmarks: int, ridge:
     return LanguageModel(names, vocab, np.packbits(marks.astype(np.uint8), axis=1), norms[chosen], coef.astype(np.float32))
 
 
-def fit_language_model(docs: DataFrame, trainable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250, max_languages: int = 512, landmarks: int = 120, ridge: float = 0.05) -> LanguageModel | None:
-    """Fit on at most ``per_language`` whole texts of each language (the bound), those with the least hash
-    of their id; only rows with ``trainable`` and a non-null language count."""
+def fit_language_model(docs: DataFrame, trainable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250, max_texts: int = 128_000, landmarks: int = 120, ridge: float = 0.05) -> LanguageModel | None:
+    """Fit on at most ``per_language`` whole texts of each language, and fewer of each where so many languages would make
+    more than ``max_texts`` (the bounds; every language has one at least): those with the least hash of their id, texts
+    that repeat an id and language once.  Only rows with ``trainable`` and a non-null language count."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    ids = lowest_per_group(ids, "lang", ["h", "id"], per_language).select("id", "h").distinct().orderBy("h", "id").limit(per_language * max_languages).select("id")
-    # the ids are at most per_language for each language: a proven bound for the broadcast
-    picked = own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id", "left_semi")
+    own = own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("t"))
+    per = max(1, min(per_language, max_texts // max(1, own.select("lang").distinct().count())))
+    ids = lowest_per_group(own.select("id", "lang", "t", F.xxhash64("id").alias("h")), "lang", ["h", "id", "t"], per).select("id", "lang", "t").distinct()
+    # at most per_language rows for each language, and max_texts or one of each language: a proven bound for the broadcast
+    picked = own.join(F.broadcast(ids), ["id", "lang", "t"], "left_semi").dropDuplicates(["id", "lang", "t"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
