@@ -163,11 +163,13 @@ def cover(cells: list[Cell], n_bins: list[int], *, max_rules: int, max_condition
 def learn_rules(statistics: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 8000, bins: int = 24, max_rules: int = 10, max_conditions: int = 4, precision: float = 0.9, least: int = 2) -> list[Rule]:
     """Learn which statistics mark label 0 from at most ``max_rows`` labelled rows (the bound), those with the
     least hash of their id; rows that fail the base rule need no further rule and are left out."""
-    ids = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropDuplicates(["_id"])
+    ids = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).groupBy("_id").agg(F.min("_y").alias("_y"))
     ids = ids.withColumn("_o", F.xxhash64("_id")).orderBy("_o", "_id").limit(max_rows)
     own = statistics.where(~base_failed()).select(F.col(id_col).alias("_id"), *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
-    rows = own.join(F.broadcast(ids), "_id").dropDuplicates(["_id"])  # at most max_rows ids
     names = list(FEATURES)
+    rows = own.join(F.broadcast(ids), "_id")  # at most max_rows ids
+    # of rows that share an id the least
+    rows = rows.groupBy("_id", "_y", "_o").agg(F.min(F.struct(*names)).alias("_m")).select("_id", "_y", "_o", "_m.*")
     # cuts lie between neighbours among the quantiles of both classes, so that the tail of a small class has its own
     shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     cuts = rows.groupBy("_y").agg(*[F.percentile(F.col(n), shares).alias(n) for n in names]).collect()
