@@ -23,22 +23,27 @@ class Repaired:
     filled: int
 
 
-def occupied_points(voxels: DataFrame, grid: Grid, iso: float) -> DataFrame:
-    """i, j, k of the points at or above iso."""
+def occupied_points(voxels: DataFrame, grid: Grid, iso: float, layers: tuple[int, int] | None = None) -> DataFrame:
+    """i, j, k of the points at or above iso; ``layers``: those that ``voxels`` has, if not all."""
     if iso <= 0:
-        voxels = dense_field(voxels, grid)
+        voxels = dense_field(voxels, grid, layers)
     return voxels.where(F.col("density").cast("double") >= iso).select("i", "j", "k")
 
 
-def denoise(occupied: DataFrame, grid: Grid) -> tuple[DataFrame, int]:
+def denoised(occupied: DataFrame, grid: Grid) -> DataFrame:
     """One synchronous round: within the grid's outer layer an occupied point stays if more than one of its six
-    neighbours is occupied, an empty one fills if at least five are.  Also the number of changes."""
+    neighbours is occupied, an empty one fills if at least five are.  i, j, k, own (0 or 1) and after (boolean)."""
     nx, ny, nz = grid.dims
     inner = f"i BETWEEN 1 AND {nx - 2} AND j BETWEEN 1 AND {ny - 2} AND k BETWEEN 1 AND {nz - 2}"
     around = F.array(*[F.struct(*[(F.col(p) + s).alias(p) for p, s in zip("ijk", step, strict=True)], F.lit(0).alias("own")) for step in STEPS], F.struct("i", "j", "k", F.lit(1).alias("own")))
     counts = occupied.select(F.explode(around).alias("n")).select("n.*").groupBy("i", "j", "k").agg(F.sum("own").alias("own"), F.sum(1 - F.col("own")).alias("near"))
     after = F.expr(f"CASE WHEN NOT ({inner}) THEN own = 1 WHEN own = 1 THEN near > 1 ELSE near >= 5 END")
-    counts = stored(counts.where(f"own = 1 OR ({inner})").select("i", "j", "k", "own", after.alias("after")), "denoised")
+    return counts.where(f"own = 1 OR ({inner})").select("i", "j", "k", "own", after.alias("after"))
+
+
+def denoise(occupied: DataFrame, grid: Grid) -> tuple[DataFrame, int]:
+    """The points after a round, and the number of changes."""
+    counts = stored(denoised(occupied, grid), "denoised")
     return counts.where("after").select("i", "j", "k"), counts.where("(own = 1) != after").count()
 
 
@@ -47,26 +52,40 @@ def enclosed_points(occupied: DataFrame, grid: Grid) -> DataFrame:
 
     Nodes are runs of empty points along x; runs of neighbouring rows that overlap are linked.  Components of runs, not
     of points, are sought, and those that touch the border are left out."""
+    runs = stored(empty_runs(occupied, grid), "runs")
+    # components with a run at the border are open; no node stands for the border, as all its runs would meet there
+    parts = connected_components(run_links(runs, runs))
+    rows = runs.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    inside = rows.join(rows.where(at_border(grid)).select("part").distinct(), "part", "left_anti")
+    return inside.select(F.explode(F.sequence("a", "b")).alias("i"), "j", "k")
+
+
+def at_border(grid: Grid) -> str:
     nx, ny, nz = grid.dims
+    return f"a = 0 OR b = {nx - 1} OR j = 0 OR j = {ny - 1} OR k = 0 OR k = {nz - 1}"
+
+
+def empty_runs(occupied: DataFrame, grid: Grid, layers: tuple[int, int] | None = None) -> DataFrame:
+    """Runs of empty points along x, in all layers or those from the first of ``layers`` to before the second: j, k, ends a
+    and b, and id."""
+    nx, ny, nz = grid.dims
+    lo, hi = layers or (0, nz)
     spark = occupied.sparkSession
     own = Window.partitionBy("j", "k").orderBy("i")
     gaps = occupied.select("i", "j", "k", F.lead("i", 1, nx).over(own).alias("next"), F.lag("i").over(own).alias("before"))
     runs = gaps.select("j", "k", (F.col("i") + 1).alias("a"), (F.col("next") - 1).alias("b"))
     runs = runs.unionByName(gaps.where("before IS NULL").select("j", "k", F.lit(0).alias("a"), (F.col("i") - 1).alias("b"))).where("a <= b")
-    rows = spark.range(ny * nz).select(F.expr(f"CAST(id % {ny} AS INT)").alias("j"), F.expr(f"CAST(id DIV {ny} AS INT)").alias("k"))
+    rows = spark.range(lo * ny, hi * ny).select(F.expr(f"CAST(id % {ny} AS INT)").alias("j"), F.expr(f"CAST(id DIV {ny} AS INT)").alias("k"))
     free = rows.join(occupied.select("j", "k").distinct(), ["j", "k"], "left_anti").select("j", "k", F.lit(0).alias("a"), F.lit(nx - 1).alias("b"))
     runs = runs.unionByName(free).select("j", "k", F.col("a").cast("int"), F.col("b").cast("int"))
-    runs = stored(runs.withColumn("id", F.expr(f"(CAST(k AS BIGINT) * {ny} + j) * {nx} + a")), "runs")
-    # a row is compared with the next row in y and in z only
+    return runs.withColumn("id", F.expr(f"(CAST(k AS BIGINT) * {ny} + j) * {nx} + a"))
+
+
+def run_links(runs: DataFrame, others: DataFrame) -> DataFrame:
+    """a and b, the ids of runs and of others that overlap in the next row in y or in z."""
     step = F.array(F.struct((F.col("j") + 1).alias("j"), F.col("k").alias("k")), F.struct(F.col("j").alias("j"), (F.col("k") + 1).alias("k")))
     ahead = runs.select(F.col("id").alias("u"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.explode(step).alias("s")).select("u", "ua", "ub", "s.j", "s.k")
-    links = ahead.join(runs, ["j", "k"]).where("ua <= b AND a <= ub").select(F.col("u").alias("a"), F.col("id").alias("b"))
-    # components with a run at the border are open; no node stands for the border, as all its runs would meet there
-    parts = connected_components(links)
-    rows = runs.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    border = rows.where(f"a = 0 OR b = {nx - 1} OR j = 0 OR j = {ny - 1} OR k = 0 OR k = {nz - 1}").select("part").distinct()
-    inside = rows.join(border, "part", "left_anti")
-    return inside.select(F.explode(F.sequence("a", "b")).alias("i"), "j", "k")
+    return ahead.join(others, ["j", "k"]).where("ua <= b AND a <= ub").select(F.col("u").alias("a"), F.col("id").alias("b"))
 
 
 def l1_distance(points: DataFrame, grid: Grid) -> DataFrame:
@@ -84,12 +103,17 @@ def l1_distance(points: DataFrame, grid: Grid) -> DataFrame:
     return out.withColumn("dist", F.when(F.col("dist") < far, F.col("dist")))
 
 
-def signed_distance(occupied: DataFrame, grid: Grid, band: float) -> DataFrame:
+def whole_band(band: float) -> int:
+    return int(max(2, min(32, int(band + 0.5))))
+
+
+def signed_distance(occupied: DataFrame, grid: Grid, band: float, layers: tuple[int, int] | None = None) -> DataFrame:
     """The field of distances to the border of the occupied points, cut at ``band`` and positive inside; the grid's outer
-    layer is empty.  A tiny jitter by point keeps ties apart."""
-    band = int(max(2, min(32, int(band + 0.5))))
+    layer is empty.  A tiny jitter by point keeps ties apart.  With ``layers`` only these are looked at, and right are
+    those that are band + 1 layers from their ends, or at the grid's."""
+    band = whole_band(band)
     nx, ny, nz = grid.dims
-    every = dense_field(occupied.select(F.expr(grid.vid()).alias("vid"), F.lit(1.0).cast("float").alias("density")), grid)
+    every = dense_field(occupied.select(F.expr(grid.vid()).alias("vid"), F.lit(1.0).cast("float").alias("density")), grid, layers)
     inner = f"i BETWEEN 1 AND {nx - 2} AND j BETWEEN 1 AND {ny - 2} AND k BETWEEN 1 AND {nz - 2}"
     every = every.select("vid", "i", "j", "k", F.expr(f"CASE WHEN {inner} AND density > 0 THEN 1 ELSE 0 END").alias("occ"))
     for axis in "ijk":
@@ -121,11 +145,15 @@ def process_field(voxels: DataFrame, grid: Grid, iso: float, *, denoise_iteratio
         occupied = stored(occupied.select("i", "j", "k").unionByName(voids.select("i", "j", "k")), "filled")
     if band > 0:
         return Repaired(stored(signed_distance(occupied, grid, band), "distance"), 0.0, changes, filled)
+    return Repaired(stored(reclassified(voxels, occupied, grid, iso), "repaired"), iso, changes, filled)
+
+
+def reclassified(voxels: DataFrame, occupied: DataFrame, grid: Grid, iso: float, layers: tuple[int, int] | None = None) -> DataFrame:
+    """The field with points that changed sides just beyond the threshold."""
     epsilon = max(1e-6, abs(iso) * 1e-4)
-    own = dense_field(voxels, grid) if iso <= 0 else voxels
-    both = own.select("i", "j", "k", "density").join(occupied.withColumn("on", F.lit(True)), ["i", "j", "k"], "full")
+    own = dense_field(voxels, grid, layers) if iso <= 0 else voxels
+    both = own.select("i", "j", "k", "density").join(occupied.select("i", "j", "k").withColumn("on", F.lit(True)), ["i", "j", "k"], "full")
     d = F.coalesce(F.col("density").cast("double"), F.lit(0.0))
     on = F.col("on").isNotNull()
     value = F.when(on & (d < iso), iso + epsilon).when(~on & (d >= iso), max(0.0, iso - epsilon)).otherwise(d)
-    out = both.select(F.expr(grid.vid()).alias("vid"), "i", "j", "k", value.cast("float").alias("density"))
-    return Repaired(stored(out, "repaired"), iso, changes, filled)
+    return both.select(F.expr(grid.vid()).alias("vid"), "i", "j", "k", value.cast("float").alias("density"))

@@ -51,20 +51,22 @@ class Mesh:
     faces: DataFrame
 
 
-def dense_field(voxels: DataFrame, grid: Grid) -> DataFrame:
-    """The field with a row for every point of the grid."""
-    every = voxels.sparkSession.range(grid.voxels).withColumnRenamed("id", "vid")
+def dense_field(voxels: DataFrame, grid: Grid, layers: tuple[int, int] | None = None) -> DataFrame:
+    """The field with a row for every point of the grid, or of its layers from the first of ``layers`` to before the
+    second."""
     nx, ny = grid.dims[0], grid.dims[1]
+    lo, hi = layers or (0, grid.dims[2])
+    every = voxels.sparkSession.range(lo * nx * ny, hi * nx * ny).withColumnRenamed("id", "vid")
     every = every.select("vid", F.expr(f"CAST(vid % {nx} AS INT)").alias("i"), F.expr(f"CAST((vid DIV {nx}) % {ny} AS INT)").alias("j"), F.expr(f"CAST(vid DIV {nx * ny} AS INT)").alias("k"))
     return every.join(voxels.select("vid", "density"), "vid", "left").select("vid", "i", "j", "k", F.coalesce("density", F.lit(0.0).cast("float")).alias("density"))
 
 
-def cube_values(voxels: DataFrame, grid: Grid, iso: float) -> DataFrame:
+def cube_values(voxels: DataFrame, grid: Grid, iso: float, layers: tuple[int, int] | None = None) -> DataFrame:
     """Cubes with an occupied corner: x, y, z and the corners' values v0 to v7; the grid's outer layer reads as just
     outside, absent points as 0."""
     outside = iso - max(EPSILON, abs(iso) * 1e-6)
     if not iso > 0:
-        voxels = dense_field(voxels, grid)  # absent points are occupied too
+        voxels = dense_field(voxels, grid, layers)  # absent points are occupied too
     nx, ny, nz = grid.dims
     border = f"(i = 0 OR j = 0 OR k = 0 OR i = {nx - 1} OR j = {ny - 1} OR k = {nz - 1})"
     value = voxels.select("i", "j", "k", F.expr(f"CASE WHEN {border} THEN {outside!r}D ELSE CAST(density AS DOUBLE) END").alias("v"))

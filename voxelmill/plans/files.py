@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.gaussian import ACTIVATED
-from ..operators import repair
+from ..operators import repair, surface
 from ..params import Params
 from ..session import SplatSession
 from ..sources import packed, ply, sinks
 from ..sources.adapter import RAW, raw_from_embeddings
 from ..sources.files import open_file
+from ..streaming import slabs
 from ..tables import new_path, remove, stored
 from . import oracle as o
 from . import registry as r
@@ -135,3 +136,37 @@ def session_conversion(spark, d):
     return spark.createDataFrame([row], "iso double, vertices bigint, faces bigint, boundary_edges bigint, non_manifold_edges bigint, degenerate_faces bigint, components bigint")
 
 
+def _slabs(spark: SparkSession, d: str, resolution: int) -> tuple[slabs.Slabs, float]:
+    """The field by slabs of eight layers, and its threshold."""
+    s = r.scene(spark, d)
+    field = slabs.density_by_slabs(s.gaussians, r.grid_of(s, resolution), r.SIGMA, 8)
+    return field, r.iso_of(field.whole(), field.grid)
+
+
+@query(r.ORACLE_SQL["reclassified"])
+def slab_reclassified(spark, d):
+    """The denoised field, slab by slab."""
+    field, iso = _slabs(spark, d, r.FINE)
+    return rounded(slabs.repair_by_slabs(field, iso, 8, denoise_iterations=1)[0].whole().select("vid", "density"), digits=5)
+
+
+@query(r.ORACLE_SQL["enclosed_voids"])
+def slab_voids(spark, d):
+    """Voids of the shell, whose parts in slabs are merged over the faces between them."""
+    field, iso = _slabs(spark, d, r.FINE)
+    shell = slabs.Slabs(spark, field.grid, 8, slabs.POINTS).fill(lambda a, b: field.layers(a, b).where(F.col("density").cast("double").between(iso, iso * 4)))
+    return slabs.voids_by_slabs(shell, 8).select(*[F.col(c).cast("int") for c in "ijk"])
+
+
+@query(r.ORACLE_SQL["signed_distance"])
+def slab_distance(spark, d):
+    """Signed distances, each slab with the layers around it that the band reaches."""
+    field, iso = _slabs(spark, d, r.COARSE)
+    return rounded(slabs.repair_by_slabs(field, iso, 8, band=4)[0].whole(), digits=4)
+
+
+@query(r.ORACLE_SQL["mesh_faces"])
+def slab_faces(spark, d):
+    """The surface from crossings that were found slab by slab."""
+    field, iso = _slabs(spark, d, r.COARSE)
+    return surface.extract_mesh(field.whole(), None, field.grid, iso, r.SIGMA, rows=slabs.slab_crossings(field, iso)).faces

@@ -190,13 +190,15 @@ class SplatSession:
             raise EmptyScene("no Gaussians remain after opacity filtering and cropping")
         grid = bounds.make_grid(*bounds.robust_bounds(gaussians, params.sigma_radius, params.bounds_quantile), params.resolution, check=not params.slab_mode)
         self._tell("voxelizing")
+        parted = None
         if params.slab_mode:
-            voxels = slabs.density_by_slabs(gaussians, grid, params.sigma_radius, params.slab_depth)
+            parted = slabs.density_by_slabs(gaussians, grid, params.sigma_radius, params.slab_depth)
+            voxels = parted.whole()
         else:
             voxels = self.scratch.stored(density.density_fanout(gaussians, grid, params.sigma_radius), "voxels")
         found = self.scratch.stored(stats.density_stats(voxels, grid), "stats")
         auto = float(stats.automatic_iso(found, stats.density_histogram(voxels, found)).first()[0])
-        self._field = (gaussians, grid, voxels, found, auto, params.sigma_radius, report, activate.warnings(report, gaussians, self.kind))
+        self._field = (gaussians, grid, voxels, found, auto, params.sigma_radius, report, activate.warnings(report, gaussians, self.kind), parted)
         return self.extract(params)
 
     def extract(self, params: Params, iso: float | None = None) -> Result:
@@ -207,12 +209,15 @@ class SplatSession:
     def _extracted(self, params: Params, iso: float | None) -> Result:
         if self._field is None:
             raise NotReady("start a conversion before extracting again")
-        gaussians, grid, voxels, found, auto, sigma, report, notes = self._field
+        gaussians, grid, voxels, found, auto, sigma, report, notes, parted = self._field
         level = iso if iso is not None else params.iso if params.iso is not None else auto
         band = params.distance_band if params.surface_field == "distance" else 0
         self._tell("extracting")
-        field = repair.process_field(voxels, grid, level, denoise_iterations=params.denoise, fill_voids=params.fill_voids, band=band)
-        rows = slabs.slab_crossings(field.voxels, grid, field.iso, params.slab_depth) if params.slab_mode else None
+        if parted:
+            own, iso_, denoised, filled_points = slabs.repair_by_slabs(parted, level, params.slab_depth, denoise_iterations=params.denoise, fill_voids=params.fill_voids, band=band)
+            field, rows = repair.Repaired(own.whole(), iso_, denoised, filled_points), slabs.slab_crossings(own, iso_)
+        else:
+            field, rows = repair.process_field(voxels, grid, level, denoise_iterations=params.denoise, fill_voids=params.fill_voids, band=band), None
         raw = out = surface.extract_mesh(field.voxels, gaussians, grid, field.iso, sigma, rows=rows)
         self._tell("cleaning")
         out = mesh.cleanup(out, keep_largest=params.keep_largest, min_faces=params.min_component_faces, smoothing=params.smoothing, classic=params.taubin_classic)
