@@ -1,5 +1,7 @@
 """Large groups, very long texts and runs, recall, and what the methods themselves do."""
 
+import os
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -269,3 +271,41 @@ def test_a_run_leaves_little_behind(spark, sf_dir):
     left = names() - before
     assert not [n for n in left if n.startswith(("voxelmill-stage-toxicity", "voxelmill-stage-near", "voxelmill-stage-decon"))]
     assert [n for n in left if n.startswith("voxelmill-dedup-")] == [n for n in left if n.startswith("voxelmill-dedup-result")]
+
+
+def test_contamination_does_not_depend_on_the_tasks(spark):
+    """The same documents in one, four and nine partitions: the same pairs with the same cosines."""
+    big = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text").where("doc_id < 500")
+    benchmark = spark.read.parquet(f"{big}/benchmark.parquet")
+    found = [sorted(map(tuple, decontamination.find_contamination(docs.repartition(n), benchmark).collect())) for n in (1, 4, 9)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 3
+
+
+def test_repeated_ids_do_not_decide_by_chance(spark):
+    """Rows that repeat an id with other texts or labels: the same models however the rows are split."""
+    big = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{big}/documents.parquet").select((F.col("doc_id") % 150).alias("doc_id"), "text", "lang")
+    labels = spark.read.parquet(f"{big}/labels.parquet").select((F.col("doc_id") % 150).alias("doc_id"), "quality", "toxic")
+    one, many = docs.coalesce(1), docs.repartition(7)
+    languages = [language.fit_language_model(d, F.lit(True), per_language=20) for d in (one, many)]
+    assert languages[0].languages == languages[1].languages and np.array_equal(languages[0].coef, languages[1].coef)
+    toxic = [toxicity.fit_toxicity(d, labels) for d in (one, many)]
+    assert toxic[0] == toxic[1]
+    rules = [quality.learn_rules(quality.text_statistics(d.select("doc_id", "text")), labels.repartition(n)) for d, n in ((one, 1), (many, 5))]
+    assert rules[0] == rules[1]
+
+
+def test_many_languages_share_the_bound(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('sprache ', id % 600, ' wort ', id) AS text", "concat('l', id % 600) AS lang")
+    few = language.fit_language_model(docs.where("doc_id % 600 < 40"), F.lit(True), max_texts=20)
+    assert len(few.languages) == 40
+
+
+def test_text_queries_leave_their_result_only(spark, sf_dir):
+    shared = shared_dir(spark).removeprefix("file://")
+    for name in ("op1_license_scan", "op2_token_counts", "op5_mixing", "op6_quality", "op9_warc", "op10_decontamination", "op11_tokenizer_alignment", "op12_filter_audit"):
+        before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+        out = q.QUERIES[name](spark, sf_dir)
+        left = {x for x in set(os.listdir(shared)) - before if not x.startswith(".")}
+        assert len(left) <= 1 and (not left or out.inputFiles()[0].split("/")[-2] in left), (name, left)
