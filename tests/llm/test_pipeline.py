@@ -50,3 +50,12 @@ def test_edges(spark, sf_dir):
     none = docs.where("false")
     for _, stage in cp.STAGES[1:]:
         assert stage(spark, none, sf_dir).isEmpty()
+
+
+def test_columns_that_clash_or_have_no_order(spark, sf_dir):
+    rows = [(1, "a b c d e f g", {"k": 1}, 1, 2, 3), (1, "a b c d e f g", {"k": 2}, 4, 5, 6), (2, "h i j k l m n", None, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>, _key int, _i int, _h int").selectExpr("*", "'s' AS source")
+    out = stored(cp.drop_near_duplicates(spark, docs, sf_dir), "clash")
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+    mixed = {r["doc_id"]: r for r in cp.mix(spark, out, sf_dir).collect()}
+    assert mixed[2]["_i"] == 8 and mixed[2]["_h"] == 9 and mixed[2]["taken"] >= 0 and mixed[1]["extra"] in ({"k": 1}, {"k": 2})
