@@ -53,8 +53,8 @@ def test_density_by_tiles_and_brute_force(spark, sphere):
 def test_slabs_give_the_whole_surface(sphere):
     _, grid, voxels, _ = sphere
     whole = surface.crossings(surface.cube_values(voxels, grid, 0.2), grid, 0.2)
-    field = slabs.Slabs(spark, grid, 8, slabs.VOXELS).fill(lambda a, b: voxels.where(F.col("k").between(a, b - 1)))
-    parts = slabs.slab_crossings(field, 0.2)
+    own = slabs.Slabs(voxels.sparkSession, grid, 8, slabs.VOXELS).fill(lambda a, b: voxels.where(F.col("k").between(a, b - 1)))
+    parts = slabs.slab_crossings(own, 0.2)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
