@@ -1,15 +1,14 @@
 """License scans: MinHash bands over windows retrieve templates, containment verifies; DataFrame only.
 
-Texts are lower-cased runs of letters and digits; a shingle is three of them.  Overlapping windows of
-text (WINDOW words, every STRIDE words) and of the templates (every word) get MinHash signatures of BANDS bands of
+Texts are lower-cased runs of letters and digits; a shingle is three of them.  All overlapping windows of
+texts (WINDOW words, every STRIDE words) and of the templates (every word) get MinHash signatures of BANDS bands of
 one row, so a window pair of similarity s meets with probability 1 - (1 - s)^BANDS; at s = 0.4 that
-is over 0.99999.  Windows that hold no template shingle have no value in common with a template
-and are never built: this is exact, as equal minima are a shared shingle.  A document that
-meets a template keeps it if at least ``containment`` of the template's shingles occur in the
-document.
+is over 0.99999.  The bands alone give the candidates, pairs of a document and a template.  Candidates' texts are
+read again, and a document keeps a template if at least ``containment`` of the template's shingles occur in it.
+Template bands and shingles are small tables that Spark sends to all tasks; nothing of them is in the plan.
 
-Defined results: null, empty and short texts match nothing; documents with several licenses give a row
-for each; repeated ids count as one document; extra columns are ignored.
+Defined results: null, empty and short texts match nothing, as do rows without an id; documents with several licenses
+give a row for each; repeated ids count as one document; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,10 +71,9 @@ def shingles_of(words: str) -> F.Column:
     return F.when(n > 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands(shingles: str) -> F.Column:
-    """Minima of BANDS hashes over an array of shingles: band number and value."""
-    salted = lambda b: lambda x: F.xxhash64(x, F.lit(b))
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(shingles, salted(b))).alias("low")) for b in range(BANDS)])
+def _low(shingles: list[F.Column], band: F.Column) -> F.Column:
+    """The least hash of the shingles that are there, for one band."""
+    return F.least(*[F.when(x.isNotNull(), F.xxhash64(x, band)) for x in shingles])
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = 0.8) -> DataFrame:
@@ -84,35 +82,33 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     known = template_frame(spark, templates)
     parts = known.select("template", "license", F.posexplode(shingles_of("words")).alias("pos", "shingle"))
-    vocabulary = [r[0] for r in parts.select("shingle").distinct().collect()]  # as many as the templates have words
+    own = WINDOW - SHINGLE + 1
+    every_band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
 
     # windows of templates: every word starts one, so a text window inside a copied template equals one of them
-    spread = parts.select("template", "shingle", F.explode(F.sequence(F.greatest(F.col("pos") - (WINDOW - SHINGLE), F.lit(0)), F.col("pos"))).alias("start"))
-    template_bands = spread.groupBy("template", "start").agg(F.sort_array(F.collect_set("shingle")).alias("s"))
-    template_bands = template_bands.select("template", F.explode(bands("s")).alias("b")).select("template", "b.band", "b.low").distinct()
-
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), 0)
-    # an array of one, exploded: filters and projections above aren't moved below it, so each step runs once per text
-    once = lambda c: F.explode(F.array(c))
-    cut = docs.select(F.col(id_col).alias("id"), once(words).alias("words"))
-    # places of template shingles; each lies in the windows that start at multiples of STRIDE up to WINDOW - SHINGLE before
-    cut = cut.select("id", once(shingles_of("words")).alias("shingles"))
-    hits = F.filter(F.transform("shingles", lambda x, i: F.when(x.isin(vocabulary), i)), lambda i: i.isNotNull())
-    cut = cut.select("id", "shingles", once(hits).alias("hits")).where(F.size("hits") > 0)
-    first = lambda i: F.ceil(F.greatest(i - (WINDOW - SHINGLE), F.lit(0)) / STRIDE).cast("int")
-    last = lambda i: F.floor(i / STRIDE).cast("int")
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(first(i), F.greatest(first(i), last(i))))))
-    # a window takes its own shingles along, not the text
-    windows = cut.select("id", F.explode(F.transform(starts, lambda k: F.struct((k * STRIDE).alias("start"), F.array_distinct(F.slice("shingles", k * STRIDE + 1, WINDOW - SHINGLE + 1)).alias("own")))).alias("w"))
-    windows = windows.select("id", "w.start", "w.own", F.filter("w.own", lambda x: x.isin(vocabulary)).alias("found"))
-    windows = stored(windows, "license-windows")  # few: the texts are read once
-    met = windows.select("id", "start", F.explode(bands("own")).alias("b")).select("id", "start", "b.band", "b.low")
+    spread = parts.select("template", "shingle", F.explode(F.sequence(F.greatest(F.col("pos") - (own - 1), F.lit(0)), F.col("pos"))).alias("start"))
+    template_bands = spread.select("template", "start", "shingle", every_band).groupBy("template", "start", "band").agg(F.min(F.xxhash64("shingle", "band")).alias("low"))
+    template_bands = template_bands.select("template", "band", "low").distinct()
+
+    def cut(rows: DataFrame) -> DataFrame:
+        # an array of one, exploded: filters and projections above aren't moved below it, so each step runs once per text
+        once = lambda c: F.explode(F.array(c))
+        words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), 0)
+        return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), once(words).alias("words")).select("id", once(shingles_of("words")).alias("shingles"))
+
+    # a window is a row of its shingles, so that hashes are generated code; a row per band then meets the templates' bands
+    starts = cut(docs).where(F.size("shingles") > 0).select("id", "shingles", F.explode(F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(STRIDE))).alias("start"))
+    windows = starts.select("id", "start", *[F.get("shingles", F.col("start") + i).alias(f"s{i}") for i in range(own)])
+    met = windows.select("*", every_band).select("id", "start", "band", _low([F.col(f"s{i}") for i in range(own)], F.col("band")).alias("low"))
     met = met.join(F.broadcast(template_bands), ["band", "low"]).groupBy("id", "template").agg(F.count_distinct("start").alias("n_windows"))
-
-    # exact containment: the document's template shingles against the whole template's
-    held = windows.select("id", F.explode("found").alias("shingle")).distinct()
-    sizes = parts.groupBy("template", "license").agg(F.count_distinct("shingle").alias("n_shingles"))
-    matched = held.join(F.broadcast(parts.select("template", "shingle").distinct()), "shingle").groupBy("id", "template").agg(F.count("*").alias("n_matched"))
+    met = stored(met, "license-candidates")
+
+    # exact containment: the candidates' shingles against the whole template's
+    again = docs.select(F.col(id_col), F.col(text_col)).join(met.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    shingles = parts.select("template", "shingle").distinct()
+    held = cut(again).select("id", F.explode("shingles").alias("shingle")).join(F.broadcast(shingles), "shingle")
+    sizes = shingles.groupBy("template").agg(F.count("*").alias("n_shingles")).join(known.select("template", "license"), "template")
+    matched = held.groupBy("id", "template").agg(F.count_distinct("shingle").alias("n_matched"))
     out = matched.join(met, ["id", "template"]).join(F.broadcast(sizes), "template").where(F.col("n_matched") >= containment * F.col("n_shingles"))
     return out.select(F.col("id").alias(id_col), "template", "license", "n_matched", "n_shingles", "n_windows")
 
