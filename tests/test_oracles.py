@@ -7,7 +7,7 @@ import pytest
 
 from voxelmill.plans import files, registry  # noqa: F401  files adds its queries
 
-FAST = ["activated", "filter_report", "preview_sample", "scale_ratio_quantiles", "tile_candidates", "density_tilejoin", "auto_iso", "denoise", "enclosed_voids", "signed_distance", "mesh_faces", "vertex_colors", "components_by_edge", "compact_ids", "smoothed", "cluster_decimated", "face_dedup", "vertex_quadrics", "quadric_edge_costs", "hole_loops", "holes_filled", "welded", "finite_report", "robust_bounds", "diagnostic_anisotropic", "diagnostic_crop", "inspection", "topology", "quadric_decimated", "ply_source", "ply_ascii_source", "splat_source", "obj_sink", "reclassified", "session_conversion", "slab_voids", "slab_distance"]
+FAST = ["activated", "filter_report", "preview_sample", "scale_ratio_quantiles", "tile_candidates", "density_tilejoin", "auto_iso", "denoise", "enclosed_voids", "signed_distance", "mesh_faces", "vertex_colors", "components_by_edge", "compact_ids", "smoothed", "cluster_decimated", "face_dedup", "vertex_quadrics", "quadric_edge_costs", "hole_loops", "holes_filled", "welded", "finite_report", "robust_bounds", "diagnostic_anisotropic", "diagnostic_crop", "inspection", "topology", "quadric_decimated", "ply_source", "ply_ascii_source", "splat_source", "obj_sink", "reclassified", "session_conversion", "slab_voids", "slab_distance", "stream_histogram"]
 
 
 @pytest.fixture(scope="module")

@@ -16,8 +16,8 @@ from ..session import SplatSession
 from ..sources import packed, ply, sinks
 from ..sources.adapter import RAW, raw_from_embeddings
 from ..sources.files import open_file
-from ..streaming import slabs
-from ..tables import new_path, remove, stored
+from ..streaming import growing, slabs
+from ..tables import adopted, new_path, remove, stored, write
 from . import oracle as o
 from . import registry as r
 from .registry import query, rounded
@@ -170,3 +170,20 @@ def slab_faces(spark, d):
     """The surface from crossings that were found slab by slab."""
     field, iso = _slabs(spark, d, r.COARSE)
     return surface.extract_mesh(field.whole(), None, field.grid, iso, r.SIGMA, rows=slabs.slab_crossings(field, iso)).faces
+
+
+_GROWN = """peak AS (SELECT CAST(floor(log2(max(CAST(density AS DOUBLE)) / 64)) + 1 AS INTEGER) AS exponent FROM vox),
+grown AS (SELECT CAST(floor(CAST(density AS DOUBLE) / pow(2, exponent)) AS INTEGER) AS bin, exponent, count(*) AS n FROM vox, peak WHERE density > 0 GROUP BY 1, 2),
+summed AS (SELECT *, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM grown)"""
+
+
+@query(o.sql(o.GAUSSIANS, o.BOUNDS, o.grid(r.FIELD), o.VOXELS, _GROWN, select="SELECT bin, exponent, n, (SELECT min(bin) + 0.5 FROM summed WHERE upto >= greatest(1, ceil(total * 0.55))) * pow(2, exponent) AS iso FROM grown"))
+def stream_histogram(spark, d):
+    """Embeddings as a stream of Gaussians in several triggers: the histogram and the threshold that follow it."""
+    s = r.scene(spark, d)
+    grid = r.grid_of(s, r.FIELD)
+    source, path = new_path(spark, "stream-source"), new_path(spark, "stream-histograms")
+    parts = adopted(write(s.gaussians.repartition(4, "gid"), source), source)
+    with_history = growing.run_files(spark, source, parts.schema, grid, r.SIGMA, path, new_path(spark, "stream-state"))
+    adopted(with_history, path)
+    return with_history.select("*")
