@@ -108,6 +108,39 @@ def test_licenses_in_very_long_texts(spark):
     assert [(r["doc_id"], r["license"], r["n_matched"] == r["n_shingles"]) for r in rows] == [(1, "MIT", True)]
 
 
+def brute_licenses(docs, templates, containment=0.8):
+    """(id, template, n_matched, n_shingles) from sets of shingles."""
+    cut = lambda text: {tuple(w[i : i + 3]) for w in [licenses.template_words(text)] for i in range(len(w) - 2)}
+    known = [cut(t) for _, t in templates]
+    own = {}
+    for i, text in docs:
+        own[i] = own.get(i, set()) | cut(text or "")
+    return sorted((i, t, len(k & s), len(k)) for i, s in own.items() for t, k in enumerate(known) if len(k & s) >= containment * len(k))
+
+
+def test_license_bands_find_what_brute_force_finds(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    templates = tuple((f"L{i}", word(int(rng.integers(5, 400)))) for i in range(300))  # as many words as whole licenses have
+    docs = [(0, None), (1, ""), (2, "w1 w2"), (3, word(3000))]
+    for i in range(250):
+        text = templates[int(rng.integers(0, 300))][1].split()
+        for p in rng.integers(0, len(text), int(rng.integers(0, 1 + len(text) // 12))):  # about the bound: some keep 80 %, some don't
+            text[p] = "edited"
+        docs.append((10 + i, word(int(rng.integers(0, 60))) + " " + " ".join(text) + " " + word(int(rng.integers(0, 60)))))
+    docs += docs[10:20]  # repeated ids
+    got = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), templates=templates)
+    want = brute_licenses(docs, templates)
+    assert sorted((r["doc_id"], r["template"], r["n_matched"], r["n_shingles"]) for r in got.collect()) == want and 100 < len(want) < 255
+
+
+def test_license_candidates_come_from_the_bands_alone(spark, monkeypatch):
+    d = spark.createDataFrame([(1, licenses.TEMPLATES[0][1]), (2, "x " * 9 + licenses.TEMPLATES[3][1])], "doc_id int, text string")
+    assert licenses.scan_licenses(d).count() == 2
+    monkeypatch.setattr(licenses, "_low", lambda shingles, band: F.lit(0).cast("bigint"))
+    assert licenses.scan_licenses(d).isEmpty()  # no band meets, so nothing is found
+
+
 def test_tokens_of_very_long_runs(spark, monkeypatch):
     d = spark.createDataFrame([(1, " " * 2_000_000), (2, "a" * 300_000), (3, "\n \n" * 300_000 + "x")], "doc_id int, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_lengths(d).collect()}
