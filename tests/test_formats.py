@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from voxelmill.operators.activate import activate, finite_rows
+from voxelmill.operators.activate import activate, finite_rows, warnings
 from voxelmill.sources import packed, ply, read_splats, samples, sinks, splat_format
 from voxelmill.sources.adapter import RAW
 
@@ -149,3 +149,32 @@ def test_ascii_in_chunks_and_the_vertex_limit(spark, tmp_path, monkeypatch):
         ply.parse_header(text.encode(), 100)
     spark.dataSource.register(ply.PlySource)
     assert spark.read.format("ply").option("maxVertices", 128).load(str(tmp_path / "s.ply")).count() == 128
+
+
+def scaled(spark, *groups):
+    """Rows of scales: (how many, s0, s1, s2)."""
+    return spark.createDataFrame([(a, b, c) for n, a, b, c in groups for _ in range(n)], "s0 double, s1 double, s2 double")
+
+
+@pytest.mark.parametrize(
+    ("groups", "kind", "report", "words"),
+    [
+        (((100, 1.0, 1.0, 1.0),), "ply", {}, []),
+        (((100, 1.0, 1.0, 1.0), (5, 101.0, 1.0, 1.0)), "ply", {}, ["median"]),  # five rows: more than four
+        (((100, 1.0, 1.0, 1.0), (4, 101.0, 1.0, 1.0)), "ply", {}, []),
+        (((495, 1.0, 1.0, 1.0), (5, 100.0, 1.0, 1.0)), "ply", {}, []),  # 100 times is no more than 100 times
+        (((995, 1.0, 1.0, 1.0), (5, 101.0, 1.0, 1.0)), "ply", {}, []),  # half a percent
+        (((100, 1.0, 1.0, 1.0),), "splat", {}, ["SPLAT"]),
+        (((100, 1.0, 1.0, 1.0), (5, 1.0, 1.0, 0.009)), "spz", {}, ["SPZ", "thick"]),
+        (((100, 1.0, 1.0, 1.0), (4, 1.0, 1.0, 0.009)), "spz", {}, ["SPZ"]),
+        (((100, 1.0, 1.0, 1.0),), "ply", {"rejected_opacity": 101}, ["opacity"]),
+        (((100, 1.0, 1.0, 1.0),), "ply", {"rejected_opacity": 50, "rejected_crop": 50}, []),
+        (((10, 1.0, 1.0, 1.0),), "ply", {"rejected_crop": 190}, ["crop"]),
+        ((), "ply", {"rejected_opacity": 200}, ["opacity"]),
+    ],
+)
+def test_warnings(spark, groups, kind, report, words):
+    kept = sum(g[0] for g in groups)
+    counts = {"input_count": max(200, kept), "retained_count": kept, "rejected_opacity": 0, "rejected_crop": 0} | report
+    told = warnings(counts, scaled(spark, *groups), kind)
+    assert len(told) == len(words) and all(w in t for w, t in zip(words, told, strict=True))

@@ -1,5 +1,6 @@
 """Errors by their causes, cancelling from another thread, progress within stages."""
 
+import json
 import threading
 import time
 
@@ -10,7 +11,7 @@ from voxelmill import errors
 from voxelmill.operators import bounds
 from voxelmill.params import Params
 from voxelmill.session import SplatSession
-from voxelmill.sources import read_splats
+from voxelmill.sources import read_splats, sinks
 from voxelmill.sources.adapter import raw_from_embeddings
 
 
@@ -67,3 +68,21 @@ def test_progress_follows_the_tasks(spark, raw):
     within = [share for stage, share, _ in told if stage == "parsing"]
     assert len(within) > 2 and within == sorted(within) and within[0] == 0 and within[-1] < 1
     assert [w for *_, w in told] == sorted(w for *_, w in told)
+
+
+def test_report_of_a_conversion(spark, raw, tmp_path):
+    session = SplatSession(spark)
+    session.load_raw(raw)
+    params = Params(resolution=12)
+    result = session.start(params)
+    text = sinks.benchmark_report(result, "scene.ply", 1234, {"total": 5.0}, {"resolution": 12})
+    told = json.loads(text)
+    assert told["source"] == {"name": "scene.ply", "bytes": 1234, "format": result.report["source_format"], "inputGaussians": raw.count(), "retainedGaussians": result.report["retained_count"]}
+    assert told["result"]["dims"] == list(result.grid.dims) and told["result"]["voxelCount"] == result.grid.voxels
+    assert told["result"]["triangles"] == result.mesh.faces.count() and told["result"]["topology"] == result.quality.first().asDict()
+    low, high = told["result"]["densityRange"]
+    assert low == 0 < high and told["params"] == {"resolution": 12} and told["gpu"] is None
+    (tmp_path / "scene.json").write_text(text)
+    row = sinks.summarize_reports(spark, str(tmp_path)).first()
+    assert (row["vendor"], row["backend"], row["grid"], row["max_abs_error"]) == ("Unknown", "spark", "×".join(map(str, result.grid.dims)), 0.0)
+    session.dispose()
