@@ -108,6 +108,23 @@ def test_licenses_in_very_long_texts(spark):
     assert [(r["doc_id"], r["license"], r["n_matched"] == r["n_shingles"]) for r in rows] == [(1, "MIT", True)]
 
 
+def test_every_pair_of_a_node_is_confirmed_on_demand(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+    texts = [(i, " ".join(base[:57] + [f"own{i}"] * 3)) for i in range(12)] + [(100 + i, " ".join(base[i : i + 55])) for i in range(6)] + [(200, "alone " * 9)]
+    cut = {i: {tuple(w[k : k + 4]) for w in [t.split()] for k in range(len(w) - 3)} for i, t in texts}
+    low = {i: i for i in cut}
+    for _ in cut:  # components by brute force
+        for a in cut:
+            for b in cut:
+                if 100 * len(cut[a] & cut[b]) >= 80 * len(cut[a] | cut[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    monkeypatch.setattr(neardup, "least_agreement", lambda percent: neardup.POSITIONS)  # a bound that loses links
+    found = lambda **k: {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d, shingle=4, **k).collect()}
+    assert found() != low and found(agreement=1) == low and len(set(low.values())) < 8
+
+
 def brute_licenses(docs, templates, containment=0.8):
     """(id, template, n_matched, n_shingles) from sets of shingles."""
     cut = lambda text: {tuple(w[i : i + 3]) for w in [licenses.template_words(text)] for i in range(len(w) - 2)}

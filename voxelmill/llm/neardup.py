@@ -18,8 +18,9 @@ trees repeat this.
   are copied to each block of the node and compared with it, or the node branches if they are many.
 
 Recall: a pair at the threshold of 0.8 shares a first node with probability 1 - 0.16^8 (a loss of 4e-7); deeper
-levels, which only nodes over the limits reach, lose more, 0.02 % at three levels.  Pairs of which fewer than LOW of
-the values agree are not confirmed: a pair at the threshold falls below with probability 2e-6.
+levels, which only nodes over the limits reach, lose more, 0.02 % at three levels.  Pairs of which fewer than
+``agreement`` of the values agree are not confirmed: by default (57 at 0.8) a pair at the threshold falls below with
+probability 2e-6; with 1 all pairs of a node are confirmed on full sets, as those agree in the value that branched.
 
 Defined results: null and empty texts have empty sets and no links; with fewer words than a shingle
 the whole sequence is the only element; a document with a null id is kept and linked with nothing;
@@ -280,12 +281,11 @@ def links_across(sets: list[np.ndarray], part: np.ndarray, a: np.ndarray, b: np.
     return out
 
 
-def _in_nodes(members: DataFrame, percent: int) -> DataFrame:
+def _in_nodes(members: DataFrame, percent: int, low: int) -> DataFrame:
     """``members``: node, id, n_shingles, brief; with part (a hash of the component) pairs of different parts only; with
     items (the full sets) confirmed ones.  Pairs (a, b) of each node, and more: whether the node has likely
     pairs besides these."""
     kind = dict(members.dtypes)["id"]
-    low = least_agreement(percent)
     again, exact = "part" in members.columns, "items" in members.columns
     cols = ["id", "n_shingles", "tie", "brief", *["part"] * again, *["items"] * exact]
     grouped = members.withColumn("tie", F.xxhash64("id")).groupBy("node").agg(F.collect_list(F.struct(*cols)).alias("m"))
@@ -350,10 +350,10 @@ def _agreeing(pairs: DataFrame, percent: int) -> DataFrame:
 class Search:
     """One search for links: ``reps`` are the classes (id, n_shingles, key1, brief, nodes), ``docs`` has the texts."""
 
-    def __init__(self, reps: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch):
+    def __init__(self, reps: DataFrame, docs: DataFrame, k: int, percent: int, low: int, scratch: Scratch):
         self.reps, self.docs, self.k, self.percent, self.scratch = reps, docs, k, percent, scratch
         self.spark, self.kind = reps.sparkSession, dict(reps.dtypes)["id"]
-        self.low = least_agreement(percent)
+        self.low = low
         self.sets: list[DataFrame] = []
         self.parts = self.spark.createDataFrame([], f"id {self.kind}, component {self.kind}")
 
@@ -429,9 +429,9 @@ class Search:
         if not held.isEmpty():
             light, heavy = held.where("light").drop("light"), held.where("NOT light").drop("light")
             sets = self.sets_of(light.select("id").distinct())
-            found = _in_nodes(light.join(sets, "id"), self.percent).select("a", "b")
+            found = _in_nodes(light.join(sets, "id"), self.percent, self.low).select("a", "b")
             self.join(self.scratch.stored(found, "dedup-across"))
-            self.confirm(_in_nodes(heavy, self.percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            self.confirm(_in_nodes(heavy, self.percent, self.low).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         self.scratch.drop(held)
 
     def centers(self, big: DataFrame) -> DataFrame:
@@ -501,7 +501,7 @@ class Search:
         """id and component of the classes that are linked, without the smallest ids themselves."""
         held = self.counted(self.reps.select("id", F.explode("nodes").alias("node")), "dedup-nodes")
         small = held.where(F.col("n") <= NODE)
-        found = _in_nodes(small.select("node", "id").join(self.reps.select("id", "n_shingles", "brief"), "id"), self.percent)
+        found = _in_nodes(small.select("node", "id").join(self.reps.select("id", "n_shingles", "brief"), "id"), self.percent, self.low)
         found = self.scratch.stored(found, "dedup-forest")
         self.confirm(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         # only classes of the forest have likely pairs
@@ -510,9 +510,10 @@ class Search:
         return self.parts
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, agreement: int | None = None) -> DataFrame:
     """Per document: its id, n_shingles, class_id (smallest id with the same set), component_id (smallest id
-    reachable by links of ``percent`` similarity) and kept (it is that smallest id)."""
+    reachable by links of ``percent`` similarity) and kept (it is that smallest id).  ``agreement``: the MinHash values,
+    of POSITIONS, that a pair of a node must share to be confirmed; 1 confirms all of them."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small_batches(spark)
@@ -523,7 +524,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         one = scratch.stored(one, "dedup-one")
         classes = one.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("id", "brief", "nodes")).alias("m"))
         reps = scratch.stored(classes.select("key1", "key2", "n_shingles", "m.id", "m.brief", "m.nodes"), "dedup-classes")
-        parts = Search(reps, own, shingle, percent, scratch).components()
+        parts = Search(reps, own, shingle, percent, agreement or least_agreement(percent), scratch).components()
         names = reps.join(parts, "id", "left").select("key1", "key2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
         out = one.select("id", "n_shingles", "key1", "key2").join(names, ["key1", "key2", "n_shingles"], "left")
         out = out.select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
