@@ -360,3 +360,39 @@ def test_text_queries_leave_their_result_only(spark, sf_dir):
         out = q.QUERIES[name](spark, sf_dir)
         left = {x for x in set(os.listdir(shared)) - before if not x.startswith(".")}
         assert len(left) <= 1 and (not left or out.inputFiles()[0].split("/")[-2] in left), (name, left)
+
+
+def test_contamination_model_takes_every_passage(spark):
+    """More documents than the model once sampled, one of many passages: all of them count, however they are split."""
+    r = np.random.default_rng(21)
+    names = [f"w{i}" for i in range(40)]
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 60, n)) for n in [*r.integers(0, 8, 5000), 5000]]
+    vocabulary = {w: i for i, w in enumerate(names, 1)}
+    signs = np.vstack([np.zeros((1, 7)), r.choice([-1, 1], (40, 7))]).astype(np.int8)
+    t, n, squares = [], np.zeros(41), np.zeros(41)
+    n[0] = len(texts)
+    for text in texts:
+        ids = np.array([vocabulary.get(w, 0) for w in text.split()], int)
+        n[np.setdiff1d(ids, 0)] += 1
+        t += [np.bincount(ids[a : a + 32], minlength=41) for a in range(0, len(ids), 32)]
+    t = np.array(t) * (np.arange(41) > 0)
+    assert len(t) > 4150
+    docs = spark.createDataFrame([*enumerate(texts)], "id bigint, text string")
+    for split in (docs.coalesce(1), docs.repartition(40)):
+        found = decontamination.sketch_corpus(split, vocabulary, signs)
+        assert np.array_equal(found[:, 0], n) and np.array_equal(found[:, 1], (t**2).sum(axis=0)) and np.array_equal(found[:, 2:], t.T @ (t @ signs))
+    nothing = decontamination.sketch_corpus(docs.where("false"), vocabulary, signs)
+    assert nothing.shape == (41, 9) and not nothing.any()
+
+
+def test_contamination_model_is_that_of_all_products():
+    """With a column for each word the directions are those of a full decomposition; with fewer, nearly."""
+    r = np.random.default_rng(22)
+    t = r.poisson(0.3, (900, 6)) @ r.poisson(0.4, (6, 80)) + r.poisson(0.02, (900, 80))
+    weights = r.uniform(1, 9, 80)
+    a = t * weights
+    full = np.linalg.svd(a, full_matrices=False)
+    best = (full[1][:6] ** 2).sum()
+    for signs in (np.eye(80), r.choice([-1.0, 1.0], (80, 30))):
+        basis = decontamination.principal(signs, t.T @ (t @ signs), weights, 6)
+        assert np.allclose(basis.T @ basis, np.eye(6)) and (np.linalg.norm(a @ basis) ** 2) >= (1 - 1e-9 if len(signs) == signs.shape[1] else 0.99) * best

@@ -1,17 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut to overlapping passages of two lengths.  Document frequencies count over all documents;
-a randomised singular value decomposition of TF-IDF passages (all passages of the benchmark, and a
-bounded sample of the corpus's) is computed by the executors in two passes.  Every passage of every
-document is projected and compared by cosine with the benchmark's passages.  An exact bound comes first: an
+Texts are cut to overlapping passages of two lengths.  One pass over all documents counts document frequencies
+and sketches the products of the word frequencies of all their passages; from it comes a randomised singular
+value decomposition of the TF-IDF passages of corpus and benchmark.  Every passage of every document is then
+projected and compared by cosine with the benchmark's passages.  An exact bound comes first: an
 item of which no region of the text has enough words can't reach the subsequence asked for, and isn't compared.
 The least cosine is low, as a paraphrase of a short item has little in common with it: recall of pairs that
 a brute-force alignment accepts is aimed at 0.9 and more with 20 to 40 % of the words replaced.  Each candidate is aligned with its item, and the longest common subsequence decides: a high
 share is a copy, a middling one counts as a paraphrase only if the item's answer (its last words, or
 an answer column) stands there too.
 
-The benchmark is the query set: its words are counted in one pass over the documents, and it is searched in blocks
-of ``block_items``, each a pass over the documents.
+The benchmark is the query set: it is searched in blocks of ``block_items``, each of which is two passes over the
+documents, one for its model and one for its pairs.
 
 Defined results: null and empty texts and items match nothing; repeated ids are judged row by row, and
 give a pair once; ties need no order, as all pairs that pass are returned; an empty benchmark or table
@@ -20,7 +20,6 @@ gives no pairs; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -28,11 +27,10 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored, texts
+from .shared import small_batches
 
 #: Words of a block; passages are SHORT or LONG blocks.
 BLOCK = 4
@@ -41,8 +39,10 @@ SHORT, LONG = 3, 8
 LONG_FROM = 32
 #: Passages of a text that are compared at once, and counts that are held at once; they bound memory only.
 PASSAGES, CELLS = 2048, 2_000_000
-#: Groups of passages, each of which sums its products.
-SUMS = 8
+#: Passages that are multiplied at once, and rows of a batch of sums.
+TOGETHER, ROWS = 32, 4096
+#: Tasks for each core that sum over the documents, and tasks that add their sums up.
+TASKS, SUMS = 4, 8
 
 
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "“”‘’«»…–—"
@@ -150,106 +150,102 @@ class Index:
         return [np.unique(x, return_counts=True)[1] for x in self.item_ids]
 
 
-def _counts(docs: DataFrame, vocabulary: dict[str, int], sample: int) -> DataFrame:
-    """One pass: documents of each word, and of each task the ``sample`` passages of the least hashes, so that the
-    least of all tasks are those of the corpus, however it is split."""
+class Sketch:
+    """Sums over texts, each the ids of its words (0: no word of the benchmark): documents of each word, its squared
+    frequencies, and T'(T signs) for the word frequencies T of the texts' passages of LONG blocks, end to end, the last
+    one shorter.  All sums are of integers, so any split of the texts gives the same ones to the last bit."""
+
+    def __init__(self, signs: np.ndarray):
+        self.signs = signs.astype(np.float32)
+        self.n, self.squares, self.sums = np.zeros(len(signs), np.int64), np.zeros(len(signs)), np.zeros(signs.shape)
+
+    def add(self, rows: list[np.ndarray]) -> Sketch:
+        self.n[0] += len(rows)  # at 0 all documents
+        for row in rows:
+            own = np.unique(row)
+            self.n[own[own > 0]] += 1
+        lengths = np.array([len(r) for r in rows], np.int64)
+        if not lengths.sum():
+            return self
+        first, words = np.cumsum(lengths) - lengths, np.concatenate(rows)
+        passages = -(-lengths // (BLOCK * LONG))
+        passage = np.repeat(np.cumsum(passages) - passages, lengths) + (np.arange(len(words)) - np.repeat(first, lengths)) // (BLOCK * LONG)
+        words, passage = words[words > 0], passage[words > 0]
+        # a few passages at once: what they sum stays below 2 ** 24, where floats of 32 bits are exact
+        cuts = np.append(np.searchsorted(passage, np.arange(0, passages.sum(), TOGETHER)), len(words)).tolist()
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low < high:
+                own, at = np.unique(words[low:high], return_inverse=True)
+                row = passage[low:high] - passage[low]
+                t = np.bincount(row * len(own) + at, minlength=(int(row[-1]) + 1) * len(own)).reshape(-1, len(own)).astype(np.float32)
+                self.squares[own] += (t * t).sum(axis=0)
+                self.sums[own] += t.T @ (t @ self.signs[own])
+        return self
+
+    def table(self) -> np.ndarray:
+        """A row for each word: n, squares, sums."""
+        return np.column_stack([self.n, self.squares.astype(np.int64), self.sums.astype(np.int64)])
+
+
+def sketch_corpus(docs: DataFrame, vocabulary: dict[str, int], signs: np.ndarray) -> np.ndarray:
+    """``Sketch.table`` of the whole texts of all documents (id and text), in one pass: each task sums its own, and the
+    tasks' rows meet by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(vocabulary)
-        n, here = np.zeros(len(vocabulary) + 1, np.int64), np.zeros(len(vocabulary) + 1, bool)
-        kept: list = []
+        ids, own = WordIds(vocabulary), Sketch(signs)
         for b in batches:
-            for key, found in zip(b.column("id"), ids.of(b.column("text")), strict=True):
-                n[0] += 1
-                here[:] = False
-                here[found] = True
-                n[1:] += here[1:]
-                if len(found):
-                    h = xxhash.xxh3_64_intdigest(str(key.as_py()).encode()) >> 1
-                    if len(kept) < sample or -h >= kept[0][0]:
-                        size = BLOCK * LONG
-                        at = h % max(1, len(found) - size + 1)
-                        entry = (-h, [-w for w in found[at : at + size].tolist()])  # of equal hashes the least words
-                        heapq.heappush(kept, entry) if len(kept) < sample else heapq.heappushpop(kept, entry)
-        places = np.flatnonzero(n)
-        none = [None] * len(places)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*places.tolist(), *[None] * len(kept)], pa.int32()), pa.array([*n[places].tolist(), *[None] * len(kept)], pa.int64()), pa.array([*none, *[-k[0] for k in kept]], pa.int64()), pa.array([*none, *[[-w for w in k[1]] for k in kept]], pa.list_(pa.int32()))],
-            ["word", "n", "hash", "ids"],
-        )
-
-    return docs.mapInArrow(run, "word int, n bigint, hash bigint, ids array<int>")
-
-
-def _sums(passages: DataFrame, here: np.ndarray, weights: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """Over the TF-IDF rows A of the passages: A'(A basis), or with ``gram`` (A basis)'(A basis).  Passages are dealt to
-    ``SUMS`` groups by their content and sorted in them, so that sums of doubles come out alike in every run."""
-
-    def run(table: pa.Table) -> pa.Table:
-        total = np.zeros((basis.shape[1], basis.shape[1]) if gram else basis.shape)
-        for row in sorted(table.column("ids").to_pylist()):
-            own, tf = np.unique(here[np.array(row, np.int32)], return_counts=True)
-            x = tf * weights[own]
-            y = x @ basis[own]
-            if gram:
-                total += np.outer(y, y)
-            else:
-                total[own] += np.outer(x, y)
-        return pa.table({"part": table.column("part")[:1], "total": pa.array([total.tobytes()], pa.binary())})
-
-    dealt = passages.select("ids", F.pmod(F.hash("ids"), F.lit(SUMS)).alias("part"))
-    parts = dealt.groupBy("part").applyInArrow(run, "part int, total binary").collect()  # one matrix for each group
-    shape = (basis.shape[1], basis.shape[1]) if gram else basis.shape
-    return sum((np.frombuffer(p["total"]).reshape(shape) for p in sorted(parts, key=lambda p: p["part"])), np.zeros(shape))
-
-
-@dataclass(frozen=True)
-class Corpus:
-    """What one pass over the documents gives for all blocks of the benchmark: documents of each word of ``vocabulary``
-    (ids from 1; at 0 all documents), and a table of sampled passages (ids)."""
-
-    vocabulary: dict[str, int]
-    n: np.ndarray
-    passages: DataFrame
-
-
-def count_corpus(docs: DataFrame, words: list[str], *, sample: int = 4000) -> Corpus:
-    """``docs``: id and text; ``words``: distinct words of the benchmark.  Frequencies are those of all documents;
-    ``sample`` bounds the passages that the decomposition sees besides the benchmark's."""
-    vocabulary = {w: i for i, w in enumerate(sorted(words), 1)}
-    counted = stored(_counts(docs, vocabulary, sample), "decontamination-counts")
-    n = np.zeros(len(vocabulary) + 1)
-    for r in counted.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).collect():  # the benchmark's words
-        n[r["word"]] = r["n"]
-    passages = counted.where("ids IS NOT NULL").orderBy("hash", "ids").limit(sample).select("ids")
-    return Corpus(vocabulary, n, stored(passages, "decontamination-passages"))
-
-
-def build_index(corpus: Corpus, items: list[Item], *, rank: int = 96, oversample: int = 8, seed: int = 5) -> Index:
-    """The index of a block of items, with a vocabulary of its own."""
-    spark = corpus.passages.sparkSession
+            own.add(ids.of(b.column("text")))
+        places, table = np.flatnonzero(own.n), own.table()
+        for part in range(0, len(places), ROWS):
+            some = places[part : part + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[i].tobytes() for i in some], pa.binary())], ["word", "row"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for word, row in zip(b.column("word").to_pylist(), b.column("row").to_pylist(), strict=True):
+                found[word] = found.get(word, 0) + np.frombuffer(row, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([r.tobytes() for r in found.values()], pa.binary())], ["word", "row"])
+
+    # a task's rows are as many as the benchmark's words, so there are a few tasks for each core, not one for each small file
+    tasks = TASKS * docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.select("text").coalesce(tasks).mapInArrow(run, "word int, row binary").repartition(SUMS, "word").mapInArrow(add, "word int, row binary")
+    out = np.zeros((len(signs), signs.shape[1] + 2), np.int64)
+    for r in rows.collect():  # one row for each word of the benchmark's block
+        out[r["word"]] = np.frombuffer(r["row"], np.int64)
+    return out
+
+
+def principal(signs: np.ndarray, sums: np.ndarray, weights: np.ndarray, rank: int) -> np.ndarray:
+    """The first ``rank`` right singular vectors of T diag(weights), from ``sums`` = T'(T signs) alone (Nystroem's
+    approximation of the weighted products T'T, exact where ``signs`` has a column for each word)."""
+    values, inner = np.linalg.eigh(signs.T @ sums)
+    known = values > max(values.max(initial=0.0), 0.0) * 1e-10
+    half = (weights[:, None] * sums) @ (inner[:, known] / np.sqrt(values[known]))
+    return np.linalg.svd(half, full_matrices=False)[0][:, :rank]
+
+
+def build_index(docs: DataFrame, items: list[Item], *, rank: int = 96, oversample: int = 32, seed: int = 5) -> Index:
+    """The index of a block of items, from frequencies and passages of all documents (id and text) and of the items; the
+    items' passages together weigh as much as the corpus's, of whatever size it is."""
     names = sorted({w for it in items for w in (*it.words, *it.answer)})
     vocabulary = {w: i for i, w in enumerate(names, 1)}
-    here = np.zeros(len(corpus.n), np.int32)  # the block's ids of the benchmark's words
-    here[[corpus.vocabulary[w] for w in names]] = np.arange(1, len(names) + 1)
-    n = corpus.n[[0, *(corpus.vocabulary[w] for w in names)]]
-    total = n[0]
+    rows = [([vocabulary[w] for w in words], i, o) for i, it in enumerate(items) for o, words in it.passages()]
+    signs = np.zeros((len(names) + 1, min(rank + oversample, len(names))), np.int8)
+    signs[1:] = np.eye(len(names)) if len(names) <= rank + oversample else np.random.default_rng(seed).choice([-1, 1], (len(names), rank + oversample))
+    corpus = sketch_corpus(docs, vocabulary, signs)
+    total, n = corpus[0, 0], corpus[:, 0]
     weights = np.log((1 + total) / (1 + n)) + 1
     weights[0] = 0.0
-    rows = [([vocabulary[w] for w in words], i, o) for i, it in enumerate(items) for o, words in it.passages()]
-    own = spark.createDataFrame([([corpus.vocabulary[w] for w in it.words[o : o + it.blocks * BLOCK]],) for it in items for o, _ in it.passages()], "ids array<int>")
-    passages = stored(corpus.passages.unionByName(own), "decontamination-rows")
-    k = min(rank + oversample, len(names))
-    start = np.zeros((len(names) + 1, k))
-    start[1:] = np.random.default_rng(seed).standard_normal((len(names), k))
-    q, _ = np.linalg.qr(_sums(passages, here, weights, start, gram=False))
-    values, inner = np.linalg.eigh(_sums(passages, here, weights, q, gram=True))
-    basis = q @ inner[:, np.argsort(-values)[:rank]]
+    own = Sketch(signs).add([np.array(r[0], np.int32) for r in rows]).table()
+    size, own_size = (float(x[:, 1] @ weights**2) for x in (corpus, own))
+    sums = own[:, 2:] + (own_size / size if size else 0.0) * corpus[:, 2:]
+    basis = principal(signs.astype(float), sums, weights, rank)
     vectors = np.zeros((len(names) + 1, basis.shape[1] + 1), np.float32)
     vectors[:, :-1] = weights[:, None] * basis
     # an unknown word is as rare as can be; of its square counts the share that the projection keeps of known ones
     kept = sum(float((vectors[r[0], :-1].sum(axis=0) ** 2).sum()) for r in rows)
-    full = sum(float((np.unique(r[0], return_counts=True)[1] * weights[np.unique(r[0])]) @ (np.unique(r[0], return_counts=True)[1] * weights[np.unique(r[0])])) for r in rows)
+    full = float(own_size)
     vectors[0, -1] = (np.log(1 + total) + 1) ** 2 * kept / max(full, 1e-9)
     latent = {}
     for size in (SHORT, LONG):
@@ -416,20 +412,6 @@ def holds(region: list[int], answer: list[int]) -> bool:
     return bool(n) and any(region[i : i + n] == answer for i in range(len(region) - n + 1))
 
 
-def benchmark_words(queries: DataFrame) -> list[str]:
-    """Distinct words of the benchmark's texts and answers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[str] = set()
-        for b in batches:
-            for column in ("text", "answer"):
-                for text in texts(b.column(column)):
-                    found.update(words_of(text))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
-
-    return [r["word"] for r in queries.select("text", "answer").mapInArrow(run, "word string").distinct().collect()]
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, answer_words: int = 4, cosine: float = 0.1, long_cosine: float = 0.15, copy_share: float = 0.75, paraphrase_share: float = 0.6, block_items: int = 5000) -> DataFrame:
     """Pairs: the document's id, the item's id, cosine, lcs_share, answer_found."""
     spark = docs.sparkSession
@@ -440,7 +422,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     queries = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"), answer.alias("answer"))
     blocks = max(1, -(-queries.count() // block_items))
-    corpus = count_corpus(own, benchmark_words(queries))
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
         # a block of the query set, of about block_items rows
@@ -452,7 +433,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                 items.append(Item(r["item"], words, words_of(r["answer"]) if r["answer"] else words[-answer_words:]))
         if not items:
             continue
-        index = build_index(corpus, items)
+        index = build_index(own, items)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             ids = WordIds(index.vocabulary)
