@@ -1,17 +1,19 @@
 """Large groups, very long texts and runs, recall, and what the methods themselves do."""
 
+import glob
 import os
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from voxelmill.llm import decontamination, language, licenses, neardup, pii, quality, tokens, toxicity
+from voxelmill.llm import decontamination, language, licenses, mixing, neardup, pii, quality, tokens, toxicity
 from voxelmill.llm import queries as q
-from voxelmill.llm.shared import crc_mod, shared_dir, stored
+from voxelmill.llm.shared import Scratch, crc_mod, owned_by, shared_dir, stored
 
 MIDDLE = "/root/testdata/sf0.1"
 
@@ -396,3 +398,12 @@ def test_contamination_model_is_that_of_all_products():
     for signs in (np.eye(80), r.choice([-1.0, 1.0], (80, 30))):
         basis = decontamination.principal(signs, t.T @ (t @ signs), weights, 6)
         assert np.allclose(basis.T @ basis, np.eye(6)) and (np.linalg.norm(a @ basis) ** 2) >= (1 - 1e-9 if len(signs) == signs.shape[1] else 0.99) * best
+
+
+def test_mixing_stores_each_row_once(spark):
+    """Sizes are a table; the rows to round are read from it, not stored again beside it."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 9)) AS text", "concat('s', id % 4) AS source")
+    with Scratch(spark) as scratch, owned_by(scratch):
+        out = mixing.mix_sources(docs)
+        rows = [sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")) for _, path in scratch.paths.values()]
+        assert out.count() == 400 and rows.count(400) == 1 and sum(rows) < 450

@@ -71,10 +71,10 @@ def _duels(id_type: str, seed: int) -> str:
 
 
 def round_copies(parts: DataFrame, *, seed: int = 1) -> DataFrame:
-    """``parts``: group, id (unique), size > 0, p strictly between 0 and 1.  Gives id and bit (0 or 1): in each
-    group the sum of size * bit is that of size * p but for a part of one row."""
+    """``parts``: group, id (unique), size > 0, p strictly between 0 and 1; read three times, so it should come from a
+    table by cheap steps.  Gives id and bit (0 or 1): in each group the sum of size * bit is that of size * p but for a
+    part of one row."""
     id_type = dict(parts.dtypes)["id"]
-    parts = stored(parts, "mix-parts")
     counts = parts.groupBy("group").agg(F.count("*").alias("n"))
     most = counts.agg(F.max("n")).first()[0]
     if most is None:
