@@ -59,3 +59,14 @@ def test_columns_that_clash_or_have_no_order(spark, sf_dir):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
     mixed = {r["doc_id"]: r for r in cp.mix(spark, out, sf_dir).collect()}
     assert mixed[2]["_i"] == 8 and mixed[2]["_h"] == 9 and mixed[2]["taken"] >= 0 and mixed[1]["extra"] in ({"k": 1}, {"k": 2})
+
+
+def test_contamination_stage_learns_from_all_documents(spark, sf_dir, monkeypatch):
+    """More documents than the model once sampled: the stage's model counts each, and every 32 words of it."""
+    seen, sketch = [], cp.decontamination.sketch_corpus
+    monkeypatch.setattr(cp.decontamination, "sketch_corpus", lambda docs, *args: seen.append(sketch(docs, *args)) or seen[-1])
+    word = cp.decontamination.words_of(spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"])[0]
+    docs = spark.range(4300).selectExpr("id AS doc_id", f"repeat('{word} ', 40) AS text")
+    assert cp.drop_contaminated(spark, docs, sf_dir).count() == 4300
+    (table,) = seen
+    assert table[0, 0] == 4300 and table[:, 0].tolist().count(4300) == 2 and table[:, 1].max() == 4300 * (32**2 + 8**2)
