@@ -14,7 +14,8 @@ rows are scored alike, extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +44,10 @@ IDENTITY_TERMS = (
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?\n]+")
 PREFIXES = (4, 5, 6)
+#: Features whose counts a task holds at once; it bounds memory only.
+HELD = 200_000
+#: A row's part of loss and slope is a whole number of 1 / UNIT.
+UNIT = 2.0**30
 
 _swaps = {term: [x for x in row if x != term] for row in IDENTITY_TERMS for term in row}
 
@@ -99,37 +104,97 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], curvature: np.ndarray, steps: int, *, memory: int = 10, least: float = 1e-6) -> np.ndarray:
+    """L-BFGS with halved steps: ``loss`` gives value and slope at a point and is asked ``steps`` times at most.
+    ``curvature``: about how much each weight's slope changes with it, in whose units the steps are."""
+    unit = curvature**-0.5
+
+    def ask(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = loss(unit * w)
+        return value, unit * slope
+
+    w = np.zeros(len(unit))
+    value, slope = ask(w)
+    asked, moves = 1, []
+    while asked < steps and np.linalg.norm(slope) > least:
+        way, shares = -slope, []
+        for s, t in reversed(moves):
+            shares.append(s @ way / (s @ t))
+            way = way - shares[-1] * t
+        if moves:
+            s, t = moves[-1]
+            way = way * (s @ t) / (t @ t)
+        for (s, t), share in zip(moves, reversed(shares), strict=True):
+            way = way + (share - t @ way / (s @ t)) * s
+        rate = 1.0
+        while asked < steps:
+            new = w + rate * way
+            new_value, new_slope = ask(new)
+            asked += 1
+            if new_value <= value + 1e-4 * rate * (way @ slope):
+                break
+            rate /= 2
+        else:
+            break
+        if (new - w) @ (new_slope - slope) > 1e-12 * np.linalg.norm(new_slope - slope) ** 2:
+            moves = [*moves[1 - memory :], (new - w, new_slope - slope)]
+        w, value, slope = new, new_value, new_slope
+    return unit * w
+
+
+def penalised(w: np.ndarray, value: float, slope: np.ndarray, pairs: np.ndarray, l2: float, swap_penalty: float) -> tuple[float, np.ndarray]:
+    """A mean logistic loss and its slope, with l2 and swap penalty added.  ``pairs``: a row of feature changes for each
+    swap, scaled by the root of its share of all swaps.  The last weight is the intercept, which is free."""
+    own, change = w[:-1], pairs @ w[:-1]
+    return value + l2 / 2 * own @ own + swap_penalty * change @ change, slope + np.append(l2 * own + 2 * swap_penalty * (pairs.T @ change), 0)
+
+
+def curvature(share: np.ndarray, pairs: np.ndarray, l2: float, swap_penalty: float) -> np.ndarray:
+    """The most that each weight's slope changes with it, where ``share`` of the rows have its feature."""
+    return share / 4 + l2 + np.append(2 * swap_penalty * (pairs**2).sum(axis=0), 0)
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: np.ndarray, *, l2: float, swap_penalty: float, steps: int) -> np.ndarray:
-    """Accelerated gradient descent on logistic loss + l2 + swap penalty; the last weight is the intercept.  ``pairs``:
-    a row of feature changes for each swap, scaled by the root of its share of all swaps."""
-    n, d = x.shape
-    x1 = np.hstack([x, np.ones((n, 1), np.float32)])
-    w = v = np.zeros(d + 1, np.float32)
-    weight = (weight / weight.sum()).astype(np.float32)
-    y = y.astype(np.float32)
-    z = np.ones(d + 1, np.float32)
-    for _ in range(12):  # the largest curvature, by power iteration
-        z /= np.linalg.norm(z)
-        z = x1.T @ (weight * (x1 @ z))
-    top = 0.25 * np.linalg.norm(z) + l2
-    if len(pairs):
-        top += 2 * swap_penalty * np.linalg.norm(pairs, ord=2) ** 2
-    keep = np.append(np.full(d, l2), 0).astype(np.float32)
-    rate = np.float32(1 / top)
-    for t in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ v, -40, 40)))
-        g = x1.T @ (weight * (p - y)) + keep * v
-        if len(pairs):
-            g[:d] += 2 * swap_penalty * (pairs.T @ (pairs @ v[:d]))
-        new = v - rate * g
-        v = new + np.float32(t / (t + 3)) * (new - w)
-        w = new
-    return w
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, max_features: int = 1500, min_docs: int = 4, l2: float = 2e-5, swap_penalty: float = 1.0, steps: int = 400) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled texts of each class (the bound), those with the least hash of
-    their id; classes weigh as they do among all labelled rows."""
+    """The least loss over rows at hand, weighted; ``fit_toxicity`` sums the same loss over a table."""
+    x1, weight = np.hstack([x, np.ones((len(x), 1))]).astype(float), weight / weight.sum()
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        each, slope = logistic(x1 @ w, y)
+        return penalised(w, float(weight @ each), x1.T @ (weight * slope), pairs, l2, swap_penalty)
+
+    return minimised(loss, curvature(x1.T @ weight, pairs, l2, swap_penalty), steps)
+
+
+def logistic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the loss at ``z`` and its slope."""
+    return np.logaddexp(0, z) - y * z, (1 + np.tanh(z / 2)) / 2 - y
+
+
+def summed_loss(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean logistic loss and slope at ``w`` over all ``rows`` (y, found: places of features), in one pass.  Each row's
+    numbers are rounded to 2 ** -30, so that any split of the rows gives the same sums to the last bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, value, total = 0, 0, np.zeros(len(w), np.int64)
+        for b in batches:
+            found, y = b.column("found"), b.column("y").to_numpy()
+            row, places = np.repeat(np.arange(len(y)), found.value_lengths().to_numpy()), found.flatten().to_numpy()
+            each, slope = logistic(np.bincount(row, w[places], len(y)) + w[-1], y)
+            whole = np.rint(slope * UNIT)
+            total[:-1] += np.bincount(places, whole[row], len(w) - 1).astype(np.int64)  # of a batch's whole numbers: exact
+            total[-1] += int(whole.sum())
+            n, value = n + len(y), value + int(np.rint(each * UNIT).astype(np.int64).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([value], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "value", "total"])
+
+    # a task's row has a number for each feature, so there are as many tasks as cores, not one for each file
+    parts = rows.select("y", "found").coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "n bigint, value bigint, total binary").collect()
+    n = sum(p["n"] for p in parts) * UNIT
+    return sum(p["value"] for p in parts) / n, sum(np.frombuffer(p["total"], np.int64) for p in parts) / n
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_features: int = 1500, min_docs: int = 4, l2: float = 2e-5, swap_penalty: float = 1.0, steps: int = 60) -> ToxicityModel:
+    """Fit on all labelled texts: features are counted, swaps gathered and the loss summed over every one, in ``steps``
+    passes at most over a table of the features that each holds.  Of texts that share an id the one of the least hash."""
     spark = docs.sparkSession
     small_batches(spark)
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -137,57 +202,65 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     totals = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return ToxicityModel(40.0 if totals.get(1) else -40.0)
-    hashed = own.withColumn("h", F.xxhash64("id"))
-    # each task keeps per_class rows at most of a class: no task sorts a class
-    first, second = (hashed.where(F.col("y") == y).orderBy("h", "id").limit(per_class).drop("h") for y in (0, 1))
-    ids = first.unionByName(second)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # at most 2 * per_class ids
-    # of texts that share an id the one of the least hash, so that the bound holds for rows too
-    sample = sample.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("added", pa.list_(pa.string())), ("removed", pa.list_(pa.string()))]))
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(own, "id")
+    labelled = labelled.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for y, own in enumerate(found):
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *(pa.array(own.values() if k == y else np.zeros(len(own), np.int64), pa.int64()) for k in (1, 0))], ["f", "p", "q"])
+                own.clear()
+
         for b in batches:
-            labels, found, placed, swaps = [], [], [], []
             for y, text in zip(b.column("y").to_pylist(), texts(b.column("text")), strict=True):
-                second = xxhash.xxh3_64_intdigest(text.encode(), 3) % 2 == 0
-                for version in [text, with_mention(text)] if second else [text]:
-                    labels.append(y)
-                    found.append(sorted(named(*features(version))))
-                    placed.append(version is not text)
-                    swaps.append([{"added": a, "removed": r} for a, r in counterfactuals(version)] if version is not text or not second else [])
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(placed, pa.bool_()), pa.array(swaps, kind)], ["y", "found", "placed", "swaps"])
+                found[y].update(named(*features(text)))
+            if len(found[0]) + len(found[1]) > HELD:
+                yield from counted()
+        yield from counted()
 
     with Scratch(spark) as scratch:
-        sample = scratch.stored(sample.mapInArrow(extract, "y int, found array<string>, placed boolean, swaps array<struct<added:array<string>,removed:array<string>>>"), "toxicity-sample")
-        plain = sample.where("NOT placed")
-        n = {r["y"]: r["n"] for r in plain.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        labelled = scratch.stored(labelled, "toxicity-labelled")
+        n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if len(n) < 2:
             return ToxicityModel(40.0 if n.get(1) else -40.0)
-        counts = plain.select("y", F.explode("found").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") + F.col("q") >= min_docs)
+        counts = labelled.mapInArrow(count, "f string, p bigint, q bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= min_docs)
         a, b = F.col("p") / n[1], F.col("q") / n[0]
         pooled = (F.col("p") + F.col("q")) / (n[0] + n[1])
         strength = F.abs(a - b) / F.sqrt(pooled * (1 - pooled) + 1e-4)
         names = sorted({f for term in _swaps for f in named(*features(term))})  # the names and their beginnings, always
         vocab = [r["f"] for r in counts.where(~F.col("f").isin(names)).orderBy(strength.desc(), "f").limit(max_features).collect()] + names
         at = {f: i for i, f in enumerate(vocab)}
-        chosen = F.array(*[F.lit(f) for f in vocab])
-        rows = sample.select("y", "placed", F.array_intersect("found", chosen).alias("found")).collect()  # at most 4 * per_class
-        # swaps that change the same features are one row
-        change = sample.select(F.explode("swaps").alias("s")).select(*[F.array_sort(F.array_intersect(f"s.{c}", chosen)).alias(c) for c in ("added", "removed")])
+
+        def places(found: Iterable[str]) -> list[int]:
+            return sorted(at[f] for f in found if f in at)
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([("added", pa.list_(pa.int32())), ("removed", pa.list_(pa.int32()))]))
+            for b in batches:
+                labels, found, swaps = [], [], []
+                for y, text in zip(b.column("y").to_pylist(), texts(b.column("text")), strict=True):
+                    versions = [text, with_mention(text)] if xxhash.xxh3_64_intdigest(text.encode(), 3) % 2 == 0 else [text]
+                    for version in versions:
+                        labels.append(y)
+                        found.append(places(named(*features(version))))
+                        swaps.append([{"added": places(a), "removed": places(r)} for a, r in counterfactuals(version)] if version is versions[-1] else [])
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(swaps, kind)], ["y", "found", "swaps"])
+
+        rows = scratch.stored(labelled.mapInArrow(encode, "y int, found array<int>, swaps array<struct<added:array<int>,removed:array<int>>>"), "toxicity-rows")
+        # swaps that change the same features are one row: as many as there are names and what beginnings they share
+        change = rows.select(F.explode("swaps").alias("s")).select("s.added", "s.removed")
         changes = change.groupBy("added", "removed").agg(F.count("*").alias("n")).orderBy("added", "removed").collect()
-    rows.sort(key=lambda r: (r["y"], r["placed"], r["found"]))
-    x = np.zeros((len(rows), len(vocab)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, [at[f] for f in r["found"]]] = 1
-    pairs = np.zeros((len(changes), len(vocab)), np.float32)
-    total = sum(r["n"] for r in changes)
-    for i, r in enumerate(changes):
-        pairs[i, [at[f] for f in r["added"]]] = (r["n"] / total) ** 0.5
-        pairs[i, [at[f] for f in r["removed"]]] = -((r["n"] / total) ** 0.5)
-    y = np.array([r["y"] for r in rows], np.float64)
-    weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    w = fit_weights(x, y, weight, pairs, l2=l2, swap_penalty=swap_penalty, steps=steps)
+        pairs, total = np.zeros((len(changes), len(vocab))), sum(r["n"] for r in changes)
+        for i, r in enumerate(changes):
+            pairs[i, r["added"]] = (r["n"] / total) ** 0.5
+            pairs[i, r["removed"]] = -((r["n"] / total) ** 0.5)
+        share = np.zeros(len(vocab) + 1)
+        share[-1] = rows.count()
+        for r in rows.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect():  # one row for each feature
+            share[r["f"]] = r["n"]
+        w = minimised(lambda w: penalised(w, *summed_loss(rows, w), pairs, l2, swap_penalty), curvature(share / share[-1], pairs, l2, swap_penalty), steps)
     weights = {f: float(w[i]) for f, i in at.items()}
     return ToxicityModel(float(w[-1]), {f: v for f, v in weights.items() if f[0] != "^"}, {f[1:]: v for f, v in weights.items() if f[0] == "^"}, len(changes))
 
