@@ -1,5 +1,7 @@
 """What the toxicity model learns from."""
 
+from collections.abc import Callable
+
 import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import Window
@@ -9,6 +11,27 @@ from voxelmill.llm import toxicity
 from voxelmill.llm.shared import crc_mod, stored
 
 
+def generated(spark, run: Callable[[], object]) -> int:
+    """Rows that the Generate nodes of all plans of ``run`` have made."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+
+    def executions() -> dict:
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return {found.apply(i).executionId(): found.apply(i) for i in range(found.size())}
+
+    before, made = max(executions(), default=-1), 0
+    run()
+    for k in executions():
+        if k > before:
+            values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if node.name() == "Generate" else ():
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
 def test_pipeline_learns_toxicity_from_every_labelled_text(spark, tmp_path):
     """More labelled texts of both classes than the model once took: words that only those beyond these hold decide."""
     rows = spark.range(12000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"), F.xxhash64("id").alias("h"))
@@ -33,3 +56,24 @@ def test_loss_is_summed_over_all_rows(spark):
     (value, total), other = (toxicity.summed_loss(t, w) for t in (table.coalesce(1), table.repartition(13)))
     assert value == other[0] and np.array_equal(total, other[1])
     assert np.isclose(value, (np.logaddexp(0, z) - y * z).mean()) and np.allclose(total, want)
+
+
+def test_toxicity_stage_makes_no_row_for_each_feature_of_a_text(spark, tmp_path):
+    """The same number of texts, of one feature or of 200 that the model takes, most of them copies of each other."""
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    rows.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    word = F.when(F.col("toxic") == 1, "vile").otherwise("fine")
+    many = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(299)), lambda i: F.translate(i.cast("string"), "0123456789", "abcdefghij")), " ")
+    short, long = (stored(rows.select("doc_id", text.alias("text")), "texts") for text in (word, F.concat_ws(" ", word, many)))
+    made = [generated(spark, lambda docs=docs: cp.drop_toxic(spark, docs, str(tmp_path)).count()) for docs in (short, long)]
+    assert 0 < max(made) <= 5 * 600  # the name placed in a text has at most five others of its kind
+
+
+def test_features_are_counted_over_all_rows(spark):
+    r = np.random.default_rng(32)
+    found = [sorted(r.choice(40, r.integers(0, 9), replace=False).tolist()) for _ in range(3000)] + [[3, 7]] * 2000 + [[]] * 1000
+    table = spark.createDataFrame([(f,) for f in found], "found array<int>")
+    want = [sum(j in f for f in found) for j in range(43)]
+    for t in (table.coalesce(1), table.repartition(13), table.limit(0).union(table)):
+        n, held = toxicity.feature_counts(t, 43)
+        assert n == 6000 and held.tolist() == want

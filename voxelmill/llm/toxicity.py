@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .shared import Scratch, small_batches, texts
@@ -186,12 +186,30 @@ def summed_loss(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
             n, value = n + len(y), value + int(np.rint(each * UNIT).astype(np.int64).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([value], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "value", "total"])
 
-    # a task's row has a number for each feature, so there are as many tasks as cores, not one for each file
-    parts = rows.select("y", "found").coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "n bigint, value bigint, total binary").collect()
+    parts = by_task(rows.select("y", "found"), run, "n bigint, value bigint, total binary")
     n = sum(p["n"] for p in parts) * UNIT
     return sum(p["value"] for p in parts) / n, sum(np.frombuffer(p["total"], np.int64) for p in parts) / n
 
 
+def feature_counts(rows: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """How many ``rows`` there are, and how many of them hold each of ``width`` features, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(width, np.int64)
+        for b in batches:
+            n, total = n + b.num_rows, total + np.bincount(b.column("found").flatten().to_numpy(), minlength=width)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
+
+    parts = by_task(rows.select("found"), run, "n bigint, total binary")
+    return sum(p["n"] for p in parts), sum(np.frombuffer(p["total"], np.int64) for p in parts)
+
+
+def by_task(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> list[Row]:
+    """The sums that ``run`` makes of a task's rows.  They have a number for each feature, so there are as many tasks as
+    cores, not one for each file."""
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema).collect()
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_features: int = 1500, min_docs: int = 4, l2: float = 2e-5, swap_penalty: float = 1.0, steps: int = 60) -> ToxicityModel:
     """Fit on all labelled texts: features are counted, swaps gathered and the loss summed over every one, in ``steps``
     passes at most over a table of the features that each holds.  Of texts that share an id the one of the least hash."""
@@ -256,11 +274,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         for i, r in enumerate(changes):
             pairs[i, r["added"]] = (r["n"] / total) ** 0.5
             pairs[i, r["removed"]] = -((r["n"] / total) ** 0.5)
-        share = np.zeros(len(vocab) + 1)
-        share[-1] = rows.count()
-        for r in rows.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect():  # one row for each feature
-            share[r["f"]] = r["n"]
-        w = minimised(lambda w: penalised(w, *summed_loss(rows, w), pairs, l2, swap_penalty), curvature(share / share[-1], pairs, l2, swap_penalty), steps)
+        n_rows, held = feature_counts(rows, len(vocab))
+        share = np.append(held, n_rows) / n_rows
+        w = minimised(lambda w: penalised(w, *summed_loss(rows, w), pairs, l2, swap_penalty), curvature(share, pairs, l2, swap_penalty), steps)
     weights = {f: float(w[i]) for f, i in at.items()}
     return ToxicityModel(float(w[-1]), {f: v for f, v in weights.items() if f[0] != "^"}, {f[1:]: v for f, v in weights.items() if f[0] == "^"}, len(changes))
 
