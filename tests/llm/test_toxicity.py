@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from voxelmill.llm import queries as q
 from voxelmill.llm import toxicity
 from voxelmill.llm.shared import crc_mod, stored
 
@@ -77,3 +78,15 @@ def test_features_are_counted_over_all_rows(spark):
     for t in (table.coalesce(1), table.repartition(13), table.limit(0).union(table)):
         n, held = toxicity.feature_counts(t, 43)
         assert n == 6000 and held.tolist() == want
+
+
+def test_toxicity_query_makes_rows_in_proportion_to_copies(spark, tmp_path):
+    """A group of copies of one text of 200 features, and twice as large: no pairs, and no row for each feature."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(200)]
+    for n in (300, 600):
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+        rows.select("doc_id", "toxic").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        text = F.when(F.col("toxic") == 1, F.lit("vile words")).otherwise(F.lit(" ".join(words)))
+        rows.select("doc_id", text.alias("text")).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+    made = {n: generated(spark, lambda n=n: q.op7_toxicity(spark, f"{tmp_path}/{n}").count()) for n in (300, 600)}
+    assert all(m <= 5 * n for n, m in made.items()), made
